@@ -17,8 +17,11 @@ from .common import sampled, steps
 BITS = 20
 #: Labelled rows that training takes at most.
 TRAIN_ROWS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 0.5
+#: Rows that training looks at in all, so that few rows are seen often; epochs at least and at most.
+PASSES, EPOCHS = 36_000, (3, 40)
+#: Texts that a feature must come in to be learned; rates and penalties.
+LEAST_TEXTS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: First letters of a word that make its stem.
 STEMS = (4, 5)
 
@@ -96,14 +99,14 @@ class FTRL:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights that are not 0, by feature; feature 2**bits is the bias. prior: the score where nothing is known."""
+    """Weights that are not 0, by feature; feature 2**bits is the bias."""
 
     bits: int
     index: np.ndarray
     weight: np.ndarray
 
 
-def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> Model:
+def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, passes: int = PASSES) -> Model:
     """Learns from (key long, text string, label int): of the rows with a label 0 or 1, the train_rows whose keys hash lowest.
     Executors hash the texts; one task, which the bound keeps small, learns row by row in the order of the hashes and
     returns the weights that L1 has not set to 0. No rows: a model that gives all texts 0."""
@@ -123,9 +126,14 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, epo
             yield pd.Series(out, dtype=object)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.append(np.asarray(f, np.int64), 1 << bits), y) for b in batches for f, y in zip(b["f"], b["label"], strict=True)]
+        rows = [(np.asarray(f, np.int64), y) for b in batches for f, y in zip(b["f"], b["label"], strict=True)]
+        texts = np.zeros(1 << bits, np.int64)
+        for i, _ in rows:
+            texts[i] += 1
+        rows = [(np.append(i[texts[i] >= LEAST_TEXTS], 1 << bits), y) for i, y in rows]
         model = FTRL((1 << bits) + 1)
-        for _ in range(epochs if rows else 0):
+        epochs = min(max(-(-passes // max(len(rows), 1)), EPOCHS[0]), EPOCHS[1])
+        for _ in range(epochs):
             for i, y in rows:
                 model.learn(i, y)
         w = model.weights()
