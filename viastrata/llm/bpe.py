@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 #: Pieces whose ids a worker remembers.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 600_000
 #: New pieces that go to the library in one call.
 CALL_PIECES = 100_000
 
@@ -73,7 +74,7 @@ class ByteBPE:
         """Ids of each text."""
         cut = [self.pieces(text) for text in texts]
         if len(self.memo) > self.memo_pieces:
-            self.memo = {}
+            self.memo = {piece: self.memo[piece] for pieces in cut for piece in pieces if piece in self.memo}
         new = list({piece for pieces in cut for piece in pieces if piece not in self.memo})
         for start in range(0, len(new), CALL_PIECES):
             part = new[start : start + CALL_PIECES]
@@ -106,6 +107,8 @@ class ByteBPE:
 
 @lru_cache(maxsize=4)
 def coder(path: str, pattern: str) -> ByteBPE:
+    # Spark runs a worker for each core; threads of the library's own would only wait for these.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return ByteBPE(path, pattern)
 
 
