@@ -139,18 +139,14 @@ def tail_ends(whole: int, tail: int) -> list[int]:
     return ends
 
 
-def pack(tokens: DataFrame, window: int = WINDOW, salts: int = SALTS, middles: int = MIDDLES, sweeps: int = SWEEPS) -> DataFrame:
+def pack(tokens: DataFrame, width: int = 4, window: int = WINDOW, salts: int = SALTS, middles: int = MIDDLES, sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of each piece, from (doc_id, ids binary: little-endian
-    unsigned numbers of 32 bits). Each id lies in one piece; the pieces of a sequence lie end to end from 0; a sequence has
+    unsigned numbers of `width` bytes, 2 or 4); the pieces' ids have 4 bytes. Each id lies in one piece; the pieces of a sequence lie end to end from 0; a sequence has
     `window` tokens or a power of two. Rows without ids give no pieces; null and repeated doc_ids are packed row by row. A
     sequence_id is unique, not dense in row order."""
     spark = tokens.sparkSession
-    narrow = F.pandas_udf(_narrow, "binary")
-    rows = checkpoint(
-        tokens.where("ids is not null and length(ids) > 0").select(
-            F.monotonically_increasing_id().alias("uid"), "doc_id", F.expr("length(ids) div 4").alias("n"), narrow("ids").alias("packed")
-        )
-    )
+    held = checkpoint(tokens.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("ids").alias("packed")))
+    rows = held.where("length(packed) > 0").select("uid", "doc_id", F.expr(f"length(packed) div {width}").alias("n"), "packed")
     salt = F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int")
     light = rows.select("uid", F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest"), salt.alias("salt"))
     groups = light.groupBy("rest", "salt").agg(F.count("*").alias("k"), F.sum("full").alias("fulls")).toArrow().to_pandas()
@@ -196,7 +192,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, salts: int = SALTS, middles: i
             out: list[tuple] = []
             size = 0
             for doc, n, packed, k, t, j, first, p in zip(batch["doc_id"], batch["n"].tolist(), batch["packed"], rank.tolist(), taken.tolist(), at.tolist(), batch["full_first"].tolist(), place.tolist(), strict=True):
-                ids = _widen(packed, n)
+                ids = np.frombuffer(packed, f"<u{width}").astype("<u4", copy=False)
                 slot = (int(slots.sequence[j] + k - slots.low[j]), int(slots.offset[j])) if k < t else None
                 for start, length, sequence, offset in pieces_of(n, window, first, slot, p, whole, ends, slots.after):
                     out.append((doc, start, length, ids[start : start + length].tobytes(), n, sequence, offset))
@@ -214,19 +210,6 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"doc_id": "Int64"})
 
 
-def _narrow(batch: pd.Series) -> pd.Series:
-    """Ids below 65536 as 16 bits each, others as they are."""
-    out = []
-    for x in batch:
-        ids = np.frombuffer(x, "<u4")
-        out.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else x)
-    return pd.Series(out, dtype=object)
-
-
-def _widen(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, "<u2").astype("<u4") if len(packed) == 2 * n else np.frombuffer(packed, "<u4")
-
-
 @lru_cache(maxsize=2)
 def _encoder(path: str, ranks_path: str | None, pattern: str | None):
     from tokenizers import Tokenizer
@@ -234,7 +217,7 @@ def _encoder(path: str, ranks_path: str | None, pattern: str | None):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     if ranks_path is None:
-        return lambda texts: [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     import tiktoken
 
     from .bpe import byte_chars, read_ranks
@@ -244,18 +227,26 @@ def _encoder(path: str, ranks_path: str | None, pattern: str | None):
     if any(own.get("".join(char[b] for b in token)) != rank for token, rank in ranks.items()):
         raise ValueError(f"{ranks_path} is not the vocabulary of {path}")
     same = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [np.asarray(same.encode_to_numpy(t, disallowed_special=()), "<u4") for t in texts]
+    return lambda texts: [same.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
-def token_column(text: Column, path: str, end_id: int = END_ID, ranks_path: str | None = None, pattern: str | None = None) -> Column:
-    """Column of binary: little-endian 32-bit ids of each whole text (null: empty) by a tokenizer file, and end_id. With a rank
-    file of the same vocabulary (it is compared) and its pattern, the same ids are found by the faster tiktoken library."""
+def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4, ranks_path: str | None = None, pattern: str | None = None) -> Column:
+    """Column of binary: ids, little-endian of `width` bytes, of each whole text (null: empty) by a tokenizer file, and end_id.
+    With a rank file of the same vocabulary (it is compared) and its pattern, the same ids are found by the faster tiktoken
+    library. An id that does not fit the width is an error."""
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = _encoder(path, ranks_path, pattern)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], f"<u{width}").tobytes()
+
+        def packed(x: np.ndarray) -> bytes:
+            if len(x) and x.max() >= 1 << 8 * width:
+                raise ValueError(f"an id does not fit {width} bytes")
+            return x.astype(f"<u{width}").tobytes() + end
+
         for batch in batches:
-            yield pd.Series([x.tobytes() + end for run in steps(batch) for x in encode(run)], dtype=object)
+            yield pd.Series([packed(x) for run in steps(batch) for x in encode(run)], dtype=object)
 
-    return ids(text)
+    # So that no plan asks for it twice.
+    return ids.asNondeterministic()(text)

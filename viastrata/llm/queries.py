@@ -38,13 +38,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(docs: DataFrame) -> DataFrame:
     """(doc_id, ids) of documents for packing."""
     ids = packing.token_column(
-        F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN
+        F.col("text"), public_tokenizers.path("byte_bpe_50k.json"), width=2, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN
     )
     return docs.select("doc_id", ids.alias("ids"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(encoded(docs))
+    pieces = packing.pack(encoded(docs), width=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
