@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import graph_queries, scalar_queries
+from .registry import ORACLES, QUERIES, Query
 
+__all__ = ["flagship", "graph_queries", "oracle_sql", "queries", "scalar_queries"]
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_queries.d02_run_scenarios(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
