@@ -198,6 +198,8 @@ def distances(edges: DataFrame, sources: DataFrame, keys: list[str] | None = Non
     dealt = asked.withColumn("_part", F.pmod(F.xxhash64("source"), F.lit(spread)))
     parts = dealt.select(*keys, F.col("_part").alias("_deal")).distinct()
     held = roads.join(parts, keys) if keys else roads.join(F.broadcast(parts), how="cross")
+    # Other names, as both sides may come from one frame.
+    held = held.select(*(F.col(k).alias(f"_{k}") for k in keys), "src", "dst", "length", "_deal")
     schema = ", ".join([*(f"{k} {t}" for k, t in roads.dtypes if k in keys), "source long, node_id long, dist double, before long"])
 
     def kernel(sources_: pd.DataFrame, roads_: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +210,7 @@ def distances(edges: DataFrame, sources: DataFrame, keys: list[str] | None = Non
             out[k] = sources_[k].iloc[0] if len(sources_) else None
         return out
 
-    return dealt.groupBy(*keys, "_part").cogroup(held.groupBy(*keys, "_deal")).applyInPandas(kernel, schema)
+    return dealt.groupBy(*keys, "_part").cogroup(held.groupBy(*(f"_{k}" for k in keys), "_deal")).applyInPandas(kernel, schema)
 
 
 def _distances_by_rounds(roads: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
