@@ -19,6 +19,8 @@ from .common import checkpoint
 
 #: Code points of the shortest line that counts; documents that make it repeated; batches of a table; runs that are merged.
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
+#: Most keys that are broadcast because very many documents hold them.
+HOT_KEYS = 20_000
 #: The white space that is stripped off a line.
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -98,6 +100,15 @@ def summed(runs: DataFrame) -> DataFrame:
     return runs.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
 
+def _meet(lines: DataFrame, repeated: DataFrame, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """(key, doc_id, last) of the lines with repeated keys. Keys in so many documents that no more than hot_keys can be are
+    broadcast, as their lines would crowd one task; the rest are merge-joined."""
+    least = max(256, -(-lines.count() // hot_keys))
+    hot = F.broadcast(repeated.where(F.col("docs") >= least).select("key", "last"))
+    cold = repeated.where(F.col("docs") < least).select("key", "last")
+    return lines.join(hot, "key").unionByName(lines.join(hot, "key", "left_anti").join(cold, "key"))
+
+
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The rows with `text` less its repeated lines, and n_lines (before), n_dropped. A line's key (white space stripped off,
     A-Z lower-cased) is repeated if at least min_chars long and in at least min_docs documents, told apart by doc_id; then
@@ -111,8 +122,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     runs = LineRuns(fanout)
     for k in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    repeated = runs.repeated(min_docs).select("key", "last")
-    drops = lines.join(repeated, "key").where("doc_id < last").groupBy("doc_id").agg(F.collect_set("key").alias("_drop_keys"))
+    repeated = checkpoint(runs.repeated(min_docs))
+    drops = _meet(lines, repeated).where("doc_id < last").groupBy("doc_id").agg(F.collect_set("key").alias("_drop_keys"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def cut(batches_: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
