@@ -422,3 +422,31 @@ def soft_dice(pixels: DataFrame, eps: float = 1e-6) -> DataFrame:
         return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "cldice": [float(2 * precision * sense / (precision + sense + eps))]})
 
     return pixels.groupBy(*TILE).applyInPandas(kernel, "tile_id long, cldice double")
+
+
+# Augmentation: where things go is given, so a seed decides it once.
+
+
+def textured_tiles(texture: DataFrame, above: float, k: int, seed: str) -> DataFrame:
+    """k tiles at most whose mean texture is above a bound, by a seeded order."""
+    order = F.md5(F.concat(F.lit(seed), F.col("tile_id").cast("string")).cast("binary"))
+    return texture.groupBy(*TILE).agg(F.avg("texture").alias("m")).where(F.col("m") > above).orderBy(order, "tile_id").limit(k).select(*TILE)
+
+
+def cutout(pixels: DataFrame, band: str, top: int, left: int, height: int, width: int, where: Column) -> DataFrame:
+    inside = F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1)
+    return pixels.withColumn(band, F.when(inside & where, F.lit(0.0)).otherwise(F.col(band)))
+
+
+def shade(pixels: DataFrame, band: str, row: float, col: float, radius: float, strength: float, towards: int) -> DataFrame:
+    """The band moved towards dark (0) or white (255) around a place, less and less up to the radius."""
+    soft = F.greatest(F.lit(0.0), 1 - F.hypot(F.col("row") - row, F.col("col") - col) / radius) * strength
+    value = F.col(band) * (1 - soft) if towards == 0 else F.col(band) + (towards - F.col(band)) * soft
+    return pixels.withColumn(band, F.least(F.lit(255), F.floor(value)).cast("int"))
+
+
+def paste_max(pixels: DataFrame, snippet: DataFrame, value: str, top: int, left: int) -> DataFrame:
+    """Tiles with a small raster pasted in, the greater value staying."""
+    moved = snippet.select((F.col("row") + top).alias("row"), (F.col("col") + left).alias("col"), F.col(value).alias("_new"))
+    both = pixels.join(F.broadcast(moved), ["row", "col"], "left")
+    return both.withColumn(value, F.greatest(F.col(value), F.coalesce("_new", F.col(value)))).drop("_new")

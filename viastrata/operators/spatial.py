@@ -189,15 +189,18 @@ def buffer_cells(lines: DataFrame, size: float, flat: bool = False) -> DataFrame
     return cells.where(inside).select("row", "col").distinct()
 
 
-def paint_lines(lines: DataFrame, width: int, value: str = "value") -> DataFrame:
-    """(row, col, value): lines (r0, c0, r1, c1, value) drawn with a square brush; of values that meet the greatest stays."""
-    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0")))).cast("int"))
-    half = width // 2
-    brush = F.sequence(F.lit(-half), F.lit(width - half - 1))
+def paint_lines(lines: DataFrame, half: int, value: str = "value", height: int | None = None, width: int | None = None) -> DataFrame:
+    """(row, col, value): lines (r0, c0, r1, c1, value) drawn with a square brush of 2 half + 1 cells; of values that meet the
+    greatest stays; cells off the raster are left out."""
+    n = F.floor(F.greatest(F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0")))).cast("int")
     steps = lines.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    at = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")).cast("int")
-    dots = steps.select(at("r0", "r1").alias("row"), at("c0", "c1").alias("col"), value).withColumn("row", F.explode(F.transform(brush, lambda d: F.col("row") + d)))
-    dots = dots.withColumn("col", F.explode(F.transform(brush, lambda d: F.col("col") + d)))
+    share = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(F.lit(0.0))
+    at = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * share).cast("int")
+    reach = F.sequence(F.lit(-half), F.lit(half))
+    dots = steps.select(at("r0", "r1").alias("row"), at("c0", "c1").alias("col"), value).groupBy("row", "col").agg(F.max(value).alias(value))
+    dots = dots.withColumn("dr", F.explode(reach)).withColumn("dc", F.explode(reach)).select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), value)
+    if height is not None:
+        dots = dots.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     return dots.groupBy("row", "col").agg(F.max(value).alias(value))
 
 

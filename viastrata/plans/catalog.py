@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, scalar_queries
+from . import graph_queries, raster_queries, scalar_queries
 from .registry import ORACLES, QUERIES, Query
 
-__all__ = ["flagship", "graph_queries", "oracle_sql", "queries", "scalar_queries"]
+__all__ = ["flagship", "graph_queries", "oracle_sql", "queries", "raster_queries", "scalar_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
