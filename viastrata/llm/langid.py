@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, steps
+from .common import checkpoint, sampled, steps
 
 #: n-gram lengths of the blended spectrum, and log2 of the places that they are hashed to.
 SPECTRUM = (1, 2, 3, 4)
@@ -92,19 +92,18 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
     for name, n in counts.items():
         wanted = F.when(F.col("label") == name, min(1.0, share / n)).otherwise(wanted)
     level = F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = sampled(known.where(level < wanted), "key", train_rows)
+    sample = checkpoint(sampled(known.where(level < wanted), "key", train_rows))
     few = max(1, landmarks // len(languages))
     order = F.xxhash64(F.lit(17), "key")
-    from functools import reduce
-
-    chosen = reduce(DataFrame.unionByName, [sample.where(F.col("label") == name).orderBy(order, "key").limit(few) for name in languages])
+    lowest = sample.groupBy("label").agg(F.sort_array(F.collect_list(order)).alias("h")).select("label", F.get("h", F.least(F.size("h"), F.lit(few)) - 1).alias("limit"))
+    chosen = sample.join(F.broadcast(lowest), "label").where(order <= F.col("limit"))
 
     @F.pandas_udf("array<int>")
     def places(batch: pd.Series) -> pd.Series:
         return pd.Series([np.flatnonzero(presence([t], bits)[0]).astype(np.int32) for t in batch], dtype=object)
 
     base = np.zeros((0, 1 << bits), np.float32)
-    for r in chosen.select(places("text").alias("p")).collect():
+    for r in chosen.orderBy("label", order, "key").select(places("text").alias("p")).collect():
         base = np.vstack([base, np.zeros((1, 1 << bits), np.float32)])
         base[-1, r["p"]] = 1
     base = np.unique(unit(base), axis=0)
