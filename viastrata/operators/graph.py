@@ -404,7 +404,8 @@ def current_flow(nodes: DataFrame, edges: DataFrame, most_nodes: int = 3000) ->
                 total = ((2 * order - n + 1) * row).sum()
                 flow[a] += total
                 flow[b] += total
-            flow = np.maximum(flow / 2 - (n - 1), 0) / ((n - 1) * (n - 2) / 2)
+            # A pair's ends see half of its current on their own roads.
+            flow = np.maximum(flow / 2 - (n - 1) / 2, 0) / ((n - 1) * (n - 2) / 2)
         return pd.DataFrame({"node_id": ids, "current_flow": flow})
 
     return c.groupBy("component").cogroup(roads.groupBy("_part")).applyInPandas(kernel, "node_id long, current_flow double")
