@@ -10,11 +10,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from .common import lists, steps, strings, structs
+
 #: Pieces whose ids a worker remembers.
 MEMO_PIECES = 600_000
 #: New pieces that go to the library in one call.
@@ -115,11 +117,11 @@ def coder(path: str, pattern: str) -> ByteBPE:
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Column of array<int>: the ids of each whole text, without special tokens. Null and empty texts: no ids."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for batch in batches:
-            yield pd.Series([x.astype("int32") for x in bpe.encode_batch([t or "" for t in batch])], dtype=object)
+            yield lists([x for texts in steps(strings(batch)) for x in bpe.encode_batch(texts)])
 
     return ids(text)
 
@@ -127,11 +129,13 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 def encode_spans(text: Column, path: str, pattern: str) -> Column:
     """Column of array<struct<id,start,end>>: tokens with the characters that they cover. Null and empty texts: none."""
 
-    @F.pandas_udf("array<struct<id:int,start:int,end:int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([(name, pa.int32()) for name in ("id", "start", "end")]))
+
+    @F.arrow_udf("array<struct<id:int,start:int,end:int>>")
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for batch in batches:
-            yield pd.Series([[{"id": i, "start": a, "end": b} for i, a, b in bpe.spans(t or "")] for t in batch], dtype=object)
+            yield pa.array([[{"id": i, "start": a, "end": b} for i, a, b in bpe.spans(t)] for t in strings(batch)], kind)
 
     return spans(text)
 
@@ -139,11 +143,11 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """Column of binary: the bytes that the ids stand for. Null: none. An id outside the table raises IndexError."""
 
-    @F.pandas_udf("binary")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for batch in batches:
-            yield pd.Series([b"" if x is None else bpe.decode_bytes(x) for x in batch], dtype=object)
+            yield pa.array([bpe.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
 
     return text(ids)
 
@@ -152,18 +156,17 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     """Column of struct<n_tokens,ids_sha256,decoded_sha256>: digests of the ids, encoded from the text, and of the bytes
     decoded from these ids, without moving the ids between Python and the JVM. Null and empty texts: of no ids."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from .common import steps
-
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for batch in batches:
             rows = []
-            for texts in steps(batch):
+            for texts in steps(strings(batch)):
                 for ids in bpe.encode_batch(texts):
                     listed = ids.tolist()
                     spelt = ",".join(map(str, listed)).encode()
                     rows.append((len(listed), hashlib.sha256(spelt).hexdigest(), hashlib.sha256(bpe.decode_bytes(listed)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            n, spelt_digests, decoded_digests = ([r[k] for r in rows] for k in range(3))
+            yield structs(n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(spelt_digests, pa.string()), decoded_sha256=pa.array(decoded_digests, pa.string()))
 
     return digests(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,24 @@ def sampled(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows if limit["n"] <= bound else rows.where(mixed < F.lit(limit["m"]))
 
 
+def strings(texts: pa.Array, rows: int = 128) -> Iterator[str]:
+    """The texts of an Arrow batch (null: empty), a few rows at a time as Python strings, so that a batch is not held twice."""
+    for at in range(0, len(texts), rows):
+        for text in texts.slice(at, rows).to_pylist():
+            yield text or ""
+
+
+def lists(arrays: list[np.ndarray], kind: type = np.int32) -> pa.Array:
+    """An Arrow array of lists."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *arrays]).astype(kind, copy=False)))
+
+
+def structs(**columns) -> pa.Array:
+    """An Arrow array of structs."""
+    return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+
+
 def steps(texts: Iterable[str | None], size: int = STEP_CHARS) -> Iterator[list[str]]:
     """Runs of texts (null: empty) of about `size` characters."""
     run: list[str] = []

@@ -16,10 +16,11 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import sampled, steps, strings
 
 #: Pages that training takes at most; weight of a count that no page gave; marginal from which a node is content.
 TRAIN_PAGES, SMOOTH, THRESHOLD = 2_000, 0.5, 0.5
@@ -366,11 +367,9 @@ def main_text(html: Column, model: Model, threshold: float = THRESHOLD) -> Colum
     """Column of string: the main text of each whole page, blocks joined by \\n. Null and empty pages, and pages without
     content: the empty string."""
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from .common import steps
-
+    @F.arrow_udf("string")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(["\n".join(b) for run in steps(batch) for b in extract_batch(run, model, threshold)], dtype=object)
+            yield pa.array(["\n".join(b) for run in steps(strings(batch)) for b in extract_batch(run, model, threshold)], pa.string())
 
     return texts(html)

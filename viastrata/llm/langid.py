@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sampled, steps
+from .common import checkpoint, lists, sampled, steps, strings, structs
 
 #: n-gram lengths of the blended spectrum, and log2 of the places that they are hashed to.
 SPECTRUM = (1, 2, 3, 4)
@@ -98,9 +99,10 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
     lowest = sample.groupBy("label").agg(F.sort_array(F.collect_list(order)).alias("h")).select("label", F.get("h", F.least(F.size("h"), F.lit(few)) - 1).alias("limit"))
     chosen = sample.join(F.broadcast(lowest), "label").where(order <= F.col("limit"))
 
-    @F.pandas_udf("array<int>")
-    def places(batch: pd.Series) -> pd.Series:
-        return pd.Series([np.flatnonzero(presence([t], bits)[0]).astype(np.int32) for t in batch], dtype=object)
+    @F.arrow_udf("array<int>")
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield lists([np.flatnonzero(presence([t], bits)[0]) for t in strings(batch)])
 
     base = np.zeros((0, 1 << bits), np.float32)
     for r in chosen.orderBy("label", order, "key").select(places("text").alias("p")).collect():
@@ -148,11 +150,11 @@ def predict(text: Column, model: Model) -> Column:
     """Column of struct<lang_pred string, score double>: the language of highest value, the first by name of equals, and that
     value moved from -1..1 to 0..1. Null texts, texts without a letter, and all texts under an empty model: `und`, 0."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             names, scores = [], []
-            for texts in _blocks(batch):
+            for texts in _blocks(strings(batch)):
                 if not model.languages:
                     names += [UNDETERMINED] * len(texts)
                     scores += [0.0] * len(texts)
@@ -164,6 +166,6 @@ def predict(text: Column, model: Model) -> Column:
                     sure = has_letter(t)
                     names.append(model.languages[j] if sure else UNDETERMINED)
                     scores.append(float(s) if sure else 0.0)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield structs(lang_pred=pa.array(names, pa.string()), score=pa.array(scores, pa.float64()))
 
     return told(text)

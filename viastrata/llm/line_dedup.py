@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, strings, structs
 
 #: Code points of the shortest line that counts; documents that make it repeated; batches of a table; runs that are merged.
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
@@ -39,9 +39,10 @@ def line_keys(text: str | None, min_chars: int = MIN_CHARS) -> list[bytes | None
 def keys_column(text: Column, min_chars: int = MIN_CHARS) -> Column:
     """Column of array<binary>: the distinct keys of each text."""
 
-    @F.pandas_udf("array<binary>")
-    def keys(batch: pd.Series) -> pd.Series:
-        return pd.Series([list({k for k in line_keys(t, min_chars) if k is not None}) for t in batch], dtype=object)
+    @F.arrow_udf("array<binary>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([list({k for k in line_keys(t, min_chars) if k is not None}) for t in strings(batch)], pa.list_(pa.binary()))
 
     return keys(text)
 
@@ -125,20 +126,20 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     repeated = checkpoint(runs.repeated(min_docs))
     drops = _meet(lines, repeated).where("doc_id < last").groupBy("doc_id").agg(F.collect_set("key").alias("_drop_keys"))
 
-    @F.pandas_udf("text string, n_lines long, n_dropped long")
-    def cut(batches_: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text string, n_lines long, n_dropped long")
+    def cut(batches_: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, gone in batches_:
             rows = []
-            for text, keys in zip(texts, gone, strict=True):
-                text = text or ""
-                if keys is None or len(keys) == 0:
+            for text, keys in zip(strings(texts), gone, strict=True):
+                if not keys.is_valid:
                     rows.append((text, text.count("\n") + 1, 0))
                     continue
-                dead = set(map(bytes, keys))
+                dead = set(keys.as_py())
                 every = text.split("\n")
                 kept = [line for line, key in zip(every, line_keys(text, min_chars), strict=True) if key not in dead]
                 rows.append(("\n".join(kept), len(every), len(every) - len(kept)))
-            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
+            kept_texts, n, lost = ([r[k] for r in rows] for k in range(3))
+            yield structs(text=pa.array(kept_texts, pa.string()), n_lines=pa.array(n, pa.int64()), n_dropped=pa.array(lost, pa.int64()))
 
     joined = docs.select(*names).join(drops.withColumnRenamed("doc_id", "_drop_doc"), F.col("doc_id") == F.col("_drop_doc"), "left")
     done = joined.withColumn("_cut", cut("text", "_drop_keys"))

@@ -10,9 +10,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import strings, structs
+
 #: Fixed values of the page format (RFC 3533).
 CAPTURE = b"OggS"
 HEADER = struct.Struct("<4sBBqIIIB")
@@ -218,17 +221,20 @@ def stored(text: Column) -> Column:
     described. The file lives within a batch. Files are written per text; equal texts give equal files."""
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    @F.pandas_udf(fields)
-    def told(batch: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in batch:
-            data = (x or "").encode()
-            payload = padded(data)
-            file = mux_samples(payload, zlib.crc32(payload))
-            back, about = read_samples(file)
-            mean = float(np.frombuffer(back, np.uint8).mean())
-            feature = f"streams={about['streams']};pages={about['pages']};packets={about['packets']};rate={about['rate']};seconds={about['seconds']:.6f};mean={mean:.6f}"
-            rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
+    @F.arrow_udf(fields)
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [describe_one(x) for x in strings(batch)]
+            kinds = [pa.int64() if f.endswith("long") else pa.string() for f in fields.split(", ")]
+            yield structs(**{f.split()[0]: pa.array([r[k] for r in rows], kinds[k]) for k, f in enumerate(fields.split(", "))})
+
+    def describe_one(text: str) -> tuple:
+        data = text.encode("utf-8", "replace")
+        payload = padded(data)
+        file = mux_samples(payload, zlib.crc32(payload))
+        back, about = read_samples(file)
+        mean = float(np.frombuffer(back, np.uint8).mean())
+        feature = f"streams={about['streams']};pages={about['pages']};packets={about['packets']};rate={about['rate']};seconds={about['seconds']:.6f};mean={mean:.6f}"
+        return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature
 
     return told(text)

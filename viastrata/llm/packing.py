@@ -14,10 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, steps
+from .common import checkpoint, steps, strings
 
 #: Tokens of a sequence; id that ends a document; groups that ranks and sums are counted in.
 WINDOW, END_ID, SALTS = 2048, 1, 64
@@ -235,8 +236,8 @@ def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4,
     With a rank file of the same vocabulary (it is compared) and its pattern, the same ids are found by the faster tiktoken
     library. An id that does not fit the width is an error."""
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _encoder(path, ranks_path, pattern)
         end = np.array([end_id], f"<u{width}").tobytes()
 
@@ -246,7 +247,7 @@ def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4,
             return x.astype(f"<u{width}").tobytes() + end
 
         for batch in batches:
-            yield pd.Series([packed(x) for run in steps(batch) for x in encode(run)], dtype=object)
+            yield pa.array([packed(x) for run in steps(strings(batch)) for x in encode(run)], pa.binary())
 
     # So that no plan asks for it twice.
     return ids.asNondeterministic()(text)

@@ -8,10 +8,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, steps
+from .common import lists, sampled, steps, strings
 
 #: Labelled rows that training takes at most; Fourier features; width of the kernel in standard deviations; ridge; seed.
 TRAIN_ROWS, FEATURES, WIDTH, RIDGE, SEED = 20_000, 256, 4.0, 1e-3, 7
@@ -116,10 +117,10 @@ def _summed(rows: DataFrame, make, shapes: list[tuple[int, ...]], tasks: int = 8
 def stats_column(text: Column) -> Column:
     """Column of array<double>: STATISTICS of each whole text; null and empty: all 0."""
 
-    @F.pandas_udf("array<double>")
-    def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([x for run in steps(batch) for x in statistics(run)], dtype=object)
+            yield lists([x for run in steps(strings(batch)) for x in statistics(run)], np.float64)
 
     return stats(text)
 
@@ -168,9 +169,9 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATU
 def score(text: Column, model: Model) -> Column:
     """Column of double, 0 to 1: the calibrated score of each whole text; null and empty texts are scored by statistics of 0."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series(np.concatenate([model.score(statistics(run)) for run in steps(batch)]) if len(batch) else np.zeros(0))
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(statistics(run)) for run in steps(strings(batch)))]))
 
     return scores(text)

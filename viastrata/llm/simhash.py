@@ -14,10 +14,11 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, strings
 
 #: Words of a shingle; bits that linked fingerprints differ in at most; members of a shard's piece.
 WORDS, RADIUS, PIECE = 3, 3, 2048
@@ -49,11 +50,12 @@ def fingerprint(text: Column, n: int = WORDS) -> Column:
     """Column of long: the fingerprint of each whole text as a signed number. A-Z count as a-z; words are runs of other
     characters than space and \\t to \\r. Null, empty and blank texts: 0."""
 
-    @F.pandas_udf("long")
-    def prints(batch: pd.Series) -> pd.Series:
-        # bytes.split() cuts at just these six characters, bytes.lower() changes just A-Z.
-        found = [fingerprint_bits((t or "").encode("utf-8", "replace").lower().split(), n) for t in batch]
-        return pd.Series(np.array(found, np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            # bytes.split() cuts at just these six characters, bytes.lower() changes just A-Z.
+            found = [fingerprint_bits(t.encode("utf-8", "replace").lower().split(), n) for t in strings(batch)]
+            yield pa.array(np.array(found, np.uint64).view(np.int64))
 
     return prints(text)
 

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, steps
+from .common import lists, sampled, steps, strings
 
 #: log2 of the weights that hashes fall on.
 BITS = 20
@@ -27,7 +28,7 @@ STEMS = (4, 5)
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = 0x9E3779B97F4A7C15
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 100_000
 
 
 def _mix(k: int) -> np.uint64:
@@ -113,24 +114,25 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, pas
     known = labelled.select("key", "text", "label").where(F.col("label").isin(0, 1))
     sample = sampled(known, "key", train_rows)
 
-    @F.pandas_udf("array<int>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher(bits)
         for batch in batches:
             out = []
-            for texts in steps(batch):
+            for texts in steps(strings(batch)):
                 doc, feature = hasher.features(texts)
                 pairs = np.unique(doc * (1 << bits) + feature)
                 cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * (1 << bits))
                 out += [x.astype(np.int32) for x in np.split(pairs & ((1 << bits) - 1), cuts)]
-            yield pd.Series(out, dtype=object)
+            yield lists(out)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.asarray(f, np.int64), y) for b in batches for f, y in zip(b["f"], b["label"], strict=True)]
-        texts = np.zeros(1 << bits, np.int64)
+        rows = [(np.array(f, np.int32), y) for b in batches for f, y in zip(b["f"], b["label"], strict=True)]
+        texts = np.zeros(1 << bits, np.int32)
         for i, _ in rows:
             texts[i] += 1
-        rows = [(np.append(i[texts[i] >= LEAST_TEXTS], 1 << bits), y) for i, y in rows]
+        for k, (i, y) in enumerate(rows):
+            rows[k] = np.append(i[texts[i] >= LEAST_TEXTS], np.int32(1 << bits)), y
         model = FTRL((1 << bits) + 1)
         epochs = min(max(-(-passes // max(len(rows), 1)), EPOCHS[0]), EPOCHS[1])
         for _ in range(epochs):
@@ -149,8 +151,8 @@ def score(text: Column, model: Model) -> Column:
     """Column of double, 0 to 1. Null and empty texts get what the bias gives, as all texts without known features do.
     A feature counts once a text, however often it comes, so repeated lines and long texts weigh no more."""
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         size = 1 << model.bits
         hasher, weight, bias = Hasher(model.bits), np.zeros(size), 0.0
         for i, w in zip(model.index, model.weight, strict=True):
@@ -160,12 +162,12 @@ def score(text: Column, model: Model) -> Column:
                 weight[i] = w
         for batch in batches:
             out = []
-            for texts in steps(batch):
+            for texts in steps(strings(batch)):
                 doc, feature = hasher.features(texts)
                 heavy = weight[feature] != 0
                 pairs = np.unique(doc[heavy] * size + feature[heavy])
                 total = bias + np.bincount(pairs >> model.bits, weight[pairs & (size - 1)], minlength=len(texts))
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return scores(text)
