@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .common import lists, steps, strings, structs
+from .common import frugal, lists, steps, strings, structs
 
 #: Pieces whose ids a worker remembers.
 MEMO_PIECES = 600_000
@@ -120,7 +120,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in batches:
+        for batch in frugal(batches):
             yield lists([x for texts in steps(strings(batch)) for x in bpe.encode_batch(texts)])
 
     return ids(text)
@@ -134,7 +134,7 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<struct<id:int,start:int,end:int>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.array([[{"id": i, "start": a, "end": b} for i, a, b in bpe.spans(t)] for t in strings(batch)], kind)
 
     return spans(text)
@@ -146,7 +146,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.array([bpe.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
 
     return text(ids)
@@ -159,7 +159,7 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in batches:
+        for batch in frugal(batches):
             rows = []
             for texts in steps(strings(batch)):
                 for ids in bpe.encode_batch(texts):

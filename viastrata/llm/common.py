@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cluster import checkpoint
+
+__all__ = ["STEP_CHARS", "checkpoint", "fold", "frugal", "lists", "release", "sampled", "steps", "strings", "structs", "table"]
+
 #: Characters of text that one NumPy step works on; a longer text makes a step of its own.
 STEP_CHARS = 1 << 20
 
@@ -18,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder that spark.checkpoint.dir names, so that lost executors cost no more than
-    a read. The files go when Spark's cleaner finds the frame unused. Only a local session may go without the setting."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="viastrata-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
@@ -51,6 +43,22 @@ def strings(texts: pa.Array, rows: int = 128) -> Iterator[str]:
             yield text or ""
 
 
+def frugal(batches: Iterator) -> Iterator:
+    """The batches of a task. Before and after them the worker, which Spark keeps for later tasks, gives memory that nothing
+    uses back to the system."""
+    release()
+    yield from batches
+    release()
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lists(arrays: list[np.ndarray], kind: type = np.int32) -> pa.Array:
     """An Arrow array of lists."""
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int64)

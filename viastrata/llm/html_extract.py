@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, steps, strings
+from .common import frugal, sampled, steps, strings
 
 #: Pages that training takes at most; weight of a count that no page gave; marginal from which a node is content.
-TRAIN_PAGES, SMOOTH, THRESHOLD = 2_000, 0.5, 0.5
+TRAIN_PAGES, SMOOTH, THRESHOLD = 2_000, 0.02, 0.5
 #: Nodes that the corpus's pages count for, as a share of the built-in ones.
 CORPUS_SHARE = 0.25
 
@@ -369,7 +369,7 @@ def main_text(html: Column, model: Model, threshold: float = THRESHOLD) -> Colum
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.array(["\n".join(b) for run in steps(strings(batch)) for b in extract_batch(run, model, threshold)], pa.string())
 
     return texts(html)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lists, sampled, steps, strings, structs
+from .common import checkpoint, frugal, lists, sampled, steps, strings, structs
 
 #: n-gram lengths of the blended spectrum, and log2 of the places that they are hashed to.
 SPECTRUM = (1, 2, 3, 4)
@@ -101,7 +101,7 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
 
     @F.arrow_udf("array<int>")
     def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             yield lists([np.flatnonzero(presence([t], bits)[0]) for t in strings(batch)])
 
     base = np.zeros((0, 1 << bits), np.float32)
@@ -152,7 +152,7 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             names, scores = [], []
             for texts in _blocks(strings(batch)):
                 if not model.languages:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, strings, structs
+from .common import checkpoint, frugal, strings, structs
 
 #: Code points of the shortest line that counts; documents that make it repeated; batches of a table; runs that are merged.
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
@@ -41,7 +41,7 @@ def keys_column(text: Column, min_chars: int = MIN_CHARS) -> Column:
 
     @F.arrow_udf("array<binary>")
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.array([list({k for k in line_keys(t, min_chars) if k is not None}) for t in strings(batch)], pa.list_(pa.binary()))
 
     return keys(text)
@@ -128,7 +128,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
     @F.arrow_udf("text string, n_lines long, n_dropped long")
     def cut(batches_: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, gone in batches_:
+        for texts, gone in frugal(batches_):
             rows = []
             for text, keys in zip(strings(texts), gone, strict=True):
                 if not keys.is_valid:

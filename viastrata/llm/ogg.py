@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import strings, structs
+from .common import frugal, strings, structs
 
 #: Fixed values of the page format (RFC 3533).
 CAPTURE = b"OggS"
@@ -223,7 +223,7 @@ def stored(text: Column) -> Column:
 
     @F.arrow_udf(fields)
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             rows = [describe_one(x) for x in strings(batch)]
             kinds = [pa.int64() if f.endswith("long") else pa.string() for f in fields.split(", ")]
             yield structs(**{f.split()[0]: pa.array([r[k] for r in rows], kinds[k]) for k, f in enumerate(fields.split(", "))})

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, steps, strings
+from .bpe import byte_chars, read_ranks
+from .common import checkpoint, frugal, steps, strings
 
 #: Tokens of a sequence; id that ends a document; groups that ranks and sums are counted in.
 WINDOW, END_ID, SALTS = 2048, 1, 64
@@ -213,28 +214,37 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, ranks_path: str | None, pattern: str | None):
+    if ranks_path is None:
+        tokenizer = _tokenizer(path)
+        return lambda texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    import tiktoken
+
+    same = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+    return lambda texts: [same.encode_to_numpy(t, disallowed_special=()) for t in texts]
+
+
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    if ranks_path is None:
-        return lambda texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    import tiktoken
+    return tokenizer
 
-    from .bpe import byte_chars, read_ranks
 
-    ranks, char = read_ranks(ranks_path), byte_chars()
-    own = tokenizer.get_vocab(with_added_tokens=False)
-    if any(own.get("".join(char[b] for b in token)) != rank for token, rank in ranks.items()):
+@lru_cache(maxsize=2)
+def check_ranks(path: str, ranks_path: str) -> None:
+    """An error if a rank file's vocabulary is not that of a tokenizer file."""
+    char, own = byte_chars(), _tokenizer(path).get_vocab(with_added_tokens=False)
+    if any(own.get("".join(char[b] for b in token)) != rank for token, rank in read_ranks(ranks_path).items()):
         raise ValueError(f"{ranks_path} is not the vocabulary of {path}")
-    same = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [same.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
 
 def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4, ranks_path: str | None = None, pattern: str | None = None) -> Column:
     """Column of binary: ids, little-endian of `width` bytes, of each whole text (null: empty) by a tokenizer file, and end_id.
     With a rank file of the same vocabulary (it is compared) and its pattern, the same ids are found by the faster tiktoken
     library. An id that does not fit the width is an error."""
+    if ranks_path is not None:
+        check_ranks(path, ranks_path)
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -246,7 +256,7 @@ def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4,
                 raise ValueError(f"an id does not fit {width} bytes")
             return x.astype(f"<u{width}").tobytes() + end
 
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.array([packed(x) for run in steps(strings(batch)) for x in encode(run)], pa.binary())
 
     # So that no plan asks for it twice.

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, sampled, steps, strings
+from .common import frugal, lists, sampled, steps, strings
 
 #: Labelled rows that training takes at most; Fourier features; width of the kernel in standard deviations; ridge; seed.
 TRAIN_ROWS, FEATURES, WIDTH, RIDGE, SEED = 20_000, 256, 4.0, 1e-3, 7
@@ -119,7 +119,7 @@ def stats_column(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             yield lists([x for run in steps(strings(batch)) for x in statistics(run)], np.float64)
 
     return stats(text)
@@ -171,7 +171,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.array(np.concatenate([np.zeros(0), *(model.score(statistics(run)) for run in steps(strings(batch)))]))
 
     return scores(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, strings
+from .common import checkpoint, frugal, strings
 
 #: Words of a shingle; bits that linked fingerprints differ in at most; members of a shard's piece.
 WORDS, RADIUS, PIECE = 3, 3, 2048
@@ -52,7 +52,7 @@ def fingerprint(text: Column, n: int = WORDS) -> Column:
 
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in frugal(batches):
             # bytes.split() cuts at just these six characters, bytes.lower() changes just A-Z.
             found = [fingerprint_bits(t.encode("utf-8", "replace").lower().split(), n) for t in strings(batch)]
             yield pa.array(np.array(found, np.uint64).view(np.int64))

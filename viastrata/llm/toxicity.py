@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, sampled, steps, strings
+from .common import frugal, lists, sampled, steps, strings
 
 #: log2 of the weights that hashes fall on.
 BITS = 20
@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, pas
     @F.arrow_udf("array<int>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher(bits)
-        for batch in batches:
+        for batch in frugal(batches):
             out = []
             for texts in steps(strings(batch)):
                 doc, feature = hasher.features(texts)
@@ -160,7 +160,7 @@ def score(text: Column, model: Model) -> Column:
                 bias = w
             else:
                 weight[i] = w
-        for batch in batches:
+        for batch in frugal(batches):
             out = []
             for texts in steps(strings(batch)):
                 doc, feature = hasher.features(texts)
