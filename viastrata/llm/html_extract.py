@@ -87,7 +87,7 @@ class Dom:
 
 def parse(html: str) -> Dom:
     """The page's tree. Unclosed elements end with their parents or where HTML implies it; stray end tags are passed over;
-    a cut tag at the page's end is no text; comments, scripts and the like hold none."""
+    a cut tag at the page's end is no text; comments, scripts and the like are left out."""
     dom = Dom()
     open_: list[int] = [dom.add("#root", -1)]
     at, end = 0, len(html)
@@ -134,17 +134,13 @@ def parse(html: str) -> Dom:
                     del open_[k:]
                     if tag != "tr":
                         break
-        node = dom.add(tag, open_[-1], attributes)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
-            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            if not stop:
-                at = end
-                continue
-            at = html.find(">", stop.end()) + 1 or end
+            at = html.find(">", stop.end()) + 1 or end if stop else end
             continue
-        open_.append(node)
+        node = dom.add(tag, open_[-1], attributes)
+        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+            open_.append(node)
     return dom
 
 
@@ -162,7 +158,7 @@ def features(dom: Dom) -> list[tuple[str, ...]]:
     out = []
     for k in range(n):
         tag = dom.tag[k]
-        own = [f"tag={tag}" if tag in BLOCK or tag in RAW or tag in ("a", "button", "label", "#text", "#root") else "tag=inline"]
+        own = [f"tag={tag}" if tag in BLOCK or tag in ("a", "button", "label", "#text", "#root") else "tag=inline"]
         if dom.names[k]:
             words = set(_WORDS.findall(dom.names[k]))
             own += ["name=against"] * bool(words & _AGAINST) + ["name=for"] * bool(words & _FOR and not words & _AGAINST)
@@ -170,7 +166,7 @@ def features(dom: Dom) -> list[tuple[str, ...]]:
             share = linked[k] / size[k] if size[k] else 0
             own += [f"links={0 if share < 0.1 else 1 if share < 0.5 else 2}"] if size[k] else ["empty"] * (tag in BLOCK)
         else:
-            own += [f"long={min(size[k].bit_length() // 2, 4)}" + "a" * (dom.tag[dom.parent[k]] == "a")]
+            own += [f"long={min(size[k].bit_length() // 2, 6)}" + "a" * (dom.tag[dom.parent[k]] == "a")]
         if dom.hidden[k]:
             own += ["hidden"]
         out.append(tuple(own))
@@ -185,7 +181,7 @@ def holder_labels(dom: Dom) -> list[int] | None:
             labels = [0] * len(dom.tag)
             for k in range(tops[0], len(labels)):
                 inside = k == tops[0] or labels[dom.parent[k]]
-                bad = dom.tag[k] in ("nav", "aside", "footer", "form", "button") or dom.tag[k] in RAW or dom.hidden[k] or _AGAINST & set(_WORDS.findall(dom.names[k]))
+                bad = dom.tag[k] in ("nav", "aside", "footer", "form", "button") or dom.hidden[k] or _AGAINST & set(_WORDS.findall(dom.names[k]))
                 labels[k] = int(bool(inside) and not bad)
             return labels
     return None
@@ -195,23 +191,28 @@ def labelled_set() -> Iterator[tuple[str, list[int]]]:
     """The built-in labelled pages: each way to hold the text, with each kind of part that is none, in and beside it.
     A part that is content bears the attribute y."""
     long = "Some words of a text that goes on, as a text does, for a line or two, and then ends here. " * 3
-    bad = [f"<{t}><p>{long}</p><a href=x>more words</a></{t}>" for t in ("nav", "aside", "footer", "header", "form")]
-    bad += [f'<div class="{w}"><p>{long[:120]}</p></div>' for w in AGAINST] + [f'<section id="{w}"><h3>Short</h3><p>{long[:150]}</p></section>' for w in ("comments", "sidebar", "related", "cookie-notice")]
+    sizes = (6, 14, 25, 40, 60, 90, 130, 200)
+    some = [long[:n] for n in sizes]
+    bad = [f"<{t}><p>{x}</p><a href=x>more words</a></{t}>" for k, t in enumerate(("nav", "aside", "footer", "header", "form")) for x in some[k % 2 :: 2]]
+    bad += [f'<div class="{w}"><p>{some[k % 8]}</p></div>' for k, w in enumerate(AGAINST)] + [f'<div class="{w}">{some[k * 3 % 8]}</div>' for k, w in enumerate(AGAINST[::2])]
+    bad += [f'<section id="{w}"><h3>{some[k]}</h3><p>{some[k + 3]}</p></section>' for k, w in enumerate(("comments", "sidebar", "related", "cookie-notice"))]
     bad += ["<ul>" + "<li><a href=x>word</a></li>" * 6 + "</ul>", "<script>f()</script>", "<button>Go on</button>", f"<div hidden><p>{long}</p></div>"]
     holders = ["article", "main", "section", *(f'div class="{w}"' for w in FOR), "div", ""]
-    bad += [f'<div class="{w}">{long[:60]}</div>' for w in AGAINST[::2]]
     for k, part in enumerate(bad):
         for j, holder in enumerate(holders):
-            inner = f"<h1 y>A heading of it</h1><p y>{long}</p><p y><b y>{long[:60]}</b> {long}<br y>{long[:40]}</p><p y><b y>{long[:90]}<br y></b></p><p y>Shortly.</p><p y>So</p>" + (part if j % 2 else "")
+            inner = f"<h1 y>A heading of it</h1><p y>{long}</p><p y><b y>{long[:60]}</b> {long}<br y>{long[:40]}</p><p y><b y>{long[:90]}<br y></b></p><p y>Shortly.</p><p y>So</p><p y>{long * (2 + 7 * (j % 2))}</p>"
+            inner += "".join(bad[(k * 5 + j * 3 + n * 11) % len(bad)] for n in range(j % 4))
             inner += "<ul y><li y>A point that it makes</li></ul>" if k % 2 else f"<blockquote y><p y>{long[:90]}</p></blockquote><h2 y>More of it</h2><p y>Short one.</p>"
             held = f"<{holder} y>{inner}</{holder.split()[0]}>" if holder else inner
-            page = f"<html y><head><title>T</title></head><body y>{part}{held}{bad[(k * 7 + j) % len(bad)]}</body></html>"
+            body = f"{part}{held}{bad[(k * 7 + j) % len(bad)]}"
+            body = f"<div><div>{body}</div></div>" if holder and k % 3 == 0 else body
+            page = f"<html y><head><title>T</title></head><body y>{body}</body></html>"
             dom = parse(page)
             yield page, _marked(page, dom)
 
 
 def _marked(page: str, dom: Dom) -> list[int]:
-    marks = [bool(re.search(r"\sy$", m[3])) for m in _TAG.finditer(page) if m[2] and not m[1]]
+    marks = [bool(re.search(r"\sy$", m[3])) for m in _TAG.finditer(page) if m[2] and not m[1] and m[2] not in RAW]
     starts = iter(marks)
     labels: list[int] = []
     for k, tag in enumerate(dom.tag):
