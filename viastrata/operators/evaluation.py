@@ -47,8 +47,12 @@ def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, mat
     """(score, n): 1 less the mean difference of shortest ways, as a share of the way here, at most 1; 1 where the other graph
     lacks an end or a way. Pairs without a way here are not counted; without any the score is 1 and n 0."""
     joined = graph.degrees(nodes, edges).where("degree > 0").select("node_id")
-    pairs = checkpoint(node_pairs(joined, most, seed))
-    here = graph.pair_distances(edges, pairs).where("dist > 0")
+    if most is None:
+        # All pairs: what the distances of all nodes give already.
+        ways = graph.distances(edges, joined.select(F.col("node_id").alias("source")))
+        here = ways.where("source < node_id and dist > 0").select(F.col("source").alias("origin"), F.col("node_id").alias("dest"), "dist")
+    else:
+        here = graph.pair_distances(edges, checkpoint(node_pairs(joined, most, seed))).where("dist > 0")
     both = checkpoint(_matched(here, match, "origin", "dest"))
     asked = both.where("_ma is not null and _mb is not null").select(F.col("_ma").alias("origin"), F.col("_mb").alias("dest")).distinct()
     there = graph.pair_distances(other_edges, asked).select(F.col("origin").alias("_ma"), F.col("dest").alias("_mb"), F.col("dist").alias("other"))
@@ -85,6 +89,9 @@ def breaks_per_km(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, fo
 
 def connectivity(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 1000, seed: str = "0", conditional: bool = False) -> DataFrame:
     """One row: ratio of pairs that hang together in both graphs to all pairs, or (conditional) to those that do in the true one."""
+    n = nodes.count()
+    if most is None or n * (n - 1) // 2 <= most:
+        return _connectivity_of_all(nodes, edges, found_nodes, found_edges, tolerance, conditional, n)
     pairs = checkpoint(node_pairs(nodes.select("node_id"), most, seed))
     true = graph.reachable(nodes, edges, pairs)
     told = _joined(true, snapped(nodes, found_nodes, tolerance), checkpoint(graph.components(found_nodes, found_edges)), "origin", "dest")
@@ -93,6 +100,18 @@ def connectivity(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, fou
     return sums.withColumn("ratio", F.when(F.col("n_pairs") > 0, F.col("n_reachable") / F.col("n_pairs")).otherwise(F.lit(1.0)))
 
 
+def _connectivity_of_all(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float, conditional: bool, n: int) -> DataFrame:
+    """Connectivity over all pairs, from the sizes of parts: nodes that share a true and a found part hang together in both."""
+    true = checkpoint(graph.components(nodes, edges))
+    found = graph.components(found_nodes, found_edges).select(F.col("node_id").alias("match"), F.col("component").alias("there"))
+    placed = true.join(snapped(nodes, found_nodes, tolerance).join(found, "match"), "node_id").groupBy("component", "there").agg(F.count("*").alias("k"))
+    half = (F.col("k") * (F.col("k") - 1) / 2).cast("long")
+    both = placed.agg(F.coalesce(F.sum(half), F.lit(0)).alias("n_reachable"))
+    within = true.groupBy("component").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(half), F.lit(0)).alias("n_pairs"))
+    whole = within if conditional else within.select(F.lit(n * (n - 1) // 2).cast("long").alias("n_pairs"))
+    return whole.crossJoin(both).withColumn("ratio", F.when(F.col("n_pairs") > 0, F.col("n_reachable") / F.col("n_pairs")).otherwise(F.lit(1.0)))
+
+
 def matched_length(nodes: DataFrame, edges: DataFrame, other_nodes: DataFrame, other_edges: DataFrame, tolerance: float = SNAP) -> DataFrame:
     told = _joined(edges.select("src", "dst", "length"), snapped(nodes, other_nodes, tolerance), checkpoint(graph.components(other_nodes, other_edges)), "src", "dst")
     return told.agg(F.coalesce(F.sum(F.when(F.col("joined"), F.col("length"))), F.lit(0.0)).alias("matched"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total"))

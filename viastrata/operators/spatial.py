@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cluster import checkpoint
 from . import rasters
 
 #: Points of a grid cell above which a radius join deals the cell's points to several tasks.
@@ -216,19 +217,29 @@ def filled_cells(rings: DataFrame, size: float) -> DataFrame:
 
 def density(nodes: DataFrame, weight: str, steps: int = 90, sigma: float = 0.05, pad: float = 0.12) -> DataFrame:
     """(i, j, intensity): weights spread as Gaussians on a steps x steps grid over the points' box, the peak 1. sigma and pad
-    are shares of the box's diagonal. All 0 if no weight is above 0. The grid, of fixed size, goes to every task."""
+    are shares of the box's diagonal. All 0 if no weight is above 0. As a Gaussian is a product of one in x and one in y, a
+    batch of points is one matrix product, and each task sends one grid."""
     ends = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.max(weight)).first()
     spark = nodes.sparkSession
-    grid = spark.range(steps).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(steps).select(F.col("id").cast("int").alias("j")))
     if ends[4] is None or ends[4] <= 0:
-        return grid.withColumn("intensity", F.lit(0.0))
+        cells = spark.range(steps * steps)
+        return cells.select(F.expr(f"cast(id div {steps} as int)").alias("i"), (F.col("id") % steps).cast("int").alias("j"), F.lit(0.0).alias("intensity"))
     x0, x1, y0, y1 = (float(v) for v in ends[:4])
     diagonal = float(np.hypot(x1 - x0, y1 - y0)) or 1.0
-    s = max(diagonal * sigma, 1e-6)
-    p = diagonal * pad
-    place = lambda k, a, b: F.lit(a - p) + F.col(k) * ((b - a + 2 * p) / (steps - 1))
-    at = grid.withColumn("gx", place("j", x0, x1)).withColumn("gy", place("i", y0, y1))
-    bump = F.exp(-((F.col("gx") - F.col("x")) ** 2 + (F.col("gy") - F.col("y")) ** 2) / (2 * s * s)) * F.col(weight)
-    summed = nodes.where(F.col(weight) != 0).select("x", "y", weight).join(F.broadcast(at), how="cross").groupBy("i", "j").agg(F.sum(bump).alias("v"))
-    peak = summed.agg(F.max("v").alias("peak"))
-    return summed.join(F.broadcast(peak), how="cross").select("i", "j", F.when(F.col("peak") > 0, F.col("v") / F.col("peak")).otherwise(F.lit(0.0)).alias("intensity"))
+    s, p = max(diagonal * sigma, 1e-6), diagonal * pad
+    gx, gy = np.linspace(x0 - p, x1 + p, steps), np.linspace(y0 - p, y1 + p, steps)
+
+    def spread(batches):
+        grid = np.zeros((steps, steps))
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                part = b.iloc[at : at + 4096]
+                bump = [np.exp(-((g[None, :] - part[c].to_numpy(float)[:, None]) ** 2) / (2 * s * s)) for g, c in ((gx, "x"), (gy, "y"))]
+                grid += bump[1].T @ (bump[0] * part["w"].to_numpy(float)[:, None])
+        i, j = np.indices(grid.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": grid.ravel()})
+
+    grids = nodes.where(F.col(weight) != 0).select("x", "y", F.col(weight).cast("double").alias("w")).mapInPandas(spread, "i int, j int, v double")
+    summed = checkpoint(grids.groupBy("i", "j").agg(F.sum("v").alias("v")))
+    peak = summed.agg(F.max("v").alias("peak")).first()["peak"]
+    return summed.select("i", "j", (F.col("v") / peak if peak and peak > 0 else F.lit(0.0)).alias("intensity"))

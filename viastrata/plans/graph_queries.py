@@ -421,14 +421,14 @@ def w03_rank_scenarios(spark, d):
     return resilience.ranked(d03_resilience_index(spark, d).select("scenario", "index"))
 
 
-@query(f"SELECT scenario, round(index, 4) AS index, cut_off FROM ({_INDEX.replace(', 6) AS index', ', 12) AS index')}) UNION ALL SELECT 'nothing', NULL, NULL")
+@query(f"SELECT scenario, round(index, 4) AS index FROM ({_INDEX.replace(', 6) AS index', ', 12) AS index')}) UNION ALL SELECT 'nothing', NULL")
 def d04_scenario_records(spark, d):
     n, e = _pair(spark, d)
     s = X.scenarios(spark, d)
     _, roads = resilience.surviving(n, e, s)
     index = resilience.resilience_index(resilience.path_deltas(e, roads, X.od_pairs(spark, d), s, s), ["scenario"])
     empty = spark.createDataFrame([("nothing",)], "scenario string")
-    return resilience.record(index.select("scenario", "index", "cut_off"), empty)
+    return resilience.record(index.select("scenario", "index"), empty)
 
 
 @query(f"""WITH s AS (SELECT node_id, {_SCORE} AS score FROM city_nodes) SELECT scenario, node_id FROM (

@@ -23,10 +23,10 @@ def s03_window_read(spark, d):
     return rasters.window(X.pixels(spark, d), 2, 1, 4, 4).select("tile_id", "row", "col", F.round("prob", 6).alias("prob"))
 
 
-@query("SELECT way_id, highway AS class, lanes FROM ways WHERE lon BETWEEN -100 AND 100 AND lat BETWEEN -45 AND 45")
+@query("SELECT way_id, highway AS class, coalesce(lanes, 0) AS lanes FROM ways WHERE lon BETWEEN -100 AND 100 AND lat BETWEEN -45 AND 45")
 def s05_ways_in_box(spark, d):
     w = X.ways(spark, d).withColumn("highway", F.array("highway", F.lit("other")))
-    return datasets.ways_in_box(w, -100, -45, 100, 45).select("way_id", F.col("highway").alias("class"), "lanes")
+    return datasets.ways_in_box(w, -100, -45, 100, 45).select("way_id", F.col("highway").alias("class"), F.coalesce("lanes", F.lit(0)).alias("lanes"))
 
 
 @query("SELECT path FROM listing WHERE path LIKE '%.tiff' ORDER BY path")
