@@ -18,7 +18,7 @@ LEAST_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(queries.labelled(spark, docs, sf_dir, "toxic", lambda d: fold(d, 3) != 1))
+    model = toxicity.fit(queries.labelled(spark, docs, sf_dir, "toxic", lambda d: fold(d, 3) != 1, toxicity.TRAIN_ROWS))
     return docs.withColumn("_toxic", toxicity.score(F.col("text"), model)).where(F.col("_toxic") < queries.TOXIC_FROM).select(*docs.columns)
 
 

@@ -80,10 +80,10 @@ class Model:
 
 
 def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Learns from (key long, text string, label string), of rows with a label and a letter in the text. Each language gives
+    """Learns from (key long, text string, label string), of rows with a label and a text, and of those chosen the ones with a letter. Each language gives
     an equal share of the sample, as far as it has rows; landmarks are the first of each. The driver gets the landmarks'
     n-grams and, from each of a bounded number of tasks, a matrix of landmarks x landmarks. No rows: a model without languages."""
-    known = labelled.select("key", "text", "label").where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = labelled.select("key", "text", "label").where(F.col("label").isNotNull() & F.col("text").isNotNull())
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()}
     if not counts:
         return Model(bits, (), np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32))
@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
     for name, n in counts.items():
         wanted = F.when(F.col("label") == name, min(1.0, share / n)).otherwise(wanted)
     level = F.pmod(F.xxhash64(F.lit(29), "key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = checkpoint(sampled(known.where(level < wanted), "key", train_rows))
+    sample = checkpoint(sampled(known.where(level < wanted), "key", train_rows).where(F.col("text").rlike(r"\p{L}")))
     few = max(1, landmarks // len(languages))
     order = F.xxhash64(F.lit(17), "key")
     lowest = sample.groupBy("label").agg(F.sort_array(F.collect_list(order)).alias("h")).select("label", F.get("h", F.least(F.size("h"), F.lit(few)) - 1).alias("limit"))
@@ -108,6 +108,8 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
     for r in chosen.orderBy("label", order, "key").select(places("text").alias("p")).collect():
         base = np.vstack([base, np.zeros((1, 1 << bits), np.float32)])
         base[-1, r["p"]] = 1
+    if not len(base):
+        return Model(bits, (), np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32))
     base = np.unique(unit(base), axis=0)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     large = values > 1e-6 * values[-1]

@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, langid, line_dedup, ogg, packing, quality, rules, simhash, toxicity
-from .common import fold, table
+from .common import checkpoint, fold, sampled, table
 
 #: Fixed values of the contract: least scores of predictions.
 QUALITY_FROM, TOXIC_FROM = 0.3, 0.7
 
 
-def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, learn) -> DataFrame:
-    """(key, text, label) of the documents with a label that the condition `learn` on doc_id lets in."""
-    known = table(spark, sf_dir, "labels", "doc_id", label).where(F.col(label).isNotNull())
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, learn, bound: int) -> DataFrame:
+    """(key, text, label) of documents with a label 0 or 1 that the condition `learn` on doc_id lets in, for as many as `bound`
+    doc_ids, those that hash lowest. Ids alone are joined to choose them; the chosen, so few, are broadcast to the texts."""
+    known = table(spark, sf_dir, "labels", "doc_id", label).where(F.col(label).isin(0, 1))
     known = known.select(F.col("doc_id").alias("key"), F.col(label).alias("label")).where(learn(F.col("key")))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("key")).select("key", "text", "label")
+    there = docs.select("doc_id").where(learn(F.col("doc_id")))
+    chosen = checkpoint(sampled(known.join(there, F.col("key") == F.col("doc_id"), "left_semi"), "key", bound))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).select("key", "text", "label")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = quality.fit(labelled(spark, docs, sf_dir, "quality", lambda d: fold(d, 5) != 0))
+    model = quality.fit(labelled(spark, docs, sf_dir, "quality", lambda d: fold(d, 5) != 0, quality.TRAIN_ROWS))
     scored = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_FROM).cast("int"))
 
@@ -72,7 +75,7 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = toxicity.fit(labelled(spark, docs, sf_dir, "toxic", lambda d: fold(d, 3) != 1))
+    model = toxicity.fit(labelled(spark, docs, sf_dir, "toxic", lambda d: fold(d, 3) != 1, toxicity.TRAIN_ROWS))
     scored = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
