@@ -125,7 +125,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None
     both = edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(nodes.select(*keys, F.col("node_id").alias("u"), F.col("node_id").alias("v")))
     both = checkpoint(both)
     if largest_group(both, keys) > task_edges:
-        return _components_by_rounds(both, keys)
+        return components_by_rounds(both, keys)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         names, ends = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
@@ -139,8 +139,9 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None
     return grouped(both, keys).applyInPandas(kernel, schema)
 
 
-def _components_by_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Stars: the larger neighbours of each node are hung on the least, then its smaller ones, until nothing moves."""
+def components_by_rounds(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node_id, component) from links (keys, u, v) and a link u = v for each node. Stars: the larger neighbours of each
+    node are hung on the least, then its smaller ones, until nothing moves. No task holds more than a share of the links."""
     loops = pairs.where("u = v").select(*keys, F.col("u").alias("node_id"))
     hung = checkpoint(pairs.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
