@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components_by_rounds
 from .common import checkpoint, frugal, strings
 
 #: Words of a shingle; bits that linked fingerprints differ in at most; members of a shard's piece.
@@ -193,23 +194,11 @@ def _linked(rows: pd.DataFrame, radius: int) -> Iterator[pd.DataFrame]:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): the least node of each node's component, for the nodes of the links. Rounds of stars: each node's larger
-    neighbours, then its smaller ones, are hung on the least; written at each round; ends when a round changes nothing."""
-    hung = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        both = hung.unionByName(hung.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
-        hung = checkpoint(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        now = hung.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (now["n"], now["h"]):
-            return hung.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = (now["n"], now["h"])
+    """(node, root): the least node of each node's component, for the nodes of the links."""
+    links_ = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    loops = links_.select(F.explode(F.array("u", "v")).alias("u")).distinct().select("u", F.col("u").alias("v"))
+    found = components_by_rounds(checkpoint(links_.unionByName(loops)), [])
+    return found.select(F.col("node_id").alias("node"), F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, piece: int = PIECE) -> DataFrame:
