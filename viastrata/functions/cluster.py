@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,14 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
     return sizes.first()["n"] or 0
+
+
+def rank_within(rows: DataFrame, by: list[str], order: list[Column], name: str = "k") -> DataFrame:
+    """Rows with their rank, from 1, among those of equal `by`. Rows are dealt by ranges of by and order, ranks counted within
+    ranges and then across, so a group that holds most rows is many tasks' work. The order should leave no ties."""
+    dealt = checkpoint(rows.repartitionByRange(*map(F.col, by), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sizes.select(*by, "_range", (F.sum("_n").over(so_far) - F.col("_n")).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) + F.col("_start")
+    return dealt.join(starts, [*by, "_range"]).withColumn(name, rank.cast("long")).drop("_range", "_start")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.cluster import rank_within
 
 
 def scan(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
@@ -39,9 +40,8 @@ def pair_by_suffix(images: DataFrame, masks: DataFrame, image_suffix: str, mask_
 
 def pair_by_position(images: DataFrame, masks: DataFrame) -> DataFrame:
     """(dataset, img, mask): the k-th image of each dataset with the k-th mask, as far as both go."""
-    order = Window.partitionBy("dataset").orderBy("path")
-    a = images.select("dataset", F.col("path").alias("img"), F.row_number().over(order).alias("k"))
-    b = masks.select("dataset", F.col("path").alias("mask"), F.row_number().over(order).alias("k"))
+    a = rank_within(images.select("dataset", F.col("path").alias("img")), ["dataset"], [F.col("img")])
+    b = rank_within(masks.select("dataset", F.col("path").alias("mask")), ["dataset"], [F.col("mask")])
     return a.join(b, ["dataset", "k"]).select("dataset", "img", "mask")
 
 
@@ -85,14 +85,17 @@ def seeded_order(key: Column, seed: str) -> Column:
 
 def held_out(rows: DataFrame, by: str, key: Column, n: int, seed: str) -> DataFrame:
     """`held_out`: whether a row is among the first n of its group in a seeded order."""
-    order = Window.partitionBy(by).orderBy(seeded_order(key, seed), key)
-    return rows.withColumn("held_out", F.row_number().over(order) <= n)
+    place = F.struct(seeded_order(key, seed), key)
+    first = rows.select(by, place.alias("_at")).withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_at"))).where(F.col("_k") <= n)
+    limits = first.groupBy(by).agg(F.max("_at").alias("_limit"))
+    return rows.join(limits, by).withColumn("held_out", place <= F.col("_limit")).drop("_limit")
 
 
 def head_split(rows: DataFrame, by: str, order: str, share: float) -> DataFrame:
     """`head`: whether a row is in the first share of its group, one row at least."""
-    size = F.count("*").over(Window.partitionBy(by))
-    return rows.withColumn("head", F.row_number().over(Window.partitionBy(by).orderBy(order)) <= F.greatest(F.lit(1), F.floor(share * size)))
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))
+    ranked = rank_within(rows, [by], [F.col(order)], "_k").join(sizes, by)
+    return ranked.withColumn("head", F.col("_k") <= F.greatest(F.lit(1), F.floor(share * F.col("_size")))).drop("_k", "_size")
 
 
 def seeded_sample(rows: DataFrame, key: Column, n: int, seed: str) -> DataFrame:

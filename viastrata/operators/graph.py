@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cluster import checkpoint, largest_group
+from ..functions.cluster import checkpoint, largest_group, rank_within
 
 #: Edges of the largest graph that one task takes whole.
 TASK_EDGES = 300_000
@@ -80,13 +80,9 @@ def stubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def relabel(nodes: DataFrame, edges: DataFrame, first: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Ids without gaps, in the order of the old ones. Ranks are counted within ranges of ids and then across these."""
-    ids = nodes.select("node_id").repartitionByRange("node_id").withColumn("part", F.spark_partition_id())
-    ids = checkpoint(ids)
-    sizes = ids.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("part", "start")
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("node_id")) - 1 + F.col("start") + first
-    new = ids.join(F.broadcast(starts), "part").select(F.col("node_id").alias("old"), rank.cast("long").alias("new"))
+    """Ids without gaps, in the order of the old ones."""
+    ranked = checkpoint(rank_within(nodes.select(F.lit(0).alias("_all"), "node_id"), ["_all"], [F.col("node_id")]))
+    new = ranked.select(F.col("node_id").alias("old"), (F.col("k") - 1 + first).cast("long").alias("new"))
     a, b = new.select(F.col("old").alias("src"), F.col("new").alias("_a")), new.select(F.col("old").alias("dst"), F.col("new").alias("_b"))
     moved = edges.join(a, "src").join(b, "dst").drop("src", "dst").withColumnsRenamed({"_a": "src", "_b": "dst"})
     return nodes.join(new, F.col("node_id") == F.col("old")).drop("old", "node_id").withColumnRenamed("new", "node_id"), moved

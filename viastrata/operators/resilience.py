@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.cluster import checkpoint
+from ..functions.cluster import checkpoint, rank_within
 from . import graph, spatial
 
 
@@ -92,12 +92,8 @@ def ranked(results: DataFrame) -> DataFrame:
 
 
 def ranked_nodes(scores: DataFrame, score: str) -> DataFrame:
-    """(rank, node_id, score) from the greatest on; ids settle ties. Ranks are counted within ranges of scores, then across."""
-    parts = checkpoint(scores.select("node_id", score).repartitionByRange(F.desc(score), F.asc("node_id")).withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(score), "node_id")) + F.col("start")
-    return parts.join(F.broadcast(starts), "part").select(rank.cast("long").alias("rank"), "node_id", score)
+    """(rank, node_id, score) from the greatest on; ids settle ties."""
+    return rank_within(scores.select(F.lit(0).alias("_all"), "node_id", score), ["_all"], [F.desc(score), F.asc("node_id")], "rank").select("rank", "node_id", score)
 
 
 def top_nodes(scores: DataFrame, score: str, k: int) -> DataFrame:
