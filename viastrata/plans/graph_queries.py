@@ -326,7 +326,7 @@ def g17_parallel_edges(spark, d):
     return graph.canonical(both).select("src", "dst", "length")
 
 
-@query("SELECT node_id FROM (SELECT node_id, dist FROM sp_true WHERE source = 0 AND node_id IN (0, 1, 10, 11))")
+@query("WITH RECURSIVE h AS (SELECT 0::BIGINT AS node_id, 0 AS hops UNION SELECT s.v, hops + 1 FROM h JOIN sym s ON s.u = h.node_id WHERE hops < 4) SELECT node_id FROM (SELECT node_id, min(hops) AS hops FROM h GROUP BY 1) ORDER BY hops, node_id LIMIT 4")
 def g18_cluster(spark, d):
     return graph.cluster(*_pair(spark, d), 0, 4)
 
@@ -375,8 +375,9 @@ def a11_largest_part(spark, d):
     return resilience.largest_part(graph.components(left, roads, ["scenario"]), n.count(), ["scenario"]).withColumn("lcc_fraction", F.round("lcc_fraction", 6))
 
 
-_PEOPLE = """SELECT scenario, (SELECT sum(population) FROM city_nodes)::BIGINT AS total, main::BIGINT AS main, ((SELECT sum(population) FROM city_nodes) - main)::BIGINT AS isolated FROM (
-  SELECT scenario, people AS main, row_number() OVER (PARTITION BY scenario ORDER BY n DESC, component) AS k FROM (SELECT scenario, component, count(*) AS n, sum(population) AS people FROM parts_left JOIN left_nodes USING (scenario, node_id) GROUP BY 1, 2)) WHERE k = 1"""
+_PEOPLE = """SELECT scenario, (SELECT sum(population) FROM city_nodes)::BIGINT AS total, coalesce(main, 0)::BIGINT AS main, ((SELECT sum(population) FROM city_nodes) - coalesce(main, 0))::BIGINT AS isolated
+  FROM (SELECT DISTINCT scenario FROM scenarios) LEFT JOIN (SELECT scenario, main, k FROM (
+  SELECT scenario, people AS main, row_number() OVER (PARTITION BY scenario ORDER BY n DESC, component) AS k FROM (SELECT scenario, component, count(*) AS n, sum(population) AS people FROM parts_left JOIN left_nodes USING (scenario, node_id) GROUP BY 1, 2)) WHERE k = 1) USING (scenario)"""
 
 
 @query(_PEOPLE)
@@ -401,8 +402,8 @@ def d03_resilience_index(spark, d):
     return resilience.resilience_index(deltas, ["scenario"]).select("scenario", F.round("index", 6).alias("index"), "cut_off", "degraded", "unaffected")
 
 
-_SIMULATED = f"""SELECT scenario, lcc_size, round(lcc_size / n, 6) AS lcc_fraction, total, main, isolated, unreachable, index, cut_off, degraded, unaffected
-  FROM ({_LCC}) JOIN ({_PEOPLE}) USING (scenario) JOIN ({_INDEX}) USING (scenario)
+_SIMULATED = f"""SELECT scenario, coalesce(lcc_size, 0) AS lcc_size, round(coalesce(lcc_size, 0) / n, 6) AS lcc_fraction, total, main, isolated, unreachable, index, cut_off, degraded, unaffected
+  FROM ({_PEOPLE}) LEFT JOIN ({_LCC}) USING (scenario) JOIN ({_INDEX}) USING (scenario)
   JOIN (SELECT scenario, count(*) FILTER (perturbed IS NULL) AS unreachable FROM deltas GROUP BY 1) USING (scenario), city_size"""
 
 
@@ -443,7 +444,7 @@ def d05_default_scenarios(spark, d):
 @query(f"""WITH f AS (SELECT node_id FROM city_nodes WHERE {_ring_sql(RINGS)}), n1 AS (SELECT node_id FROM city_nodes WHERE node_id NOT IN (SELECT node_id FROM f)),
   s1 AS (SELECT u, v FROM sym WHERE u IN (SELECT node_id FROM n1) AND v IN (SELECT node_id FROM n1)),
   q AS (SELECT node_id AS a, node_id AS b FROM n1 UNION SELECT q.a, s1.v FROM q JOIN s1 ON s1.u = q.b), c AS (SELECT a, min(b) AS c FROM q GROUP BY 1)
-  SELECT 'flood' AS scenario, max(n) AS lcc_size FROM (SELECT c, count(*) AS n FROM c GROUP BY 1)""")
+  SELECT 'flood' AS scenario, max(n) AS lcc_size FROM (SELECT c, count(*) AS n FROM c GROUP BY 1) HAVING (SELECT count(*) FROM f) > 0""")
 def d06_flood_scenario(spark, d):
     n, e = _pair(spark, d)
     flooded = spatial.points_in_rings(n, RINGS).select(F.lit("flood").alias("scenario"), "node_id")
@@ -451,7 +452,7 @@ def d06_flood_scenario(spark, d):
 
 
 @query("""SELECT p.scenario, total, main, isolated, n_parts FROM (SELECT scenario, main * 2 AS main, total * 2 AS total, isolated * 2 AS isolated FROM (""" + _PEOPLE.replace("population", "(node_id % 5 + 1)").replace("sum((node_id % 5 + 1)) FROM city_nodes", "sum(node_id % 5 + 1) FROM city_nodes") + """)) p
-  JOIN (SELECT scenario, count(DISTINCT component) AS n_parts FROM parts_left GROUP BY 1) USING (scenario)""")
+  LEFT JOIN (SELECT scenario, count(DISTINCT component) AS n_parts FROM parts_left GROUP BY 1) USING (scenario)""")
 def d07_service_impact(spark, d):
     n, e = _pair(spark, d)
     homes = n.select(F.explode(F.array(F.lit(-4.0), F.lit(6.0))).alias("dx"), "*").select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + 3).alias("y"), (F.col("node_id") % 5 + 1).alias("people"))
