@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,29 +45,72 @@ def _matched(pairs: DataFrame, match: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(x, a, "left").join(y, b, "left")
 
 
-def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, match: DataFrame, most: int | None = None, seed: str = "0") -> DataFrame:
+class Pairing:
+    """A true and a found graph with what the measures share, made once: matches both ways, parts, and ways between all nodes."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP):
+        self.nodes, self.edges, self.found_nodes, self.found_edges, self.tolerance = nodes, edges, found_nodes, found_edges, tolerance
+
+    @cached_property
+    def there(self) -> DataFrame:
+        return snapped(self.nodes, self.found_nodes, self.tolerance)
+
+    @cached_property
+    def back(self) -> DataFrame:
+        return snapped(self.found_nodes, self.nodes, self.tolerance)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return checkpoint(graph.components(self.nodes, self.edges))
+
+    @cached_property
+    def found_parts(self) -> DataFrame:
+        return checkpoint(graph.components(self.found_nodes, self.found_edges))
+
+    @cached_property
+    def ways(self) -> DataFrame:
+        return all_ways(self.nodes, self.edges)
+
+    @cached_property
+    def found_ways(self) -> DataFrame:
+        return all_ways(self.found_nodes, self.found_edges)
+
+
+def all_ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, node_id, dist) between all nodes that have roads."""
+    joined = graph.degrees(nodes, edges).where("degree > 0").select(F.col("node_id").alias("source"))
+    return checkpoint(graph.distances(edges, joined).select("source", "node_id", "dist"))
+
+
+def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, match: DataFrame, most: int | None = None, seed: str = "0", ways: DataFrame | None = None, other_ways: DataFrame | None = None) -> DataFrame:
     """(score, n): 1 less the mean difference of shortest ways, as a share of the way here, at most 1; 1 where the other graph
-    lacks an end or a way. Pairs without a way here are not counted; without any the score is 1 and n 0."""
-    joined = graph.degrees(nodes, edges).where("degree > 0").select("node_id")
+    lacks an end or a way. Pairs without a way here are not counted; without any the score is 1 and n 0. ways, other_ways: all_ways of the graphs,
+    if known."""
     if most is None:
         # All pairs: what the distances of all nodes give already.
-        ways = graph.distances(edges, joined.select(F.col("node_id").alias("source")))
+        ways = all_ways(nodes, edges) if ways is None else ways
         here = ways.where("source < node_id and dist > 0").select(F.col("source").alias("origin"), F.col("node_id").alias("dest"), "dist")
     else:
+        joined = graph.degrees(nodes, edges).where("degree > 0").select("node_id")
         here = graph.pair_distances(edges, checkpoint(node_pairs(joined, most, seed))).where("dist > 0")
     both = checkpoint(_matched(here, match, "origin", "dest"))
-    asked = both.where("_ma is not null and _mb is not null").select(F.col("_ma").alias("origin"), F.col("_mb").alias("dest")).distinct()
-    there = graph.pair_distances(other_edges, asked).select(F.col("origin").alias("_ma"), F.col("dest").alias("_mb"), F.col("dist").alias("other"))
+    if other_ways is None:
+        asked = both.where("_ma is not null and _mb is not null").select(F.col("_ma").alias("origin"), F.col("_mb").alias("dest")).distinct()
+        there = graph.pair_distances(other_edges, asked).select(F.col("origin").alias("_ma"), F.col("dest").alias("_mb"), F.col("dist").alias("other"))
+    else:
+        there = other_ways.select(F.col("source").alias("_ma"), F.col("node_id").alias("_mb"), F.col("dist").alias("other"))
     told = both.join(there, ["_ma", "_mb"], "left")
     penalty = F.when(F.col("other").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.abs(F.col("dist") - F.col("other")) / F.col("dist")))
     return told.agg(F.coalesce(1 - F.avg(penalty), F.lit(1.0)).alias("score"), F.count("*").alias("n"))
 
 
-def apls(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 500, seed: str = "0") -> DataFrame:
+def apls(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 500, seed: str = "0", known: Pairing | None = None) -> DataFrame:
     """One row: apls (the two ways' mean by their pairs), apls_there, apls_back, n_there, n_back, matched nodes."""
-    there, back = snapped(nodes, found_nodes, tolerance), snapped(found_nodes, nodes, tolerance)
-    a = apls_one_way(nodes, edges, found_edges, there, most, seed).select(F.col("score").alias("apls_there"), F.col("n").alias("n_there"))
-    b = apls_one_way(found_nodes, found_edges, edges, back, most, seed).select(F.col("score").alias("apls_back"), F.col("n").alias("n_back"))
+    known = known or Pairing(nodes, edges, found_nodes, found_edges, tolerance)
+    there, back = known.there, known.back
+    ways, found_ways = (known.ways, known.found_ways) if most is None else (None, None)
+    a = apls_one_way(nodes, edges, found_edges, there, most, seed, ways, found_ways).select(F.col("score").alias("apls_there"), F.col("n").alias("n_there"))
+    b = apls_one_way(found_nodes, found_edges, edges, back, most, seed, found_ways, ways).select(F.col("score").alias("apls_back"), F.col("n").alias("n_back"))
     total = F.col("n_there") + F.col("n_back")
     mean = F.when(total > 0, (F.col("apls_there") * F.col("n_there") + F.col("apls_back") * F.col("n_back")) / total).otherwise(F.lit(1.0))
     counts = there.agg(F.count("*").alias("matched")).crossJoin(back.agg(F.count("*").alias("matched_found")))
@@ -80,31 +125,33 @@ def _joined(pairs: DataFrame, match: DataFrame, parts: DataFrame, a: str, b: str
     return both.withColumn("joined", F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).drop("_ma", "_mb", "_ca", "_cb")
 
 
-def breaks_per_km(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP) -> DataFrame:
+def breaks_per_km(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, known: Pairing | None = None) -> DataFrame:
     """One row: true edges whose ends do not hang together in the found graph, true kilometres, breaks for each."""
-    told = _joined(edges.select("src", "dst", "length"), snapped(nodes, found_nodes, tolerance), checkpoint(graph.components(found_nodes, found_edges)), "src", "dst")
+    known = known or Pairing(nodes, edges, found_nodes, found_edges, tolerance)
+    told = _joined(edges.select("src", "dst", "length"), known.there, known.found_parts, "src", "dst")
     sums = told.agg(F.count_if(~F.col("joined")).alias("breaks"), (F.coalesce(F.sum("length"), F.lit(0.0)) / 1000).alias("km"))
     return sums.withColumn("breaks_per_km", F.when(F.col("km") > 0, F.col("breaks") / F.col("km")).otherwise(F.lit(0.0)))
 
 
-def connectivity(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 1000, seed: str = "0", conditional: bool = False) -> DataFrame:
+def connectivity(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 1000, seed: str = "0", conditional: bool = False, known: Pairing | None = None) -> DataFrame:
     """One row: ratio of pairs that hang together in both graphs to all pairs, or (conditional) to those that do in the true one."""
     n = nodes.count()
+    known = known or Pairing(nodes, edges, found_nodes, found_edges, tolerance)
     if most is None or n * (n - 1) // 2 <= most:
-        return _connectivity_of_all(nodes, edges, found_nodes, found_edges, tolerance, conditional, n)
+        return _connectivity_of_all(known, conditional, n)
     pairs = checkpoint(node_pairs(nodes.select("node_id"), most, seed))
     true = graph.reachable(nodes, edges, pairs)
-    told = _joined(true, snapped(nodes, found_nodes, tolerance), checkpoint(graph.components(found_nodes, found_edges)), "origin", "dest")
+    told = _joined(true, known.there, known.found_parts, "origin", "dest")
     whole = F.count_if("connected") if conditional else F.count("*")
     sums = told.agg(whole.alias("n_pairs"), F.count_if(F.col("connected") & F.col("joined")).alias("n_reachable"))
     return sums.withColumn("ratio", F.when(F.col("n_pairs") > 0, F.col("n_reachable") / F.col("n_pairs")).otherwise(F.lit(1.0)))
 
 
-def _connectivity_of_all(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float, conditional: bool, n: int) -> DataFrame:
+def _connectivity_of_all(known: Pairing, conditional: bool, n: int) -> DataFrame:
     """Connectivity over all pairs, from the sizes of parts: nodes that share a true and a found part hang together in both."""
-    true = checkpoint(graph.components(nodes, edges))
-    found = graph.components(found_nodes, found_edges).select(F.col("node_id").alias("match"), F.col("component").alias("there"))
-    placed = true.join(snapped(nodes, found_nodes, tolerance).join(found, "match"), "node_id").groupBy("component", "there").agg(F.count("*").alias("k"))
+    true = known.parts
+    found = known.found_parts.select(F.col("node_id").alias("match"), F.col("component").alias("there"))
+    placed = true.join(known.there.join(found, "match"), "node_id").groupBy("component", "there").agg(F.count("*").alias("k"))
     half = (F.col("k") * (F.col("k") - 1) / 2).cast("long")
     both = placed.agg(F.coalesce(F.sum(half), F.lit(0)).alias("n_reachable"))
     within = true.groupBy("component").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(half), F.lit(0)).alias("n_pairs"))
@@ -112,15 +159,17 @@ def _connectivity_of_all(nodes: DataFrame, edges: DataFrame, found_nodes: DataFr
     return whole.crossJoin(both).withColumn("ratio", F.when(F.col("n_pairs") > 0, F.col("n_reachable") / F.col("n_pairs")).otherwise(F.lit(1.0)))
 
 
-def matched_length(nodes: DataFrame, edges: DataFrame, other_nodes: DataFrame, other_edges: DataFrame, tolerance: float = SNAP) -> DataFrame:
-    told = _joined(edges.select("src", "dst", "length"), snapped(nodes, other_nodes, tolerance), checkpoint(graph.components(other_nodes, other_edges)), "src", "dst")
+def matched_length(edges: DataFrame, match: DataFrame, other_parts: DataFrame) -> DataFrame:
+    """(matched, total): length of edges whose matched ends hang together in the other graph, and of all."""
+    told = _joined(edges.select("src", "dst", "length"), match, other_parts, "src", "dst")
     return told.agg(F.coalesce(F.sum(F.when(F.col("joined"), F.col("length"))), F.lit(0.0)).alias("matched"), F.coalesce(F.sum("length"), F.lit(0.0)).alias("total"))
 
 
-def ccq(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP) -> DataFrame:
+def ccq(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, known: Pairing | None = None) -> DataFrame:
     """One row: completeness, correctness, quality by length."""
-    a = matched_length(nodes, edges, found_nodes, found_edges, tolerance).withColumnsRenamed({"matched": "mt", "total": "tt"})
-    b = matched_length(found_nodes, found_edges, nodes, edges, tolerance).withColumnsRenamed({"matched": "mp", "total": "tp"})
+    known = known or Pairing(nodes, edges, found_nodes, found_edges, tolerance)
+    a = matched_length(edges, known.there, known.found_parts).withColumnsRenamed({"matched": "mt", "total": "tt"})
+    b = matched_length(found_edges, known.back, known.parts).withColumnsRenamed({"matched": "mp", "total": "tp"})
     share = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     return a.crossJoin(b).select(
         share(F.col("mt"), F.col("tt")).alias("completeness"), share(F.col("mp"), F.col("tp")).alias("correctness"), share(F.col("mt"), F.col("tt") + F.col("tp") - F.col("mt")).alias("quality")
@@ -129,10 +178,11 @@ def ccq(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges:
 
 def report(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 500, seed: str = "0") -> DataFrame:
     """All measures in one row, rounded as reported; connectivity takes twice as many pairs."""
-    a = apls(nodes, edges, found_nodes, found_edges, tolerance, most, seed)
-    b = breaks_per_km(nodes, edges, found_nodes, found_edges, tolerance)
-    c = connectivity(nodes, edges, found_nodes, found_edges, tolerance, None if most is None else 2 * most, seed)
-    d = ccq(nodes, edges, found_nodes, found_edges, tolerance)
+    known = Pairing(nodes, edges, found_nodes, found_edges, tolerance)
+    a = apls(nodes, edges, found_nodes, found_edges, tolerance, most, seed, known)
+    b = breaks_per_km(nodes, edges, found_nodes, found_edges, tolerance, known)
+    c = connectivity(nodes, edges, found_nodes, found_edges, tolerance, None if most is None else 2 * most, seed, known=known)
+    d = ccq(nodes, edges, found_nodes, found_edges, tolerance, known)
     r = lambda n, k: F.round(n, k).alias(n)
     return a.crossJoin(b).crossJoin(c).crossJoin(d).select(
         r("apls", 4), r("apls_there", 4), r("apls_back", 4), "breaks", r("km", 3), r("breaks_per_km", 4), r("ratio", 4), "n_pairs", r("completeness", 4), r("correctness", 4), r("quality", 4)
