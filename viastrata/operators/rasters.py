@@ -450,3 +450,50 @@ def paste_max(pixels: DataFrame, snippet: DataFrame, value: str, top: int, left:
     moved = snippet.select((F.col("row") + top).alias("row"), (F.col("col") + left).alias("col"), F.col(value).alias("_new"))
     both = pixels.join(F.broadcast(moved), ["row", "col"], "left")
     return both.withColumn(value, F.greatest(F.col(value), F.coalesce("_new", F.col(value)))).drop("_new")
+
+
+def single(batch: Column) -> Column:
+    """The only member of a batch of one; an error for others."""
+    return F.when(F.size(batch) == 1, F.get(batch, 0)).otherwise(F.raise_error(F.lit("a batch of one is needed")))
+
+
+def windowed_cooccurrence(gray: np.ndarray, window: int = 11, levels: int = LEVELS, stride: int = 4) -> np.ndarray:
+    """Contrast times lack of homogeneity of whole gray levels, of the pairs inside a window around every stride-th cell, between
+    these by straight lines. Means over a window come from running sums, so a window's size costs nothing."""
+    h, w = gray.shape
+    pad = window // 2
+    q = np.pad(np.clip(np.floor(gray / 256 * levels), 0, levels - 1), pad, mode="reflect")
+    rows, cols = np.arange(0, h, stride), np.arange(0, w, stride)
+    contrast, same = np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)))
+    for dr, dc in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        a = q[: q.shape[0] - dr, max(0, -dc) : q.shape[1] - max(0, dc)]
+        b = q[dr:, max(0, dc) : q.shape[1] + min(0, dc)]
+        d = (a - b) ** 2
+        tall, wide = window - dr, window - abs(dc)
+        for out, v in ((contrast, d), (same, 1 / (1 + d))):
+            run = np.pad(v, ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
+            part = run[rows + tall][:, cols + wide] - run[rows][:, cols + wide] - run[rows + tall][:, cols] + run[rows][:, cols]
+            out += part / (tall * wide) / 4
+    return _stretched(contrast * (1 - same), h, w)
+
+
+def _stretched(grid: np.ndarray, h: int, w: int) -> np.ndarray:
+    """The grid at h x w places, its corners on theirs, between its cells by straight lines."""
+    at = [np.linspace(0, n - 1, m) for n, m in zip(grid.shape, (h, w), strict=True)]
+    low = [np.minimum(x.astype(int), max(n - 2, 0)) for x, n in zip(at, grid.shape, strict=True)]
+    for axis in (0, 1):
+        share = np.expand_dims(at[axis] - low[axis], 1 - axis)
+        high = np.minimum(low[axis] + 1, grid.shape[axis] - 1)
+        grid = np.take(grid, low[axis], axis) * (1 - share) + np.take(grid, high, axis) * share
+    return grid
+
+
+def windowed_texture(pixels: DataFrame, band: str, window: int = 11, levels: int = LEVELS, stride: int = 4) -> DataFrame:
+    """`texture` of each whole tile by windowed_cooccurrence; tiles must be larger than half a window."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = windowed_cooccurrence(to_array(pdf, band).astype(float), window, levels, stride)
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        return pd.DataFrame({"tile_id": pdf["tile_id"], "row": r, "col": c, "texture": found[r, c]})
+
+    return pixels.select(*CELL, band).groupBy(*TILE).applyInPandas(run, "tile_id long, row int, col int, texture double")

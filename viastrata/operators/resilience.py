@@ -14,13 +14,11 @@ from . import graph, spatial
 def surviving(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of each scenario's graph (scenario, …), from (scenario, node_id) of what fails."""
     names = F.broadcast(scenarios.select("scenario").distinct())
-    gone = scenarios.select("scenario", F.col("node_id").alias("_gone")).distinct()
-    n = nodes.join(names, how="cross").join(gone, (F.col("_gone") == F.col("node_id")) & (gone["scenario"] == names["scenario"]), "left_anti")
-    e = edges.join(names, how="cross")
-    for end in ("src", "dst"):
-        g = gone.withColumnRenamed("scenario", "_s")
-        e = e.join(g, (F.col("_gone") == F.col(end)) & (F.col("_s") == F.col("scenario")), "left_anti")
-    return n, e
+    # Other names, as the frames come from one.
+    gone = scenarios.select(F.col("scenario").alias("_s"), F.col("node_id").alias("_gone")).distinct()
+    fails = lambda frame, end: frame.join(gone, (F.col("_gone") == F.col(end)) & (F.col("_s") == F.col("scenario")), "left_anti")
+    e = fails(fails(edges.join(names, how="cross"), "src"), "dst")
+    return fails(nodes.join(names, how="cross"), "node_id"), e
 
 
 def largest_part(parts: DataFrame, whole: int, keys: list[str]) -> DataFrame:

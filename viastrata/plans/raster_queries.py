@@ -104,6 +104,11 @@ def t02_cooccurrence(spark, d):
     return rasters.cooccurrence_texture(X.gray(spark, d), "red", 1, X.SIDE).select("tile_id", "row", "col", F.round("texture", 5).alias("texture"))
 
 
+@query()
+def t03_windowed_texture(spark, d):
+    return rasters.windowed_texture(X.gray(spark, d), "red", window=5)
+
+
 @query("SELECT tile_id, row, col, round(greatest(0, least(1, red / 180.0::DOUBLE)), 6) AS texture FROM gray")
 def t04_normalized(spark, d):
     raw = X.gray(spark, d).select("tile_id", "row", "col", F.col("red").cast("double").alias("texture"))
