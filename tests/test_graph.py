@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from viastrata.operators import evaluation, graph, healing, resilience, spatial, synthetic
+from viastrata.operators import evaluation, graph, healing, resilience, spatial, synthetic, tracing
 
 EDGES = "src long, dst long, length double"
 
@@ -186,3 +186,16 @@ def test_criticality_is_scaled(spark):
     nodes, edges = synthetic.city(spark, 4, 4, 30.0)
     found = graph.criticality(nodes, edges).collect()
     assert len(found) == 16 and all(0 <= r[m] <= 1 for r in found for m in (*graph.MEASURES, "composite"))
+
+
+def test_rasters_of_several_tiles_are_told_apart(spark):
+    raster = spark.createDataFrame([(t, r, c, float(t)) for t in (1, 2) for r in range(8) for c in range(8)], "tile_id long, row int, col int, prob double")
+    points = spark.createDataFrame([(t, 2.5, 3.5) for t in (1, 2)], "tile_id long, row double, col double")
+    lines = spark.createDataFrame([(t, 1.0, 1.0, 5.0, 6.0) for t in (1, 2)], "tile_id long, x0 double, y0 double, x1 double, y1 double")
+    assert np.allclose(rows(healing.bilinear(points, raster, "prob", 8, 8, ["tile_id"]), "tile_id", "prob"), [(1, 1), (2, 2)])
+    seen = healing.corridor(lines, raster, "prob", 8, 8, keys=["tile_id"])
+    assert np.allclose(rows(seen, "tile_id", "prob"), [(1, 1)] * 8 + [(2, 2)] * 8)
+    low = raster.withColumn("prob", F.col("prob") - 1)
+    assert rows(healing.evidence(lines, low, "prob", 8, 8, keys=["tile_id"]), "tile_id", "occlusion") == [(1, 0.0), (2, 1.0)]
+    edges = spark.sql("SELECT t AS tile_id, 0L AS src, 1L AS dst, array(struct(1D AS x, 1D AS y), struct(3D AS x, 1D AS y)) AS geometry FROM VALUES (1L), (2L) v(t)")
+    assert rows(tracing.edges_by_mean_prob(edges, raster, 1.5, ["tile_id"]), "tile_id", "src", "dst") == [(2, 0, 1)]

@@ -36,8 +36,10 @@ def alignment(distance: Column, metres: float = LOOKAHEAD, meet: float = MEET) -
     return F.when(distance <= meet, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - distance / metres))
 
 
-def bilinear(points: DataFrame, raster: DataFrame, value: str, height: int, width: int) -> DataFrame:
-    """Points (row, col as real numbers, …) with the raster's value there, between four cells; places outside count as the border."""
+def bilinear(points: DataFrame, raster: DataFrame, value: str, height: int, width: int, keys: list[str] | None = None) -> DataFrame:
+    """Points (keys, row, col as real numbers, …) with the value there of the raster of their keys, between four cells; places
+    outside count as the border. Without keys the raster is one."""
+    keys = keys or []
     r, c = S.clipped(F.col("row"), 0.0, height - 1.0), S.clipped(F.col("col"), 0.0, width - 1.0)
     at = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_r", r).withColumn("_c", c)
     at = checkpoint(at.withColumn("_r0", F.floor("_r").cast("int")).withColumn("_c0", F.floor("_c").cast("int")))
@@ -49,9 +51,9 @@ def bilinear(points: DataFrame, raster: DataFrame, value: str, height: int, widt
             for j in (0, 1)
         )
     )
-    cells = at.select("_id", F.explode(corners).alias("k")).select("_id", F.col("k.i").alias("_i"), F.col("k.j").alias("_j"), "k.w")
-    held = raster.select(F.col("row").alias("_i"), F.col("col").alias("_j"), F.col(value).cast("double").alias("_v"))
-    sums = cells.join(held, ["_i", "_j"]).groupBy("_id").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
+    cells = at.select(*keys, "_id", F.explode(corners).alias("_k")).select(*keys, "_id", F.col("_k.i").alias("_i"), F.col("_k.j").alias("_j"), F.col("_k.w").alias("w"))
+    held = raster.select(*keys, F.col("row").alias("_i"), F.col("col").alias("_j"), F.col(value).cast("double").alias("_v"))
+    sums = cells.join(held, [*keys, "_i", "_j"]).groupBy("_id").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
     return at.join(sums, "_id").drop("_id", "_r", "_c", "_r0", "_c0")
 
 
@@ -67,23 +69,23 @@ def line_samples(lines: DataFrame, n: int = ALONG, across: int = 1, half_width:
     return spread.withColumn("wx", F.col("x0") + dx * share - dy * off).withColumn("wy", F.col("y0") + dy * share + dx * off)
 
 
-def corridor(lines: DataFrame, raster: DataFrame, value: str, height: int, width: int, grid: tuple[float, float, float] | None = None, n: int = ALONG, across: int = ACROSS, half_width: float = HALF_WIDTH, reduce: str = "median") -> DataFrame:
+def corridor(lines: DataFrame, raster: DataFrame, value: str, height: int, width: int, grid: tuple[float, float, float] | None = None, n: int = ALONG, across: int = ACROSS, half_width: float = HALF_WIDTH, reduce: str = "median", keys: list[str] | None = None) -> DataFrame:
     """(…line columns, k, value): at each place along the line the median or max across it. grid: origin x, y and cell size of a
-    north-up raster; None: places are cells already."""
+    north-up raster; None: places are cells already. keys: columns of lines and raster that tell rasters apart."""
     at = line_samples(lines, n, across, half_width)
     if grid is None:
         at = at.withColumn("row", F.col("wy")).withColumn("col", F.col("wx"))
     else:
         row, col = S.world_to_pixel(F.col("wx"), F.col("wy"), *(F.lit(v) for v in grid), F.lit(height))
         at = at.withColumn("row", row).withColumn("col", col)
-    found = bilinear(at, raster, value, height, width)
+    found = bilinear(at, raster, value, height, width, keys)
     f = F.median if reduce == "median" else F.max
     return found.groupBy(*lines.columns, "k").agg(f(value).alias(value))
 
 
-def evidence(lines: DataFrame, raster: DataFrame, value: str, height: int, width: int, grid: tuple[float, float, float] | None = None) -> DataFrame:
+def evidence(lines: DataFrame, raster: DataFrame, value: str, height: int, width: int, grid: tuple[float, float, float] | None = None, keys: list[str] | None = None) -> DataFrame:
     """Lines with `occlusion`: the share of places along that a corridor's median supports."""
-    seen = corridor(lines, raster, value, height, width, grid)
+    seen = corridor(lines, raster, value, height, width, grid, keys=keys)
     return seen.groupBy(*lines.columns).agg(F.avg((F.col(value) >= SUPPORT).cast("double")).alias("occlusion"))
 
 

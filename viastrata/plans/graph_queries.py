@@ -263,6 +263,70 @@ def h08_evidence(spark, d):
     return healing.evidence(line, X.pixels(spark, d).where("tile_id = 0"), "conf", 8, 8).select(F.round("occlusion", 6).alias("occlusion"))
 
 
+# The same on every tile.
+
+
+def _tiles(spark, d):
+    return X.pixels(spark, d).select("tile_id").distinct()
+
+
+_TILES = "(SELECT DISTINCT tile_id FROM pixels)"
+
+
+def _tile_sql(points: str) -> str:
+    """Values at points (tile_id, line's columns, k, m, r, c)."""
+    return f"""SELECT v.tile_id, k, m, sum((CASE WHEN p.row = floor(r) THEN 1 - (r - floor(r)) ELSE r - floor(r) END) * (CASE WHEN p.col = floor(c) THEN 1 - (c - floor(c)) ELSE c - floor(c) END) * p.conf) AS conf
+      FROM ({points}) v JOIN pixels p ON p.tile_id = v.tile_id AND p.row BETWEEN floor(r) AND floor(r) + 1 AND p.col BETWEEN floor(c) AND floor(c) + 1 GROUP BY 1, 2, 3"""
+
+
+@query(f"SELECT tile_id, k, round(conf, 5) AS conf FROM ({_tile_sql(f'SELECT tile_id, i AS k, 0 AS m, 0.3::DOUBLE + i * 0.9::DOUBLE AS r, 6.6::DOUBLE - i * 0.7::DOUBLE AS c FROM {_TILES}, range(8) t(i)')})")
+def h04_bilinear_tiles(spark, d):
+    points = _tiles(spark, d).join(spark.range(8).select(F.col("id").alias("k"), (0.3 + F.col("id") * 0.9).alias("row"), (6.6 - F.col("id") * 0.7).alias("col")), how="cross")
+    return healing.bilinear(points, X.pixels(spark, d), "conf", 8, 8, ["tile_id"]).select("tile_id", "k", F.round("conf", 5).alias("conf"))
+
+
+#: A line of each tile, that no two neighbouring tiles share.
+_TILE_LINE = f"SELECT tile_id, 0.6::DOUBLE + tile_id % 3 * 0.25 AS x0, 1.2::DOUBLE AS y0, 5.9::DOUBLE AS x1, 6.1::DOUBLE - tile_id % 5 * 0.25 AS y1 FROM {_TILES}"
+
+
+def _tile_lines(spark, d):
+    t = F.col("tile_id")
+    return _tiles(spark, d).select("tile_id", (0.6 + t % 3 * 0.25).alias("x0"), F.lit(1.2).alias("y0"), F.lit(5.9).alias("x1"), (6.1 - t % 5 * 0.25).alias("y1"))
+
+
+def _tile_corridor_sql(n: int, across: int, half_width: float) -> str:
+    side = f"(j * 2.0::DOUBLE / {max(across - 1, 1)} - {int(across > 1)}) * {half_width} / sqrt((x1 - x0)^2 + (y1 - y0)^2)"
+    points = f"""SELECT tile_id, i AS k, j AS m, greatest(0, least(7, y0 + (y1 - y0) * i / {n - 1} + {side} * (x1 - x0))) AS r,
+      greatest(0, least(7, x0 + (x1 - x0) * i / {n - 1} - {side} * (y1 - y0))) AS c FROM ({_TILE_LINE}), range({n}) t(i), range({across}) u(j)"""
+    return _tile_sql(points)
+
+
+@query(f"SELECT tile_id, k, round(conf, 5) AS conf FROM ({_tile_corridor_sql(10, 1, 0.0)})")
+def h05_line_samples_tiles(spark, d):
+    at = healing.line_samples(_tile_lines(spark, d), 10).withColumn("row", F.col("wy")).withColumn("col", F.col("wx"))
+    return healing.bilinear(at, X.pixels(spark, d), "conf", 8, 8, ["tile_id"]).select("tile_id", F.col("k").cast("long").alias("k"), F.round("conf", 5).alias("conf"))
+
+
+def _corridor_tiles(spark, d, reduce):
+    found = healing.corridor(_tile_lines(spark, d), X.pixels(spark, d), "conf", 8, 8, n=8, across=3, half_width=1.0, reduce=reduce, keys=["tile_id"])
+    return found.select("tile_id", F.col("k").cast("long").alias("k"), F.round("conf", 5).alias("conf"))
+
+
+@query(f"SELECT tile_id, k, round(max(conf), 5) AS conf FROM ({_tile_corridor_sql(8, 3, 1.0)}) GROUP BY 1, 2")
+def h06_corridor_max_tiles(spark, d):
+    return _corridor_tiles(spark, d, "max")
+
+
+@query(f"SELECT tile_id, k, round(median(conf), 5) AS conf FROM ({_tile_corridor_sql(8, 3, 1.0)}) GROUP BY 1, 2")
+def h07_corridor_median_tiles(spark, d):
+    return _corridor_tiles(spark, d, "median")
+
+
+@query(f"SELECT tile_id, round(avg((conf >= 0.3)::INTEGER), 6) AS occlusion FROM (SELECT tile_id, k, median(conf) AS conf FROM ({_tile_corridor_sql(8, 3, 2.0)}) GROUP BY 1, 2) GROUP BY 1")
+def h08_evidence_tiles(spark, d):
+    return healing.evidence(_tile_lines(spark, d), X.pixels(spark, d), "conf", 8, 8, keys=["tile_id"]).select("tile_id", F.round("occlusion", 6).alias("occlusion"))
+
+
 @query("SELECT coalesce(reason, 'unknown') AS reason, count(*) AS n FROM told_broken WHERE reason IS NOT NULL GROUP BY 1")
 def a01_reasons(spark, d):
     considered = healing.candidates(X.city_nodes(spark, d), X.broken_edges(spark, d), **_full_evidence(spark, d)).withColumn("added", F.col("passed"))

@@ -278,6 +278,20 @@ def a13_edges_by_mean_prob(spark, d):
     return tracing.edges_by_mean_prob(lined, X.pixels(spark, d).where("tile_id = 0"), 0.5).select("src", "dst")
 
 
+@query("""WITH g AS (SELECT src, dst, a.x / 30 AS c0, a.y / 30 AS r0, b.x / 30 AS c1, b.y / 30 AS r1 FROM city_edges JOIN city_nodes a ON a.node_id = src JOIN city_nodes b ON b.node_id = dst WHERE dst < 80),
+  p AS (SELECT src, dst, round_even(r, 0)::INTEGER AS row, round_even(c, 0)::INTEGER AS col FROM (SELECT src, dst, unnest([r0, (r0 + r1) / 2, r1]) AS r, unnest([c0, (c0 + c1) / 2, c1]) AS c FROM g)),
+  m AS (SELECT tile_id, src, dst, avg(prob) AS m FROM p JOIN pixels x ON x.row = p.row AND x.col = p.col GROUP BY 1, 2, 3)
+  SELECT tile_id, src, dst FROM (SELECT DISTINCT tile_id FROM pixels), g WHERE (tile_id, src, dst) NOT IN (SELECT tile_id, src, dst FROM m WHERE m < 0.5)""")
+def a13_edges_by_mean_prob_tiles(spark, d):
+    """On every tile the roads of the city's first eight rows, which are all that lie on a tile."""
+    e = rasters.with_ends(X.city_edges(spark, d).where("dst < 80"), X.city_nodes(spark, d))
+    x0, y0, x1, y1 = (F.col(c) / 30 for c in ("x0", "y0", "x1", "y1"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    lined = e.select("src", "dst", F.array(point(x0, y0), point((x0 + x1) / 2, (y0 + y1) / 2), point(x1, y1)).alias("geometry"))
+    pixels = X.pixels(spark, d)
+    return tracing.edges_by_mean_prob(pixels.select("tile_id").distinct().join(lined, how="cross"), pixels, 0.5, ["tile_id"]).select("tile_id", "src", "dst")
+
+
 # Made-up inputs.
 
 _CITY = """WITH n AS (SELECT i AS node_id, i // 6 AS r, i % 6 AS c FROM range(36) t(i))"""
