@@ -199,3 +199,17 @@ def test_rasters_of_several_tiles_are_told_apart(spark):
     assert rows(healing.evidence(lines, low, "prob", 8, 8, keys=["tile_id"]), "tile_id", "occlusion") == [(1, 0.0), (2, 1.0)]
     edges = spark.sql("SELECT t AS tile_id, 0L AS src, 1L AS dst, array(struct(1D AS x, 1D AS y), struct(3D AS x, 1D AS y)) AS geometry FROM VALUES (1L), (2L) v(t)")
     assert rows(tracing.edges_by_mean_prob(edges, raster, 1.5, ["tile_id"]), "tile_id", "src", "dst") == [(2, 0, 1)]
+
+
+def test_betweenness_by_rounds_and_in_tasks(spark, some, monkeypatch):
+    nodes, edges = nodes_of(spark, 40), frame(spark, some)
+    want = rows(graph.betweenness(nodes, edges), "node_id", "betweenness")
+    monkeypatch.setattr(graph, "ROUND_ROWS", 25 * 40)
+    assert np.allclose(rows(graph.betweenness(nodes, edges, task_edges=0), "node_id", "betweenness"), want)
+
+
+def test_current_flow_of_large_and_small_components(spark, some):
+    nodes, edges = nodes_of(spark, 40), frame(spark, some)
+    want = rows(graph.current_flow(nodes, edges), "node_id", "current_flow")
+    for most in (0, 5):
+        assert np.allclose(rows(graph.current_flow(nodes, edges, most_nodes=most), "node_id", "current_flow"), want)

@@ -19,6 +19,8 @@ from ..functions.cluster import checkpoint, largest_group, rank_within
 
 #: Edges of the largest graph that one task takes whole.
 TASK_EDGES = 300_000
+#: Rows (source, node) that a batch of rounds works on; cells (node, road) that a task solves for at a time.
+ROUND_ROWS, SOLVE_CELLS = 20_000_000, 8_000_000
 #: Rounds after which a loop that has not settled is an error.
 MOST_ROUNDS = 10_000
 
@@ -333,10 +335,12 @@ def _per_source(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFra
 
 def betweenness(nodes: DataFrame, edges: DataFrame, spread: int = 8, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, betweenness): share of the shortest ways between other nodes that lead over each, by length (Brandes 2001).
-    Sources are dealt to tasks, each with the graph; an error if that does not fit a task."""
-    if edges.count() > task_edges:
-        raise ValueError("the graph is too large for shortest ways between all nodes; sample sources or split it")
+    Sources are dealt to tasks, each with the graph; of a larger graph, batches of sources go through rounds."""
     n = nodes.count()
+    scale = 1.0 / max((n - 1) * (n - 2), 1)
+    if edges.count() > task_edges:
+        found = _betweenness_by_rounds(nodes, edges, max(1, ROUND_ROWS // max(n, 1)))
+        return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
     def kernel(pdf: pd.DataFrame, sources: list[int]) -> pd.DataFrame:
         near = _adjacency(pdf)
@@ -370,16 +374,137 @@ def betweenness(nodes: DataFrame, edges: DataFrame, spread: int = 8, task_edges:
         return pd.DataFrame({"node_id": list(total), "b": list(total.values())})
 
     found = _per_source(nodes, edges, kernel, "node_id long, b double", spread).groupBy("node_id").agg(F.sum("b").alias("b"))
-    scale = 1.0 / max((n - 1) * (n - 2), 1)
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def _betweenness_by_rounds(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """(node_id, b) of `size` sources at a time. Lengths must be above 0, as shortest ways over roads of no length cannot be counted."""
+    a, b = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    roads = checkpoint(edges.where("src <> dst").select(a, b, "length").groupBy("src", "dst").agg(F.min("length").alias("length")))
+    if not roads.where("length <= 0").isEmpty():
+        raise ValueError("roads of no length: shortest ways cannot be counted")
+    both = checkpoint(symmetric(roads, "length"))
+    ranked = checkpoint(rank_within(nodes.select(F.lit(0).alias("_all"), "node_id"), ["_all"], [F.col("node_id")]))
+    found = None
+    for start in range(0, nodes.count(), size):
+        sources = ranked.where((F.col("k") > start) & (F.col("k") <= start + size)).select(F.col("node_id").alias("source"))
+        dist = checkpoint(_distances_by_rounds(roads, checkpoint(sources), []).select("source", "node_id", "dist"))
+        du, dv = dist.select("source", F.col("node_id").alias("u"), F.col("dist").alias("_du")), dist.select("source", F.col("node_id").alias("v"), F.col("dist").alias("_dv"))
+        near = du.join(both, "u").join(dv, ["source", "v"])
+        steps = checkpoint(near.where((F.col("_dv") > F.col("_du")) & (F.abs(F.col("_du") + F.col("length") - F.col("_dv")) <= 1e-9 * (1 + F.col("_dv")))).select("source", "u", "v"))
+        one = dist.where("source = node_id").select("source", "node_id", F.lit(1.0).alias("x"))
+        ways = checkpoint(one.unionByName(_sums_along(one, steps)).withColumnRenamed("x", "ways"))
+        # Of each node the sum, over the ways that lead on from it, of 1 / the ways to their ends.
+        owed = _sums_along(ways.select("source", "node_id", (1 / F.col("ways")).alias("x")), steps.select("source", F.col("v").alias("u"), F.col("u").alias("v")))
+        part = ways.join(owed, ["source", "node_id"]).where("source <> node_id").groupBy("node_id").agg(F.sum(F.col("ways") * F.col("x")).alias("b"))
+        found = checkpoint(part if found is None else found.unionByName(part).groupBy("node_id").agg(F.sum("b").alias("b")))
+    return found if found is not None else nodes.select("node_id", F.lit(0.0).alias("b"))
+
+
+def _sums_along(start: DataFrame, steps: DataFrame) -> DataFrame:
+    """(source, node_id, x): what the start's x add up to at each node, over all ways of one step (source, u, v) or more."""
+    ahead, sums = start, None
+    for k in range(MOST_ROUNDS):
+        moved = ahead.withColumnRenamed("node_id", "u").join(steps, ["source", "u"])
+        ahead = checkpoint(moved.groupBy("source", F.col("v").alias("node_id")).agg(F.sum("x").alias("x")))
+        if ahead.isEmpty():
+            return ahead if sums is None else checkpoint(sums.groupBy("source", "node_id").agg(F.sum("x").alias("x")))
+        sums = ahead if sums is None else sums.unionByName(ahead)
+        if k % 10 == 9:
+            sums = checkpoint(sums.groupBy("source", "node_id").agg(F.sum("x").alias("x")))
+    raise RuntimeError("ways did not end")
+
+
 def current_flow(nodes: DataFrame, edges: DataFrame, most_nodes: int = 3000) -> DataFrame:
     """(node_id, current_flow): share of unit currents between other nodes of its component that pass each node; lengths are
-    resistances. Each component is solved whole, an error above most_nodes."""
+    resistances. A component of up to most_nodes is solved whole by one task; the roads of a larger one are dealt to tasks, each of
+    which eliminates the component's nodes and solves for its roads."""
     c = checkpoint(components(nodes, edges))
-    if (big := largest_group(c, ["component"])) > most_nodes:
-        raise ValueError(f"a component of {big} nodes is too large to solve")
+    sizes = checkpoint(c.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_nodes))
+    if not sizes.isEmpty():
+        large, c = c.join(sizes, "component"), checkpoint(c.join(sizes, "component", "left_anti"))
+        return _small_current_flow(c, edges).unionByName(_large_current_flow(checkpoint(large), edges))
+    return _small_current_flow(c, edges)
+
+
+def _eliminated(n: int, u: np.ndarray, v: np.ndarray, g: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
+    """Nodes 0..n-1 of a connected network of conductances in the order of least degree, each replaced by a mesh of its neighbours:
+    (node, neighbours, conductances, their sum), without the last node."""
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, w in zip(u.tolist(), v.tolist(), g.tolist(), strict=True):
+        near[a][b] = near[b][a] = near[a].get(b, 0.0) + w
+    heap = [(len(x), k) for k, x in enumerate(near)]
+    heapq.heapify(heap)
+    gone, steps = [False] * n, []
+    while len(steps) < n - 1:
+        degree, k = heapq.heappop(heap)
+        if gone[k] or degree != len(near[k]):
+            continue
+        gone[k] = True
+        ends, flows = list(near[k]), list(near[k].values())
+        total = sum(flows)
+        for a, x in zip(ends, flows, strict=True):
+            at = near[a]
+            del at[k]
+            for b, y in zip(ends, flows, strict=True):
+                if a != b:
+                    at[b] = at.get(b, 0.0) + x * y / total
+            heapq.heappush(heap, (len(at), a))
+        near[k] = {}
+        steps.append((k, np.array(ends), np.array(flows), total))
+    return steps
+
+
+def _potentials(n: int, steps: list[tuple[int, np.ndarray, np.ndarray, float]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Column k: the nodes' potentials as a unit current goes in at a[k] and out at b[k]."""
+    x, column = np.zeros((n, len(a))), np.arange(len(a))
+    x[a, column] += 1
+    x[b, column] -= 1
+    for k, ends, flows, total in steps:
+        x[ends] += (flows / total)[:, None] * x[k]
+    x[list(set(range(n)).difference(s[0] for s in steps))] = 0
+    for k, ends, flows, total in reversed(steps):
+        x[k] = (x[k] + flows @ x[ends]) / total
+    return x
+
+
+def _large_current_flow(members: DataFrame, edges: DataFrame, spread: int = 32) -> DataFrame:
+    """Of components (component, node_id, n): the same as _small_current_flow, without a matrix of all nodes by all nodes."""
+    part = F.pmod(F.xxhash64("src", "dst"), F.lit(spread))
+    roads = edges.where("src <> dst").join(members.select(F.col("node_id").alias("src"), "component"), "src").select("component", "src", "dst", "length", part.alias("_part"))
+    roads = checkpoint(roads)
+    deal = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+    held = roads.select(F.col("component").alias("_c"), "src", "dst", "length", deal.alias("_deal"))
+
+    def kernel(asked: pd.DataFrame, roads_: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"node_id": [], "f": []})
+        # One order of the roads, so that all tasks eliminate alike.
+        roads_ = roads_.sort_values(["src", "dst", "length"])
+        ids = np.unique(roads_[["src", "dst"]].to_numpy())
+        n = len(ids)
+        u, v = np.searchsorted(ids, roads_["src"].to_numpy()), np.searchsorted(ids, roads_["dst"].to_numpy())
+        steps = _eliminated(n, u, v, 1 / np.maximum(roads_["length"].to_numpy(), 1e-9))
+        a, b = np.searchsorted(ids, asked["src"].to_numpy()), np.searchsorted(ids, asked["dst"].to_numpy())
+        g = 1 / np.maximum(asked["length"].to_numpy(), 1e-9)
+        flow, weight = np.zeros(n), 2 * np.arange(n) - n + 1
+        step = max(1, min(256, SOLVE_CELLS // n))
+        for k in range(0, len(a), step):
+            p, q = a[k : k + step], b[k : k + step]
+            # As there: a road's current by all pairs is g (x_s - x_t), its sum comes from the sorted column.
+            total = g[k : k + step] * (np.sort(_potentials(n, steps, p, q).T, axis=1) @ weight)
+            np.add.at(flow, p, total)
+            np.add.at(flow, q, total)
+        some = np.flatnonzero(flow)
+        return pd.DataFrame({"node_id": ids[some], "f": flow[some]})
+
+    found = roads.groupBy("component", "_part").cogroup(held.groupBy("_c", "_deal")).applyInPandas(kernel, "node_id long, f double").groupBy("node_id").agg(F.sum("f").alias("f"))
+    n = F.col("n")
+    share = F.greatest(F.col("f") / 2 - (n - 1) / 2, F.lit(0.0)) / ((n - 1) * (n - 2) / 2)
+    return members.join(found, "node_id", "left").select("node_id", F.when((n > 2) & F.col("f").isNotNull(), share).otherwise(F.lit(0.0)).alias("current_flow"))
+
+
+def _small_current_flow(c: DataFrame, edges: DataFrame) -> DataFrame:
     roads = edges.join(c.select(F.col("node_id").alias("src"), F.col("component").alias("_part")), "src").select("_part", "src", "dst", "length")
 
     def kernel(members: pd.DataFrame, roads_: pd.DataFrame) -> pd.DataFrame:
