@@ -34,10 +34,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row stays if no document of a smaller doc_id is in its component."""
+    """A row stays if no document of a smaller doc_id is in the component of its own text; a null doc_id is above all others."""
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    lost = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti").select(*docs.columns)
+    # Rows of one doc_id and one fingerprint share a component, so these two name a row's verdict.
+    later = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("component_id") < F.col("doc_id")))
+    lost = found.where(later).select(F.col("doc_id").alias("_lost"), F.col("code").alias("_code")).distinct()
+    told = docs.withColumn("_own", simhash.fingerprint(F.col("text"), simhash.WORDS))
+    return told.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")) & (F.col("_own") == F.col("_code")), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,6 +176,15 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     assert [r["n_chars"] for r in cut] == [len(r["text"]) for r in cut] == [5, 5, 5, 35]
 
 
+def test_near_duplicates_go_by_rows(spark, docs):
+    import corpus_pipeline
+
+    one, other = "the same text here, which is long enough", "a wholly different text that nobody else has got"
+    rows = [(1, one), (5, one), (5, other), (None, one), (None, "no id, and no other row says this at all"), (1, one)]
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs(rows), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_kept_digest(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in slow_lines([(r["doc_id"], r["text"]) for r in docs])}
