@@ -1,4 +1,5 @@
-"""Byte-level BPE: the tokenizers library over Arrow batches, with spans, and decoding by the reversed byte table."""
+"""Byte-level BPE: the tokenizers library over Arrow batches, with spans. Decoding joins the bytes that the rank file
+holds for each id; the table of characters for bytes serves encoding only and is not reversed."""
 
 from __future__ import annotations
 
