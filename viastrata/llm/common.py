@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpoint
 
-__all__ = ["STEP_CHARS", "checkpoint", "fold", "frugal", "lists", "release", "sampled", "steps", "strings", "structs", "table"]
+__all__ = ["STEP_CHARS", "arrow_udf", "checkpoint", "fold", "frugal", "lists", "release", "sampled", "small_batches", "steps", "strings", "structs", "table"]
 
 #: Characters of text that one NumPy step works on; a longer text makes a step of its own.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 18
+#: Bytes of an Arrow batch; a longer row makes a batch of its own.
+BATCH_BYTES = 2 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,11 +32,60 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def small_batches() -> None:
+    """Bounds the Arrow batches of the running session by bytes, as rows may be whole books. Spark's own bound is 64 MB, of which
+    the JVM and each worker would hold copies; a session that asks for less keeps its bound."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not 0 < _bytes(spark.conf.get(_BATCHES)) <= BATCH_BYTES:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
+def _bytes(size: str) -> int:
+    digits = size.rstrip("abgkmpt").strip() or "0"
+    return int(digits) << 10 * " kmgtp".index((size[len(digits) :].strip() or " ")[0].replace("b", " "))
+
+
+def arrow_udf(kind: str):
+    """F.arrow_udf under bounded batches."""
+    small_batches()
+    return F.arrow_udf(kind)
+
+
+def _last(hashes: DataFrame, bound: int) -> tuple[int, int, int] | None:
+    """Where `bound` rows of (h) by rising h end: that hash, how many of its rows still fit, and how many there are; None if all
+    rows fit. The first pass counts rows; the second brings counts of hashes to the driver, about as many as the bound."""
+    n = hashes.count()
+    if n <= bound:
+        return None
+    # Hashes in the lowest `share` of their range hold the bound, unless few hashes hold most rows: then it is doubled.
+    share = min(1.0, (bound + 6 * bound**0.5 + 20) / n)
+    while True:
+        top = (1 << 63) - 1 if share >= 1 else int(share * (1 << 64)) - (1 << 63)
+        near = hashes.where(F.col("h") <= top).groupBy("h").agg(F.count("*").alias("n")).collect()
+        if share >= 1 or sum(r["n"] for r in near) >= bound:
+            break
+        share = min(1.0, 2 * share)
+    held = 0
+    for r in sorted(near, key=lambda r: r["h"]):
+        if held + r["n"] >= bound:
+            return r["h"], bound - held, r["n"]
+        held += r["n"]
+    raise AssertionError("fewer rows than were counted")
+
+
 def sampled(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """The rows whose key hashes lowest, `bound` at most (of rows with one key all or none stay). One light pass finds the limit."""
+    """The rows whose key hashes lowest, `bound` at most. Of the rows of the last key, where not all fit, those whose columns
+    hash lowest stay, and of equal rows as many as fit. Light passes over the keys find the limits."""
     mixed = F.xxhash64(F.lit(17), F.col(key))
-    limit = rows.select(mixed.alias("h")).orderBy("h").limit(bound + 1).agg(F.max("h").alias("m"), F.count("*").alias("n")).first()
-    return rows if limit["n"] <= bound else rows.where(mixed < F.lit(limit["m"]))
+    if (end := _last(rows.select(mixed.alias("h")), bound)) is None:
+        return rows
+    last, room, there = end
+    if room == there:
+        return rows.where(mixed <= F.lit(last))
+    tied, whole = rows.where(mixed == F.lit(last)), F.xxhash64(F.lit(31), *(F.col(f"`{c}`") for c in sorted(rows.columns)))
+    last2, room2, there2 = _last(tied.select(whole.alias("h")), room)
+    equal = tied.where(whole == F.lit(last2))
+    return rows.where(mixed < F.lit(last)).unionByName(tied.where(whole < F.lit(last2))).unionByName(equal if room2 == there2 else equal.limit(room2))
 
 
 def strings(texts: pa.Array, rows: int = 128) -> Iterator[str]:
@@ -45,7 +97,8 @@ def strings(texts: pa.Array, rows: int = 128) -> Iterator[str]:
 
 def frugal(batches: Iterator) -> Iterator:
     """The batches of a task. Before and after them the worker, which Spark keeps for later tasks, gives memory that nothing
-    uses back to the system."""
+    uses back to the system. Arrow takes its memory from the system's own pool, which does give it back."""
+    pa.set_memory_pool(pa.system_memory_pool())
     release()
     yield from batches
     release()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, frugal, lists, sampled, steps, strings, structs
+from .common import arrow_udf, checkpoint, frugal, lists, sampled, steps, strings, structs
 
 #: n-gram lengths of the blended spectrum, and log2 of the places that they are hashed to.
 SPECTRUM = (1, 2, 3, 4)
@@ -20,11 +20,12 @@ BITS = 15
 TRAIN_ROWS, LANDMARKS, RIDGE = 6_000, 192, 1e-2
 UNDETERMINED = "und"
 
-_STEP_ROWS, _STEP_CODES = 256, 1 << 20
+_STEP_ROWS, _STEP_CODES = 64, 1 << 18
 
 
 def presence(texts: list[str], bits: int = BITS) -> np.ndarray:
-    """A row of 0 and 1 for each text: the hashed n-grams of its lower-cased letters, with runs of anything else as one space."""
+    """A row of 0 and 1 for each text: the hashed n-grams of its lower-cased letters, with runs of anything else as one
+    space, and a space at the end."""
     size = 1 << bits
     out = np.zeros((len(texts), size), np.float32)
     data = np.frombuffer("\n".join(["", *(t.lower() for t in texts), ""]).encode("utf-32-le", "replace"), np.uint32)
@@ -99,7 +100,7 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
     lowest = sample.groupBy("label").agg(F.sort_array(F.collect_list(order)).alias("h")).select("label", F.get("h", F.least(F.size("h"), F.lit(few)) - 1).alias("limit"))
     chosen = sample.join(F.broadcast(lowest), "label").where(order <= F.col("limit"))
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in frugal(batches):
             yield lists([np.flatnonzero(presence([t], bits)[0]) for t in strings(batch)])
@@ -152,7 +153,7 @@ def predict(text: Column, model: Model) -> Column:
     """Column of struct<lang_pred string, score double>: the language of highest value, the first by name of equals, and that
     value moved from -1..1 to 0..1. Null texts, texts without a letter, and all texts under an empty model: `und`, 0."""
 
-    @F.arrow_udf("lang_pred string, score double")
+    @arrow_udf("lang_pred string, score double")
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in frugal(batches):
             names, scores = [], []

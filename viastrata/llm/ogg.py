@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import frugal, strings, structs
+from .common import arrow_udf, frugal, strings, structs
 
 #: Fixed values of the page format (RFC 3533).
 CAPTURE = b"OggS"
@@ -221,7 +221,7 @@ def stored(text: Column) -> Column:
     described. The file lives within a batch. Files are written per text; equal texts give equal files."""
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    @F.arrow_udf(fields)
+    @arrow_udf(fields)
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in frugal(batches):
             rows = [describe_one(x) for x in strings(batch)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, lists, sampled, steps, strings
+from .common import arrow_udf, frugal, lists, sampled, steps, strings
 
 #: Labelled rows that training takes at most; Fourier features; width of the kernel in standard deviations; ridge; seed.
 TRAIN_ROWS, FEATURES, WIDTH, RIDGE, SEED = 20_000, 256, 4.0, 1e-3, 7
@@ -117,7 +117,7 @@ def _summed(rows: DataFrame, make, shapes: list[tuple[int, ...]], tasks: int = 8
 def stats_column(text: Column) -> Column:
     """Column of array<double>: STATISTICS of each whole text; null and empty: all 0."""
 
-    @F.arrow_udf("array<double>")
+    @arrow_udf("array<double>")
     def stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in frugal(batches):
             yield lists([x for run in steps(strings(batch)) for x in statistics(run)], np.float64)
@@ -169,7 +169,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATU
 def score(text: Column, model: Model) -> Column:
     """Column of double, 0 to 1: the calibrated score of each whole text; null and empty texts are scored by statistics of 0."""
 
-    @F.arrow_udf("double")
+    @arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in frugal(batches):
             yield pa.array(np.concatenate([np.zeros(0), *(model.score(statistics(run)) for run in steps(strings(batch)))]))

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, lists, sampled, steps, strings
+from .common import arrow_udf, frugal, lists, sampled, steps, strings
 
 #: log2 of the weights that hashes fall on.
 BITS = 20
-#: Labelled rows that training takes at most.
-TRAIN_ROWS = 12_000
+#: Labelled rows that training takes at most, and features of these in all: with the first row beyond it, it has enough.
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 20_000_000
 #: Rows that training looks at in all, so that few rows are seen often; epochs at least and at most.
 PASSES, EPOCHS = 36_000, (3, 40)
 #: Texts that a feature must come in to be learned; rates and penalties.
@@ -28,7 +28,8 @@ STEMS = (4, 5)
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = 0x9E3779B97F4A7C15
-_MEMO_WORDS = 100_000
+#: Words that a worker remembers, and their characters in all.
+_MEMO_WORDS, _MEMO_CHARS = 100_000, 1 << 20
 
 
 def _mix(k: int) -> np.uint64:
@@ -45,17 +46,22 @@ class Hasher:
 
     def __init__(self, bits: int = BITS):
         self.shift = np.uint64(64 - bits)
+        self._forget()
+
+    def _forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros((1024, 1 + len(STEMS)), np.uint64)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        if len(self.memo) > _MEMO_WORDS:
-            self.memo = {}
+        if len(self.memo) > _MEMO_WORDS or self.chars > _MEMO_CHARS:
+            self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if (need := len(self.memo) + len(new)) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((need, self.table.shape[1]), np.uint64)])
+        self.chars += sum(map(len, new))
         for w in new:
             k = self.memo[w] = len(self.memo)
             self.table[k] = [xxhash.xxh64_intdigest(w)] + [xxhash.xxh64_intdigest(w[:n], n) for n in STEMS]
@@ -109,12 +115,12 @@ class Model:
 
 def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, passes: int = PASSES) -> Model:
     """Learns from (key long, text string, label int): of the rows with a label 0 or 1, the train_rows whose keys hash lowest.
-    Executors hash the texts; one task, which the bound keeps small, learns row by row in the order of the hashes and
+    Executors hash the texts; one task, which the bounds on rows and features keep small, learns row by row in the order of the hashes and
     returns the weights that L1 has not set to 0. No rows: a model that gives all texts 0."""
     known = labelled.select("key", "text", "label").where(F.col("label").isin(0, 1))
     sample = sampled(known, "key", train_rows)
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher(bits)
         for batch in frugal(batches):
@@ -127,7 +133,12 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, pas
             yield lists(out)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.array(f, np.int32), y) for b in batches for f, y in zip(b["f"], b["label"], strict=True)]
+        rows, held = [], 0
+        for b in frugal(batches):
+            for f, y in zip(b["f"], b["label"], strict=True):
+                if held <= TRAIN_FEATURES:
+                    rows.append((np.array(f, np.int32), y))
+                    held += len(f)
         texts = np.zeros(1 << bits, np.int32)
         for i, _ in rows:
             texts[i] += 1
@@ -151,7 +162,7 @@ def score(text: Column, model: Model) -> Column:
     """Column of double, 0 to 1. Null and empty texts get what the bias gives, as all texts without known features do.
     A feature counts once a text, however often it comes, so repeated lines and long texts weigh no more."""
 
-    @F.arrow_udf("double")
+    @arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         size = 1 << model.bits
         hasher, weight, bias = Hasher(model.bits), np.zeros(size), 0.0
