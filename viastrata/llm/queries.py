@@ -28,7 +28,7 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, lear
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     digests = bpe.round_trip(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return docs.select("doc_id", digests.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+    return docs.select("doc_id", digests.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256", "d.offsets_crc32")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
