@@ -1,14 +1,15 @@
 """Packing of token sequences: length combinations that fill a window, their counts by non-negative least squares.
 
 Documents give whole windows and a rest. The histogram of rests is as long as the window, whatever the corpus; the driver
-enumerates shallow combinations of lengths that fill a window, fits how often to use each, rounds, and tops up greedily. Each
-rest's rank among those of its length says which combination takes it; ranks are counted in salted groups, so one length may
-hold most rests. Rests beyond the combinations are laid end to end in sequences, cut where these end; the last of them is cut
-into powers of two, which need no padding.
+enumerates shallow combinations of lengths that fill a window, fits how often to use each, rounds, tops up, and packs the
+residuals greedily, largest first. Each rest's rank among those of its length says which combination takes it; ranks are counted
+in salted groups, as many as the rows ask for, so one length may hold most rests. Residuals that fill no window together are laid
+end to end in sequences, cut where these end; the last of them is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars, read_ranks
-from .common import checkpoint, frugal, steps, strings
+from .common import arrow_udf, checkpoint, frugal, steps, strings
 
-#: Tokens of a sequence; id that ends a document; groups that ranks and sums are counted in.
-WINDOW, END_ID, SALTS = 2048, 1, 64
+#: Tokens of a sequence; id that ends a document; groups that ranks and sums of one length are counted in, at least, and the rows
+#: that ask for one group more.
+WINDOW, END_ID, SALTS, SALT_ROWS = 2048, 1, 64, 1 << 24
+#: Most rows of group starts that are broadcast, of 40 bytes each.
+BROADCAST_ROWS = 1 << 18
 #: Most frequent lengths that serve as the second part of three; rounds of the fit.
 MIDDLES, SWEEPS = 12, 8
 
@@ -70,7 +74,8 @@ def fit_counts(counts: np.ndarray, ways: list[tuple[tuple[int, int], ...]], swee
 
 
 def plan(counts: np.ndarray, middles: int = MIDDLES, sweeps: int = SWEEPS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(way, repeats): the fit, rounded so that no length is used more often than it occurs, then topped up in the ways' order."""
+    """(way, repeats): the fit, rounded so that no length is used more often than it occurs, then topped up in the ways' order;
+    then ways of the residuals, packed greedily."""
     ways = combinations(counts, middles)
     x = fit_counts(counts, ways, sweeps)
     free = counts.astype(np.int64).copy()
@@ -82,7 +87,30 @@ def plan(counts: np.ndarray, middles: int = MIDDLES, sweeps: int = SWEEPS) -> li
                 used[k] += n
                 for a, t in ways[k]:
                     free[a] -= n * t
-    return [(way, int(n)) for way, n in zip(ways, used, strict=True) if n]
+    return [(way, int(n)) for way, n in zip(ways, used, strict=True) if n] + greedy(free)
+
+
+def greedy(free: np.ndarray) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(way, repeats) of whole windows filled with the largest length that is left, then always the largest that still fits. A
+    length whose windows do not come out even is passed over. Takes what it uses out of `free`."""
+    window, out = len(free), []
+    for top in np.flatnonzero(free)[::-1].tolist():
+        while free[top]:
+            left, room, at, way = free, window, top, {}
+            while room and at:
+                if times := min(room // at, int(left[at])):
+                    way[at] = times
+                    room -= at * times
+                # The largest length up to both what is left of the window and the one before this.
+                below = np.flatnonzero(left[1 : min(room, at - 1) + 1])
+                at = int(below[-1]) + 1 if len(below) else 0
+            if room:
+                break
+            n = min(int(free[a]) // t for a, t in way.items())
+            for a, t in way.items():
+                free[a] -= n * t
+            out.append((tuple(way.items()), n))
+    return out
 
 
 class Slots:
@@ -141,16 +169,18 @@ def tail_ends(whole: int, tail: int) -> list[int]:
     return ends
 
 
-def pack(tokens: DataFrame, width: int = 4, window: int = WINDOW, salts: int = SALTS, middles: int = MIDDLES, sweeps: int = SWEEPS) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of each piece, from (doc_id, ids binary: little-endian
+def pack(tokens: DataFrame, width: int = 4, window: int = WINDOW, salts: int | None = None, middles: int = MIDDLES, sweeps: int = SWEEPS) -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of each piece, from (doc_id long, ids binary: little-endian
     unsigned numbers of `width` bytes, 2 or 4); the pieces' ids have 4 bytes. Each id lies in one piece; the pieces of a sequence lie end to end from 0; a sequence has
     `window` tokens or a power of two. Rows without ids give no pieces; null and repeated doc_ids are packed row by row. A
     sequence_id is unique, not dense in row order."""
     spark = tokens.sparkSession
     held = checkpoint(tokens.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("ids").alias("packed")))
     rows = held.where("length(packed) > 0").select("uid", "doc_id", F.expr(f"length(packed) div {width}").alias("n"), "packed")
-    salt = F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int")
-    light = rows.select("uid", F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest"), salt.alias("salt"))
+    sizes = checkpoint(rows.select("uid", F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest")))
+    # A group has a hot length's share of 2**24 rows at most, whatever the corpus.
+    salts = salts or max(SALTS, sizes.count() // SALT_ROWS)
+    light = sizes.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
     groups = light.groupBy("rest", "salt").agg(F.count("*").alias("k"), F.sum("full").alias("fulls")).toArrow().to_pandas()
     groups = groups.sort_values(["rest", "salt"]).reset_index(drop=True)
     counts = np.zeros(window, np.int64)
@@ -171,14 +201,14 @@ def pack(tokens: DataFrame, width: int = 4, window: int = WINDOW, salts: int = S
         total = 0
     whole = total // window * window
     ends = tail_ends(whole, total - whole)
-    # At most window x salts rows.
+    # At most window x salts rows: 131,072 up to 10**9 documents.
     starts = spark.createDataFrame(
         [tuple(map(int, r)) for r in groups[["rest", "salt", "rank0", "full0", "place0"]].itertuples(index=False)],
         "rest long, salt int, rank0 long, full0 long, place0 long",
     )
     by = Window.partitionBy("rest", "salt").orderBy("uid")
     ranked = light.select("uid", "full", "rest", "salt", (F.row_number().over(by) - 1).cast("long").alias("k"), (F.sum("full").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("full")).alias("before"))
-    placed = ranked.join(F.broadcast(starts), ["rest", "salt"]).select(
+    placed = ranked.join(F.broadcast(starts) if len(groups) <= BROADCAST_ROWS else starts, ["rest", "salt"]).select(
         F.col("uid").alias("plan_uid"), (F.col("rank0") + F.col("k")).alias("rank"), "rank0", (F.col("full0") + F.col("before")).alias("full_first"), "place0"
     )
     joined = rows.join(placed, rows["uid"] == placed["plan_uid"]).select("doc_id", "n", "packed", "rank", "rank0", "full_first", "place0")
@@ -219,34 +249,43 @@ def _encoder(path: str, ranks_path: str | None, pattern: str | None):
         return lambda texts: [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     import tiktoken
 
-    same = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-    return lambda texts: [same.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    added = {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
+    same = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=added)
+    return lambda texts: [same.encode_to_numpy(t, allowed_special="all") for t in texts]
 
 
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=2)
 def check_ranks(path: str, ranks_path: str) -> None:
-    """An error if a rank file's vocabulary is not that of a tokenizer file."""
-    char, own = byte_chars(), _tokenizer(path).get_vocab(with_added_tokens=False)
-    if any(own.get("".join(char[b] for b in token)) != rank for token, rank in read_ranks(ranks_path).items()):
+    """An error unless a rank file and a tokenizer file are the same byte-level BPE: the vocabularies are equal, merges make tokens
+    of rising rank, nothing is normalized or added, and added tokens are cut out as they stand."""
+    char, tokenizer = byte_chars(), _tokenizer(path)
+    ranks = {"".join(char[b] for b in token): rank for token, rank in read_ranks(ranks_path).items()}
+    if ranks != tokenizer.get_vocab(with_added_tokens=False):
         raise ValueError(f"{ranks_path} is not the vocabulary of {path}")
+    whole = json.loads(tokenizer.to_str())
+    made = [ranks["".join(m if isinstance(m, list) else m.split(" "))] for m in whole["model"]["merges"]]
+    step = whole["pre_tokenizer"] or {}
+    plain = whole["normalizer"] is None and whole["post_processor"] is None and step.get("type") == "ByteLevel" and step["use_regex"] and not step["add_prefix_space"]
+    bare = not any(t[k] for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain and bare and made == sorted(set(made))):
+        raise ValueError(f"{path} does more than merge bytes by rank")
 
 
 def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4, ranks_path: str | None = None, pattern: str | None = None) -> Column:
-    """Column of binary: ids, little-endian of `width` bytes, of each whole text (null: empty) by a tokenizer file, and end_id.
-    With a rank file of the same vocabulary (it is compared) and its pattern, the same ids are found by the faster tiktoken
-    library. An id that does not fit the width is an error."""
+    """Column of binary: ids, little-endian of `width` bytes, of each whole text (null: empty) by a tokenizer file, and end_id. Added
+    tokens that a text spells out, as <|endoftext|>, get their own ids, as the tokenizers library gives them. With a rank file of the
+    same BPE (it is compared) and its pattern, the same ids are found by the faster tiktoken library. An id that does not fit the
+    width is an error."""
     if ranks_path is not None:
         check_ranks(path, ranks_path)
 
-    @F.arrow_udf("binary")
+    @arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _encoder(path, ranks_path, pattern)
         end = np.array([end_id], f"<u{width}").tobytes()
