@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, sampled, steps, strings
+from .common import arrow_udf, frugal, sampled, small_batches, steps, strings
 
 #: Pages that training takes at most; weight of a count that no page gave; marginal from which a node is content.
 TRAIN_PAGES, SMOOTH, THRESHOLD = 2_000, 0.02, 0.5
@@ -30,9 +30,11 @@ CORPUS_SHARE = 0.25
 #: Fixed values of HTML: elements without an end, elements whose text is no text, elements that start a block of text,
 #: elements that close an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+#: Elements that are no text either, but only if they end, and that may end in their own start tag.
+HOLLOW = frozenset("template svg".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "xmp address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td "
     "tfoot th thead tr ul".split()
 )
@@ -58,9 +60,17 @@ AGAINST = (
 )
 FOR = ("article", "content", "main", "body", "post", "entry", "story", "text", "prose", "page")
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Deepest place of a node; what stands deeper is a neighbour there, as in browsers.
+DEEPEST = 512
+
+#: What follows "<" or "</": a name and attributes. A quote opens a value only after "="; else it is a character of its word.
+#: Nothing is tried twice, so a tag that does not end costs one look at the rest of the page.
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>\x00]*+)((?>[^=>]++|=\s*+(?>"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+)>""")
+_NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in (*RAW, *HOLLOW, "xmp")}
+#: Character references of more digits than any character has, and zeros before digits.
+_ZEROS, _HUGE = re.compile(r"&#0+(?=\d)"), re.compile(r"&#\d{8,};?")
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _AGAINST, _FOR = frozenset(AGAINST), frozenset(FOR)
@@ -85,62 +95,133 @@ class Dom:
         return len(self.tag) - 1
 
 
-def parse(html: str) -> Dom:
-    """The page's tree. Unclosed elements end with their parents or where HTML implies it; stray end tags are passed over;
-    a cut tag at the page's end is no text; comments, scripts and the like are left out."""
-    dom = Dom()
-    open_: list[int] = [dom.add("#root", -1)]
-    at, end = 0, len(html)
+class Open:
+    """The open elements, with the places of each name and of blocks, so that none is ever looked for along the whole list."""
+
+    def __init__(self, root: int):
+        self.nodes = [root]
+        self.tags = ["#root"]
+        self.blocks: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def parent(self) -> int:
+        return self.nodes[min(len(self.nodes) - 1, DEEPEST - 1)]
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of any of the names; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def close(self, place: int) -> None:
+        """Ends the element at a place and all inside it."""
+        for tag in reversed(self.tags[place:]):
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+        del self.nodes[place:], self.tags[place:]
+
+
+def _plain(text: str) -> str:
+    """Text with its character references decoded."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return unescape(text)
+
+
+def _slash_ends(before: str) -> bool:
+    """Whether a slash after these attributes ends the tag; else it belongs to an unquoted value."""
+    return not before or before[-1] in " \t\n\r\f\"'" or "=" not in before.rsplit(None, 1)[-1]
 
-    def say(text: str) -> None:
-        if text:
-            dom.add("#text", open_[-1], text=unescape(text) if "&" in text else text)
 
-    while at < end:
-        found = _TAG.search(html, at)
+def parse(html: str) -> Dom:
+    """The page's tree, in time that grows with its length. Unclosed elements end with their parents or where HTML implies it;
+    stray end tags are passed over; a tag or comment cut by the page's end is no text; comments, scripts and the like are left
+    out; template and svg are, if they end; xmp holds text as it stands; noscript and math are elements like others."""
+    dom = Dom()
+    open_ = Open(dom.add("#root", -1))
+    at, said, end = 0, 0, len(html)
+    endless: set[str] = set()
+
+    def find_end(tag: str, start: int) -> tuple[int, int] | None:
+        """Where the element's end tag starts and ends."""
+        if tag in endless:
+            return None
+        if stop := _ENDS[tag].search(html, start):
+            return stop.start(), html.find(">", stop.end()) + 1 or end
+        endless.add(tag)
+        return None
+
+    def say(upto: int) -> None:
+        if said < upto:
+            dom.add("#text", open_.parent(), text=_plain(html[said:upto]))
+
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        mark = html[at : at + 1]
+        if not (mark and (mark in "/!?" or mark.isascii() and mark.isalpha())):
+            continue
+        found = _TAG.match(html, at)
         if not found:
-            rest = html[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^>]*$", rest)
-            say(rest[: cut.start()] if cut else rest)
-            break
-        say(html[at : found.start()])
-        at = found.end()
-        close, tag, attributes = found.groups()
-        if not tag:
+            if html.startswith("!--", at):
+                # <!--> and <!---> are whole comments.
+                short = 2 if html.startswith(("!-->", "!--->"), at) else 4
+                stop = html.find("-->", start + short)
+                stop = stop + 3 if stop >= 0 else end
+            elif html.startswith("![CDATA[", at) and "]]>" not in endless and (stop := html.find("]]>", at)) >= 0:
+                stop += 3
+            elif mark in "!?" or mark == "/" and not html[at + 1 : at + 2].isalpha():
+                if html.startswith("![CDATA[", at):
+                    endless.add("]]>")
+                stop = html.find(">", at) + 1 or end
+            else:
+                stop = end
+            say(start)
+            at = said = stop
             continue
+        say(start)
+        at = said = found.end()
+        close, tag, attributes = found.groups()
         tag = tag.lower()
         if close:
-            for k in range(len(open_) - 1, 0, -1):
-                if dom.tag[open_[k]] == tag:
-                    del open_[k:]
-                    break
-                if tag not in BLOCK and dom.tag[open_[k]] in BLOCK and tag != "p":
-                    break
+            place = open_.last(tag)
+            # An inline element ends only inside the block that it is in.
+            if place and (tag in BLOCK or place > (open_.blocks[-1] if open_.blocks else 0)):
+                open_.close(place)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                t = dom.tag[open_[k]]
-                if t == "p":
-                    del open_[k:]
-                    break
-                if t in BLOCK:
-                    break
+        if tag in CLOSES_P and open_.blocks and open_.tags[open_.blocks[-1]] == "p":
+            open_.close(open_.blocks[-1])
         if tag in IMPLIED:
             shut, holder = IMPLIED[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                if dom.tag[open_[k]] in holder:
+            while (place := open_.last(*shut)) > open_.last(*holder):
+                open_.close(place)
+                if tag != "tr":
                     break
-                if dom.tag[open_[k]] in shut:
-                    del open_[k:]
-                    if tag != "tr":
-                        break
+        itself = attributes.endswith("/") and _slash_ends(attributes[:-1])
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            at = html.find(">", stop.end()) + 1 or end if stop else end
+            _, at = find_end(tag, at) or (end, end)
+            said = at
+            continue
+        if tag in HOLLOW and not itself and (stop := find_end(tag, at)):
+            at = said = stop[1]
+            continue
+        if tag == "xmp":
+            stop, at = find_end(tag, at) or (end, end)
+            dom.add("#text", dom.add(tag, open_.parent(), attributes), text=html[said:stop])
+            said = at
             continue
-        node = dom.add(tag, open_[-1], attributes)
-        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
-            open_.append(node)
+        node = dom.add(tag, open_.parent(), attributes)
+        if tag not in VOID and not (itself and tag not in BLOCK):
+            open_.push(node, tag)
+    say(end)
     return dom
 
 
@@ -212,7 +293,8 @@ def labelled_set() -> Iterator[tuple[str, list[int]]]:
 
 
 def _marked(page: str, dom: Dom) -> list[int]:
-    marks = [bool(re.search(r"\sy$", m[3])) for m in _TAG.finditer(page) if m[2] and not m[1] and m[2] not in RAW]
+    tags = (_TAG.match(page, m.end()) for m in re.finditer("<", page))
+    marks = [bool(re.search(r"\sy$", m[3])) for m in tags if m and not m[1] and m[2] not in RAW]
     starts = iter(marks)
     labels: list[int] = []
     for k, tag in enumerate(dom.tag):
@@ -261,13 +343,14 @@ def marginals(model: Model, parent: np.ndarray, own: np.ndarray, depth: np.ndarr
     potentials; depth: from 0 at tops."""
     up = own.copy()
     message = np.zeros_like(own)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=-1)) + 1)]
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth, minlength=1))[:-1]) if len(depth) else []
     for nodes in reversed(levels[1:]):
         # What a child says to its parent: the sum over the child's labels.
         m = np.logaddexp(model.edge[:, 0] + up[nodes, :1], model.edge[:, 1] + up[nodes, 1:])
         message[nodes] = m
+        above, child = np.unique(parent[nodes], return_inverse=True)
         for y in (0, 1):
-            up[:, y] += np.bincount(parent[nodes], m[:, y], minlength=len(up))
+            up[above, y] += np.bincount(child, m[:, y])
     belief = up.copy()
     for d, nodes in enumerate(levels):
         if d == 0:
@@ -341,6 +424,7 @@ def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Model:
     """Potentials from the built-in set and (page_id, html) of the corpus: of the pages whose ids hash lowest, train_pages at
     most, those that label themselves. Tasks send counts, a few hundred numbers each. No pages: the built-in set alone."""
     seen = count((parse(page), labels) for page, labels in labelled_set())
+    small_batches()
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: Counter = Counter()
@@ -368,7 +452,7 @@ def main_text(html: Column, model: Model, threshold: float = THRESHOLD) -> Colum
     """Column of string: the main text of each whole page, blocks joined by \\n. Null and empty pages, and pages without
     content: the empty string."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in frugal(batches):
             yield pa.array(["\n".join(b) for run in steps(strings(batch)) for b in extract_batch(run, model, threshold)], pa.string())
