@@ -19,13 +19,15 @@ LEAST_SCORE = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(queries.labelled(spark, docs, sf_dir, "toxic", lambda d: fold(d, 3) != 1, toxicity.TRAIN_ROWS))
-    return docs.withColumn("_toxic", toxicity.score(F.col("text"), model)).where(F.col("_toxic") < queries.TOXIC_FROM).select(*docs.columns)
+    # Rows go as one column, here and below, so that no name of theirs meets one of ours.
+    told = docs.select(F.struct("*").alias("row"), toxicity.score(F.col("text"), model).alias("toxic"))
+    return told.where(F.col("toxic") < queries.TOXIC_FROM).select("row.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = docs.where(fold(F.col("doc_id"), 4) != 2).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("label"))
-    told = docs.withColumn("_lang", langid.predict(F.col("text"), langid.fit(learn)))
-    return told.where((F.col("_lang.lang_pred") != langid.UNDETERMINED) & (F.col("_lang.score") >= LEAST_SCORE)).select(*docs.columns)
+    told = docs.select(F.struct("*").alias("row"), langid.predict(F.col("text"), langid.fit(learn)).alias("told"))
+    return told.where((F.col("told.lang_pred") != langid.UNDETERMINED) & (F.col("told.score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     # Rows of one doc_id and one fingerprint share a component, so these two name a row's verdict.
     later = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("component_id") < F.col("doc_id")))
-    lost = found.where(later).select(F.col("doc_id").alias("_lost"), F.col("code").alias("_code")).distinct()
-    told = docs.withColumn("_own", simhash.fingerprint(F.col("text"), simhash.WORDS))
-    return told.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")) & (F.col("_own") == F.col("_code")), "left_anti").select(*docs.columns)
+    lost = found.where(later).select("doc_id", "code")
+    told = docs.select(F.struct("*").alias("row"), simhash.fingerprint(F.col("text"), simhash.WORDS).alias("own"))
+    return told.join(lost, F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("code")), "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
