@@ -1,35 +1,34 @@
 """Quality rules: learned decision lists over document statistics, in Spark expressions alone.
 
-The statistics are DataFrame expressions on each text. Sequential covering reads them from one light table: Spark bins and
-counts the labelled rows, the driver sees counts of bins (a bounded number) and grows a conjunction of thresholds by FOIL gain,
-prunes it on the rows held back from growing, and goes on with the rows that no rule covers. The list becomes one conditional
-expression.
+The statistics are DataFrame expressions on each text. Sequential covering sees those of a bounded sample of labelled rows on the
+driver: it grows a conjunction of thresholds by FOIL gain, prunes it on the rows held back from growing, and goes on with the rows
+that no rule covers, whose thresholds are looked for anew. The list becomes one conditional expression over all rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, sampled
 
 #: Fixed values of the contract: white space between words, symbols, words of a window, and when a text fails outright.
 BLANK, SYMBOLS, RUN, LEAST_WORDS, REPEAT_PERCENT = " \t\n\x0b\x0c\r", "#*$%&|<>", 5, 10, 20
-#: Thresholds tried of each statistic; most rules and conditions; share of label 0 that a rule must reach on either part of the
-#: rows; rows that it must cover.
-CUTS, MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_ROWS = 24, 8, 3, 0.95, 5
+#: Labelled rows that training takes at most; most rules and conditions; share of label 0 that a rule must reach on either part of
+#: the rows; rows that it must cover.
+TRAIN_ROWS, MOST_RULES, MOST_CONDITIONS, PRECISION, LEAST_ROWS = 20_000, 64, 3, 0.95, 5
 #: What rules may ask about, in the order that settles ties.
 NAMES = ("repeat_share", "symbol_share", "upper_share", "bang_share", "distinct_share", "adjacent_share", "bar_share", "dup_line_share", "mean_word", "n_words")
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and NAMES) of each row's whole text.
-    Null and blank texts have no words; shares of nothing are 0. Windows are told apart by two 64-bit hashes of their words'
-    hashes; the sort that finds their places runs only for texts that repeat a window."""
+    Null and blank texts have no words; shares of nothing are 0. Windows are told apart by a 64-bit hash of their words'
+    64-bit hashes; the sort that finds their places runs only for texts that repeat a window."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.trim(F.col("t"), F.lit(BLANK))
     read = docs.select("doc_id", text.alias("t")).select("doc_id", "t", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{_regex(BLANK)}]+", -1)).alias("words"))
@@ -95,6 +94,10 @@ class Condition:
     def column(self) -> Column:
         return F.col(self.name) > F.lit(self.cut) if self.above else F.col(self.name) <= F.lit(self.cut)
 
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        at = values[:, NAMES.index(self.name)]
+        return at > self.cut if self.above else at <= self.cut
+
     def __str__(self) -> str:
         return f"{self.name} {'>' if self.above else '<='} {self.cut:.6g}"
 
@@ -126,83 +129,84 @@ def _all(rule: tuple[Condition, ...]) -> Column:
     return reduce(lambda a, b: a & b, [c.column() for c in rule])
 
 
-def learn(rows: DataFrame, cuts: int = CUTS, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS, precision: float = PRECISION, least_rows: int = LEAST_ROWS) -> DecisionList:
-    """Rules that tell label 0, from (key, label 0 or 1, NAMES). All rows count. Two thirds of the rows, by their keys' hashes,
-    grow a rule; the others prune it. Each step is one aggregation. Without rows of label 0: no rules."""
-    rows = checkpoint(rows.where(F.col("label").isin(0, 1)).select("label", (F.pmod(F.xxhash64("key"), F.lit(3)) > 0).alias("grow"), *(F.col(c).cast("double").alias(c) for c in NAMES)))
-    parts = [(k + 1) / (cuts + 1) for k in range(cuts)]
-    levels = rows.agg(*(F.percentile_approx(F.when(F.col("label") == y, F.col(c)), parts, 5000).alias(f"{c}_{y}") for c in NAMES for y in (0, 1))).first()
-    marks = {c: sorted({*(levels[f"{c}_0"] or ()), *(levels[f"{c}_1"] or ())}) for c in NAMES}
-    if not any(marks.values()):
-        return DecisionList()
-    left, rules = rows, []
-    for _ in range(most_rules):
-        rule = _grow(left, marks, most_conditions)
-        rule = _prune(left, rule, precision, least_rows) if rule else None
+def learn(rows: DataFrame, train_rows: int = TRAIN_ROWS, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS, precision: float = PRECISION, least_rows: int = LEAST_ROWS) -> DecisionList:
+    """Rules that tell label 0, from (key, label 0 or 1, NAMES): of these rows the train_rows whose keys hash lowest. Two thirds of
+    them, by their keys' hashes, grow a rule; the others prune it. Without rows of label 0: no rules."""
+    known = rows.where(F.col("label").isin(0, 1)).select("key", "label", *(F.col(c).cast("double").alias(c) for c in NAMES))
+    grow = F.pmod(F.xxhash64("key"), F.lit(3)) > 0
+    seen = sampled(known, "key", train_rows).select("label", grow.alias("grow"), *NAMES).collect()
+    label, grows = (np.array([r[k] for r in seen], bool) for k in (0, 1))
+    values = np.array([r[2:] for r in seen], float).reshape(-1, len(NAMES))
+    rules: list[tuple[Condition, ...]] = []
+    left = np.ones(len(seen), bool)
+    while len(rules) < most_rules:
+        x, y, g = values[left], label[left], grows[left]
+        # The best beginning whose rule stays precise on rows that it did not grow on.
+        tried = (_prune(x, y, g, _grow(x[g], y[g], first, most_conditions), precision, least_rows) for _, first in _gains(x[g], y[g]))
+        rule = next(filter(None, tried), None)
         if not rule:
             break
         rules.append(rule)
-        left = left.where(~_all(rule))
+        left &= ~_holds(rule, values)
     return DecisionList(tuple(rules))
 
 
-def _counts(rows: DataFrame, marks: dict[str, list[float]]) -> dict[str, list[list[int]]]:
-    """Growing rows of each label in each bin of each statistic: bin k holds values over mark k - 1 and up to mark k."""
-
-    def place(name: str) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, marks[name])), lambda mark: F.col(name) > mark))
-
-    bins = F.array(*(F.struct(F.lit(c).alias("name"), place(c).alias("bin")) for c, m in marks.items() if m))
-    out = {c: [[0, 0] for _ in range(len(m) + 1)] for c, m in marks.items() if m}
-    for r in rows.where("grow").select("label", F.explode(bins).alias("b")).groupBy("b.name", "b.bin", "label").agg(F.count("*").alias("n")).collect():
-        out[r["name"]][r["bin"]][r["label"]] += r["n"]
-    return out
-
-
-def _grow(rows: DataFrame, marks: dict[str, list[float]], most: int) -> tuple[Condition, ...]:
-    rule: tuple[Condition, ...] = ()
-    for _ in range(most):
-        counts = _counts(rows.where(_all(rule)) if rule else rows, marks)
-        total = [sum(b[y] for b in next(iter(counts.values()))) for y in (0, 1)]
-        if not total[0] or rule and not total[1]:
-            break
-        prior = log2(total[0] / sum(total))
-        best: tuple[float, Condition] | None = None
-        for name, bins in counts.items():
-            low = [0, 0]
-            for k, cut in enumerate(marks[name]):
-                low = [low[0] + bins[k][0], low[1] + bins[k][1]]
-                for above in (True, False):
-                    zero, one = (total[0] - low[0], total[1] - low[1]) if above else low
-                    if zero and (gain := zero * (log2(zero / (zero + one)) - prior)) > (best[0] if best else 1e-9):
-                        best = (gain, Condition(name, above, cut))
-        if not best:
+def _holds(rule: tuple[Condition, ...], values: np.ndarray) -> np.ndarray:
+    return reduce(np.logical_and, [c.holds(values) for c in rule], np.ones(len(values), bool))
+
+
+def _gains(values: np.ndarray, label: np.ndarray) -> list[tuple[float, Condition]]:
+    """The best cut of each statistic on either side, by falling FOIL gain."""
+    found: list[tuple[float, Condition]] = []
+    if not (~label).any() or not label.any():
+        return found
+    prior = np.log2(np.mean(~label))
+    for j, name in enumerate(NAMES):
+        order = np.argsort(values[:, j], kind="stable")
+        x, bad = values[order, j], np.cumsum(~label[order])
+        # A cut lies between two values; counts of label 0 and of all rows up to it and above it.
+        cut = np.flatnonzero(x[1:] > x[:-1])
+        for above in (True, False):
+            zero, every = (bad[-1] - bad[cut], len(x) - 1 - cut) if above else (bad[cut], cut + 1)
+            gain = zero * (np.log2(np.maximum(zero, 1e-9) / every) - prior)
+            if len(gain) and gain.max() > 1e-9:
+                k = cut[int(gain.argmax())]
+                middle = float((x[k] + x[k + 1]) / 2)
+                found.append((float(gain.max()), Condition(name, above, middle if x[k] <= middle < x[k + 1] else float(x[k]))))
+    return sorted(found, key=lambda f: -f[0])
+
+
+def _grow(values: np.ndarray, label: np.ndarray, first: Condition, most: int) -> tuple[Condition, ...]:
+    """A first condition and the ones of most gain, one after the other, on the rows that the ones before leave."""
+    rule = (first,)
+    while len(rule) < most:
+        here = rule[-1].holds(values)
+        values, label = values[here], label[here]
+        if not (gains := _gains(values, label)):
             break
-        rule = (*rule, best[1])
+        rule = (*rule, gains[0][1])
     return rule
 
 
-def _prune(rows: DataFrame, rule: tuple[Condition, ...], precision: float, least: int) -> tuple[Condition, ...] | None:
+def _prune(values: np.ndarray, label: np.ndarray, grows: np.ndarray, rule: tuple[Condition, ...], precision: float, least: int) -> tuple[Condition, ...] | None:
     """The beginning of the rule that does best on the held-back rows, if it is precise there and on the growing rows."""
-    starts = [rule[: k + 1] for k in range(len(rule))]
-    sums = [F.count_if(_all(r) & (F.col("label") == y) & (F.col("grow") == g)).alias(f"c{k}_{y}_{int(g)}") for k, r in enumerate(starts) for y in (0, 1) for g in (True, False)]
-    got = rows.agg(*sums).first()
     best = None
-    for k, r in enumerate(starts):
-        (z1, o1), (z0, o0) = ((got[f"c{k}_0_{g}"], got[f"c{k}_1_{g}"]) for g in (1, 0))
+    for k in range(1, len(rule) + 1):
+        here = _holds(rule[:k], values)
+        (z1, o1), (z0, o0) = (((here & ~label & part).sum(), (here & label & part).sum()) for part in (grows, ~grows))
         if z1 + z0 >= least and z1 >= precision * (z1 + o1) and z0 >= precision * (z0 + o0):
             # A clean text lost weighs as four bad ones caught.
             value = z0 - 4 * o0
             if best is None or value > best[0]:
-                best = (value, r)
+                best = (value, rule[:k])
     return best[1] if best else None
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """base_statistics, rule (the number of the rule that rejects, null if none) and kept (false where base_failed or a rule
-    holds), one row for each of (doc_id, text). labels: (doc_id, label), learned from where doc_id meets a document. Statistics
-    are computed once and written."""
+    holds), one row for each of (doc_id, text). labels: (doc_id, label), learned from where doc_id meets a document; rows that repeat
+    a doc_id on either side are each learned from with each of the other. Statistics are computed once and written."""
     rows = checkpoint(base_statistics(docs))
-    known = rows.join(labels.select(F.col("doc_id").alias("key"), "label"), F.col("doc_id") == F.col("key"))
+    known = checkpoint(rows.join(labels.select(F.col("doc_id").alias("key"), "label"), F.col("doc_id") == F.col("key")).select("key", "label", *NAMES))
     found = learn(known, **options)
     return rows.withColumn("rule", found.rule_number()).withColumn("kept", ~F.col("base_failed") & found.kept())
