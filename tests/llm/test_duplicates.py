@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -133,7 +134,7 @@ def test_hot_and_cold_keys_meet_alike(spark):
     lines = spark.createDataFrame([(bytes([k % 7]), k) for k in range(3000)], "key binary, doc_id long")
     repeated = lines.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).where(F.col("key") != b"\x03")
     for hot in (1, 10**6):
-        assert line_dedup._meet(lines, repeated, hot).count() == lines.where(F.col("key") != b"\x03").count()
+        assert line_dedup._meet(lines, 3000, repeated, hot).count() == lines.where(F.col("key") != b"\x03").count()
 
 
 def test_runs_hold_each_key_once(spark):
@@ -189,3 +190,65 @@ def test_kept_digest(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for d, n, k, t in slow_lines([(r["doc_id"], r["text"]) for r in docs])}
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in queries.op10_line_dedup(spark, SF).collect()} == want
+
+
+def test_names_that_clash(spark, docs):
+    import corpus_pipeline
+
+    line = "a line that is in all of them"
+    odd = [c for c in "_drop_keys _drop_doc _cut row cut drop_keys _toxic toxic _lang told _lost _own own code key text_ n_dropped_".split() if c not in docs([]).columns]
+    frame = docs([(k, f"{line}\nown words of number {k}") for k in range(5)]).withColumns({c: F.lit(c) for c in odd})
+    done = line_dedup.drop_repeated_lines(frame).collect()
+    assert len(done) == 5 and sorted(r["n_dropped"] for r in done) == [0, 1, 1, 1, 1] and all(r[c] == c for r in done for c in odd)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns
+        assert all(r[c] == c for r in out.collect() for c in odd)
+
+
+def test_batches_meet_runs_without_an_exchange(spark):
+    runs = line_dedup.LineRuns(fanout=9)
+    for k in range(2):
+        runs.add(spark.createDataFrame([(bytes([j]), 10 * k + j) for j in range(50)], "key binary, doc_id long"))
+    one, two = runs.first[0]
+    plan = two.join(one.select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_copies_of_a_fingerprint_are_as_many_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    for n in (1_000, 20_000):
+        codes = spark.createDataFrame([(int(c),) for c in rng.integers(-(1 << 63), 1 << 63, n, np.int64)], "code long")
+        assert simhash.links(codes).count() == 0
+    assert len(list(simhash._blocks(3))) == 5
+
+
+def test_pipeline_against_plain_python(spark):
+    """Line removal, near-duplicates and packing of what the classifiers keep, in plain Python."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = {r["doc_id"] for r in queries.op7_toxicity(spark, SF).collect() if r["predicted"]}
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - toxic
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    rows = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_known_languages(spark, kept, SF).collect()]
+    texts = {d: t for d, _, _, t in slow_lines(rows)}
+    root = slow_components([(d, slow_print(t)) for d, t in texts.items()])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items() if root[d] == d}
+    pieces = sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda p: (p["doc_id"], p["start"]))
+    assert {p["doc_id"] for p in pieces} == set(want)
+    at = dict.fromkeys(want, 0)
+    ends = {}
+    for p in pieces:
+        ids = want[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert p["start"] == at[p["doc_id"]] and p["doc_tokens"] == len(want[p["doc_id"]]) and p["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        at[p["doc_id"]] += p["length"]
+        ends.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert all(at[d] == len(ids) for d, ids in want.items())
+    for parts in ends.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048

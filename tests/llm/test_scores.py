@@ -87,6 +87,21 @@ def test_sample_is_bounded(spark):
     assert sorted(r["key"] for r in sampled(rows.repartition(7), "key", 50).collect()) == sorted(r["key"] for r in sampled(rows, "key", 50).collect())
 
 
+def test_sample_of_repeated_keys(spark):
+    from viastrata.llm.common import sampled
+
+    def kept(rows, bound):
+        first, again = (sorted(tuple(r) for r in sampled(labelled(spark, rows).repartition(n), "key", bound).collect()) for n in (1, 5))
+        assert first == again and set(first) <= set(rows)
+        return first
+
+    # One key holds most rows, with texts of its own, and with equal ones.
+    assert len(kept([(7, f"t{k}", 1) for k in range(300)] + [(k, "x", 0) for k in range(20)], 15)) == 15
+    assert len(kept([(7, "same", 1)] * 300 + [(k, "x", 0) for k in range(20)], 15)) == 15
+    assert len(kept([(None, "same", 1)] * 31, 5)) == 5
+    assert len(kept([(k % 100, f"t{k}", 1) for k in range(1000)], 333)) == 333
+
+
 def test_language_of_odd_rows(spark, docs):
     seen = [(k, t, c) for k, (t, c) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)]
     model = langid.fit(labelled(spark, [*seen, (None, "the end", "en"), (90, None, "en"), (91, "...", "de"), (92, "x", None)], "string"))
@@ -226,3 +241,174 @@ def test_sums_of_products_against_all_labels():
             total[k, y[k]] += p
     got = html_extract.marginals(html_extract.Model({}, edge, page), parent, own, depth)
     assert np.allclose(got, total[:, 1] / total.sum(axis=1))
+
+
+def test_quality_against_dense_ridge(spark, docs):
+    rng = np.random.default_rng(6)
+    words = ["alpha", "Beta", "gamma", "DELTA", "eps!", "zeta.", "#eta", "theta|", "x1", "9"]
+    rows = [(k, "\n".join(" ".join(rng.choice(words[: 4 + 6 * (k % 2)], rng.integers(1, 30))) for _ in range(rng.integers(1, 5))), int(k % 3 > 0)) for k in range(120)]
+
+    def slow(text):
+        n, ws, lines = len(text), text.split(), text.split("\n")
+        w = max(len(ws), 1)
+        kinds = [sum(map(f, text)) / n for f in (str.isalpha, str.isupper, str.isdigit, str.isspace)]
+        symbols = sum(c in "#*$%&|<>" for c in text) / n
+        marks = sum(not c.isalnum() and not c.isspace() and c not in "#*$%&|<>" for c in text) / n
+        return [
+            np.log1p(n), np.log1p(len(ws)), min((n - len(ws)) / w, 50), *kinds, marks, symbols, text.count("!") / n, text.count("|") / n, len(set(ws)) / w,
+            sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / w, max(map(ws.count, ws), default=0) / w, sum(x.isupper() for x in ws) / w,
+            sum(not (x[-1].isalnum() or x[-1] in ".,;:?)\"'") for x in ws) / w, 1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)),
+        ]
+
+    x, y = np.array([slow(t) for _, t, _ in rows]), np.array([v for _, _, v in rows], float)
+    assert np.allclose(quality.statistics([t for _, t, _ in rows]), x)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    draw = np.random.default_rng(quality.SEED)
+    direction, phase = draw.normal(size=(x.shape[1], 32)) / quality.WIDTH, draw.uniform(0, 2 * np.pi, 32)
+    phi = lambda x: np.hstack([np.cos(np.clip((x - mean) / scale, -8, 8) @ direction + phase) * np.sqrt(2 / 32), np.ones((len(x), 1))])
+    weight = np.where(y > 0, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
+    # Ridge as least squares over more rows.
+    a = np.vstack([phi(x) * np.sqrt(weight)[:, None], np.sqrt(quality.RIDGE * len(y) / 32) * np.eye(33)])
+    solved = np.linalg.lstsq(a, np.concatenate([y * np.sqrt(weight), np.zeros(33)]), rcond=None)[0]
+    raw, step = phi(x) @ solved, 2 / quality.BINS
+    place = np.floor((raw + 0.5) / step).astype(int)
+    at = np.unique(place)
+    n, hits = np.array([(place == b).sum() for b in at]), np.array([y[place == b].sum() for b in at])
+    share = [max(min(hits[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    want = np.interp(raw, -0.5 + (at + 0.5) * step, share)
+    model = quality.fit(labelled(spark, rows), features=32)
+    got = {r["doc_id"]: r["s"] for r in docs([(k, t) for k, t, _ in rows]).withColumn("s", quality.score(F.col("text"), model)).collect()}
+    assert np.allclose([got[k] for k, _, _ in rows], want, atol=1e-6)
+
+
+def test_language_against_the_kernel(spark, docs):
+    import re
+
+    rng = np.random.default_rng(8)
+    pools = {"aa": "the cat and a dog ran home", "bb": "der hund und die katze gehen", "cc": "le chat et un chien vont"}
+    rows = [(k, " ".join(rng.choice(pools[c].split(), 5)) + "!" * (k % 2), c) for k, c in enumerate(["aa", "bb", "cc"] * 8)]
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in text.lower())
+        # A text's end is one more space.
+        t = re.sub(" +", " ", t) + " "
+        return {t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)}
+
+    kernel = lambda a, b: np.array([[len(p & q) / np.sqrt(len(p) * len(q)) for q in map(grams, b)] for p in map(grams, a)])
+    texts = [t for _, t, _ in rows]
+    marks = sorted({frozenset(grams(t)): t for t in texts}.values())
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    large = values > 1e-6 * values[-1]
+    phi = np.hstack([kernel(texts, marks) @ vectors[:, large] / np.sqrt(values[large]), np.ones((len(texts), 1))])
+    y = np.where(np.array([[c == name for name in pools] for _, _, c in rows]), 1.0, -1.0)
+    penalty = langid.RIDGE * len(texts) / large.sum() * np.eye(phi.shape[1])
+    penalty[-1, -1] = 1e-9
+    f = phi @ np.linalg.solve(phi.T @ phi + penalty, phi.T @ y)
+    model = langid.fit(labelled(spark, rows, "string"), bits=19, landmarks=24)
+    got = {r["doc_id"]: r["p"] for r in docs([(k, t) for k, t, _ in rows]).select("doc_id", langid.predict(F.col("text"), model).alias("p")).collect()}
+    assert [got[k]["lang_pred"] for k, _, _ in rows] == [list(pools)[j] for j in f.argmax(axis=1)]
+    assert np.allclose([got[k]["score"] for k, _, _ in rows], np.clip((f.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+
+
+def test_toxicity_against_plain_rows(spark, docs):
+    import math
+    import re
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def scramble(x):
+        x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & mask
+        return x ^ x >> 32
+
+    def features(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        mixed = lambda k: k * 0x9E3779B97F4A7C15 & mask
+        out = {scramble(x + mixed(0) & mask) for x in h}
+        out |= {scramble(xxhash.xxh64_intdigest(w[:n], n) + mixed(j) & mask) for w in words for j, n in enumerate(toxicity.STEMS, 1)}
+        out |= {scramble(a * (2 * gap + 1) + (b >> gap) + mixed(gap + 7) & mask) for gap in (1, 2) for a, b in zip(h, h[gap:], strict=False)}
+        return sorted({x >> 64 - toxicity.BITS for x in out})
+
+    key = {r["key"]: r["h"] for r in labelled(spark, TOXIC).select("key", F.xxhash64(F.lit(17), "key").alias("h")).collect()}
+    rows = sorted(TOXIC, key=lambda r: key[r[0]])
+    seen = [x for _, t, _ in rows for x in features(t)]
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= toxicity.L1 else (math.copysign(toxicity.L1, a) - a) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    chance = lambda on: 1 / (1 + math.exp(-sum(map(weight, on))))
+    for _ in range(min(max(-(-toxicity.PASSES // len(rows)), toxicity.EPOCHS[0]), toxicity.EPOCHS[1])):
+        for _, text, label in rows:
+            on = [*(x for x in features(text) if seen.count(x) >= toxicity.LEAST_TEXTS), "bias"]
+            g = chance(on) - label
+            for i, w in [(i, weight(i)) for i in on]:
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - s * w
+                n[i] = n.get(i, 0.0) + g * g
+    model = toxicity.fit(labelled(spark, TOXIC))
+    texts = [*[t for _, t, _ in TOXIC], "vile", "so vile words", "", "Quite FINE, here"]
+    got = {r["doc_id"]: r["s"] for r in docs(list(enumerate(texts))).withColumn("s", toxicity.score(F.col("text"), model)).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], [chance([*features(t), "bias"]) for t in texts], atol=1e-9)
+
+
+def test_learning_stops_at_enough_features(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_FEATURES", 10)
+    assert len(toxicity.fit(labelled(spark, TOXIC)).index) <= 1
+
+
+#: Pages written for this test, as such pages are laid out, and their main text as a reader would mark it.
+OTHER_PAGES = [
+    ("""<!DOCTYPE html><html><head><title>Harbour news</title><style>.x{color:red}</style></head><body><header class="site-header"><a href="/">The Harbour</a></header>
+<nav><ul><li><a href="/a">News</a></li><li><a href="/b">Sport</a></li></ul></nav><main><article><h1>New pier opens to the public</h1><p class="lead">After two years of work the
+new pier was opened on Monday by the mayor, who cut a ribbon.</p><p>Some 400 people came, though it rained all&nbsp;day &mdash; &quot;we had hoped for sun&quot;, one said.</p>
+<h2>What it cost</h2><p>The town paid nine million for it.</p></article></main><aside class="sidebar"><h3>Most read</h3><p>Ten ways to cook a herring, and why you should</p></aside>
+<footer><p>Copyright The Harbour. All rights reserved by its owners.</p></footer><script>track("<p>nothing</p>")</script></body></html>""",
+     "New pier opens to the public\nAfter two years of work the new pier was opened on Monday by the mayor, who cut a ribbon.\nSome 400 people came, though it rained all day — \"we had hoped for sun\", one said.\nWhat it cost\nThe town paid nine million for it."),
+    ("""<html><body><div id=top class=masthead>Our garden <a href=/>home</a></div><div class=cookie-banner><p>We use cookies to make this site work. Accept them all?</p><button>Yes</button></div>
+<div class=post-body><h1>How to prune an old apple tree</h1><p>Wait for a dry day in late winter, when the tree's buds still sleep.<p>Take out dead wood first; it is brittle & grey.
+<ul><li>Then take what crosses.<li>Then take what grows inwards.</ul><div class="ad-slot"><p>Sharp shears, half price this week only at the shop!</p></div><p>Leave the rest to the tree.</div>
+<div id=comments><h3>2 comments</h3><div class=comment><p>I did this last year and it worked very well for me.</p></div></div></body></html>""",
+     "How to prune an old apple tree\nWait for a dry day in late winter, when the tree's buds still sleep.\nTake out dead wood first; it is brittle & grey.\nThen take what crosses.\nThen take what grows inwards.\nLeave the rest to the tree."),
+    ("<article><p class=it's>One thing is said here.</p><p title='a > b'>Two words</p><p>don't</p></article>", "One thing is said here.\nTwo words\ndon't"),
+    ("<article><h1>On icons</h1><p>An icon <svg width=3 /> stands in this line of the text.</p><p>And <svg><title>no</title><path d='x'/></svg>another here, &#0000065; &#99999999999; done.</p><noscript><p>The text for readers without scripts goes on.</p></noscript></article>",
+     "On icons\nAn icon stands in this line of the text.\nAnd another here, A \ufffd done.\nThe text for readers without scripts goes on."),
+    ("<article><p>A sum, 1 < 2 and <math><mi>a</mi><mo>+</mo><mi>b</mi></math> too, as anyone can see.</p><!----><p>After<!--> a short one <!---> comment.</p></article>",
+     "A sum, 1 < 2 and a+b too, as anyone can see.\nAfter a short one comment."),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), OTHER_PAGES)
+def test_main_text_of_other_pages(spark, html, text):
+    model = html_extract.fit(spark.createDataFrame([], "page_id long, html string"))
+    assert "\n".join(html_extract.extract_batch([html], model)[0]) == text
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    model = html_extract.to_model(html_extract.count((html_extract.parse(p), y) for p, y in html_extract.labelled_set()))
+    worst = [
+        "<a '" * 250_000, "<span>" * 80_000 + "</b>" * 120_000, "<b><div>" + "<span>" * 70_000 + "</b>" * 120_000, "<div>" * 200_000, "<![CDATA[" * 110_000, "<svg>" * 200_000,
+        "<p>x" * 250_000, "<ul><li>" * 100_000, '<a b="x' * 130_000, "<script>" * 120_000, "<table><tr><td>" * 60_000, "<p>&#" + "1" * 1_000_000, "<p class" + " " * 1_000_000 + ">x",
+    ]
+    for page in worst:
+        began = time.perf_counter()
+        html_extract.extract_batch([page], model)
+        assert time.perf_counter() - began < 6, page[:20]
+
+
+def test_decision_list_by_rows(spark, docs):
+    texts = [("quite different words stand here each time, as number " + " ".join(chr(97 + k * j % 26) * 4 for j in range(1, 12))) for k in range(40)] + ["buy now " * n for n in range(6, 26)]
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(60)], "doc_id long, label int")
+    frame = docs(list(enumerate(texts)))
+    found = rules.learn(rules.base_statistics(frame).join(labels, "doc_id").withColumnRenamed("doc_id", "key"))
+    assert found.rules
+    for r in rules.judged(frame, labels).collect():
+        number = next((k for k, rule in enumerate(found.rules, 1) if all((r[c.name] > c.cut) == c.above for c in rule)), None)
+        assert r["rule"] == number and r["kept"] == (number is None and not r["base_failed"])
+    assert str(rules.DecisionList()) == "keep all" and "reject if" in str(found)

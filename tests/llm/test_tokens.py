@@ -10,6 +10,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from viastrata.llm import bpe, ogg, packing, queries
 
@@ -23,10 +24,19 @@ def exact():
     return tiktoken.Encoding("exact", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
 
 
+def test_decoding_reverses_the_table_of_bytes():
+    assert bpe.BYTE_OF[[ord(c) for c in bpe.byte_chars()]].tolist() == list(range(256))
+    coder, ranks = bpe.coder(PATH, PATTERN), bpe.read_ranks(PATH)
+    assert all(coder.decode_bytes([rank]) == token for token, rank in ranks.items())
+
+
 def test_odd_texts_as_tiktoken(spark, docs, exact):
     rows = docs(list(enumerate(ODD)) + [(0, "again")])
     got = rows.select("doc_id", "text", bpe.round_trip(F.col("text"), PATH, PATTERN).alias("d")).collect()
+    library = bpe.coder(PATH, PATTERN).tokenizer
     for r in got:
+        places = np.array(library.encode(r["text"] or "", add_special_tokens=False).offsets, "<u4")
+        assert r["d"]["offsets_crc32"] == zlib.crc32(places.tobytes())
         ids = exact.encode_ordinary(r["text"] or "")
         assert r["d"]["n_tokens"] == len(ids)
         assert r["d"]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
@@ -55,6 +65,19 @@ def test_every_character_as_tiktoken(exact):
         assert all(a.tolist() == b for a, b in zip(coder.encode_batch(part), exact.encode_ordinary_batch(part), strict=True))
 
 
+def test_texts_without_blanks_are_not_remembered(exact):
+    coder = bpe.ByteBPE(PATH, PATTERN)
+    rng = np.random.default_rng(3)
+    for text in ("".join(map(chr, rng.integers(0x4E00, 0x9FA0, 150_000))), "".join(map(chr, rng.integers(33, 127, 1_000_000)))):
+        ids = coder.encode_batch([text])[0]
+        assert ids.tolist() == exact.encode_ordinary(text) and coder.decode(ids) == text
+        assert not coder.memo and coder.held == 0
+    small = bpe.ByteBPE(PATH, PATTERN, memo_bytes=20_000)
+    for k in range(30):
+        small.encode_batch([" ".join(f"w{k}x{j}" for j in range(40))])
+        assert small.held <= 20_000 + 41 * 300
+
+
 def test_memo_is_bounded(exact):
     coder = bpe.ByteBPE(PATH, PATTERN, memo_pieces=50)
     for k in range(20):
@@ -67,6 +90,9 @@ def test_spans_cover_the_text_and_split_characters_decode(spark):
     coder = bpe.coder(PATH, PATTERN)
     text = "Höhe 日本 😀 done"
     spans = coder.spans(text)
+    for t in (text, "", "x", "\U00010348 a", "日本語の文 " * 9):
+        got = coder.tokenizer.encode(t, add_special_tokens=False)
+        assert coder.spans(t) == [(i, *s) for i, s in zip(got.ids, got.offsets, strict=True)]
     assert [s[0] for s in spans] == coder.encode_batch([text])[0].tolist()
     assert spans[0][1] == 0 and spans[-1][2] == len(text) and all(a[1] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
     ids = [s[0] for s in spans]
@@ -130,6 +156,17 @@ def test_counts_are_never_overdrawn():
         assert (used <= counts).all()
 
 
+def test_residuals_are_packed_greedily():
+    free = np.zeros(64, np.int64)
+    free[[40, 15, 9, 7]] = [3, 5, 3, 2]
+    # The largest first: 40 + 15 + 9, three times; 15 and 7 come out uneven.
+    assert packing.greedy(free) == [(((40, 1), (15, 1), (9, 1)), 3)]
+    assert free[[40, 15, 9, 7]].tolist() == [0, 2, 0, 2]
+    free[[2, 4]] = [9, 20]
+    got = packing.greedy(free)
+    assert all(sum(a * t for a, t in way) == 64 for way, _ in got) and got and (free >= 0).all()
+
+
 def test_least_squares_finds_an_exact_solution():
     counts = np.zeros(64, int)
     counts[[10, 54, 20, 24]] = [7, 7, 10, 5]
@@ -141,8 +178,9 @@ def test_packed_documents(spark, docs):
     rows = docs([*enumerate(ODD), (3, "a")])
     pieces = queries.packed(rows).collect()
     whole(pieces, 2048)
-    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), None, None)
-    ids = {i: np.append(encode([t or ""])[0], 1).astype("<u4") for i, t in enumerate(ODD)}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(ODD)}
+    assert 50256 in ids[ODD.index("<|endoftext|>")]
     for p in pieces:
         cut = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
         assert (zlib.crc32(cut.tobytes()), len(ids[p["doc_id"]])) == (p["ids_crc32"], p["doc_tokens"])
@@ -151,8 +189,10 @@ def test_packed_documents(spark, docs):
 
 def test_same_ids_by_either_library():
     path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    slow, fast = packing._encoder(path, None, None), packing._encoder(path, ranks, PATTERN)
-    texts = [t or "" for t in ODD] + [f"a{chr(c)}b 1{chr(c)} {chr(c)}'s  {chr(c)}" for c in range(0x3000) if not 0xD800 <= c <= 0xDFFF]
+    library, fast = Tokenizer.from_file(path), packing._encoder(path, ranks, PATTERN)
+    slow = lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    texts = [t or "" for t in ODD] + ["a<|endoftext|>b", "  <|endoftext|> \n<|endoftext|><|endoftext", "it<|endoftext|>'s"]
+    texts += [f"a{chr(c)}b 1{chr(c)} {chr(c)}'s  {chr(c)}" for c in range(0x3000) if not 0xD800 <= c <= 0xDFFF]
     assert all(np.array_equal(a, b) for a, b in zip(slow(texts), fast(texts), strict=True))
     with pytest.raises(ValueError, match="not the vocabulary"):
         packing.check_ranks(path, PATH)
