@@ -112,6 +112,47 @@ def test_ring_is_a_loop():
     assert line[0] == line[-1] and len(line) == 13
 
 
+def test_lines_hold_each_step_once():
+    rng = np.random.default_rng(0)
+    for k in range(200):
+        on = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < rng.random()
+        on = rasters.thin(on) if k % 2 and on.any() else on
+        cells = {(int(r), int(c)) for r, c in zip(*np.nonzero(on), strict=True)}
+        near = {p: [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (p[0] + a, p[1] + b) in cells] for p in cells}
+        lines = tracing.trace(on)
+        steps = [frozenset(x) for line in lines for x in zip(line, line[1:], strict=False)]
+        assert len(steps) == len(set(steps)) and set(steps) == {frozenset((p, q)) for p in cells for q in near[p]}
+        inner = [p for line in lines for p in line[1:-1]]
+        assert len(inner) == len(set(inner)) and all(len(near[p]) == 2 for p in inner)
+        for line in lines:
+            ring = line[0] == line[-1] and len(near[line[0]]) == 2
+            assert line[0] == min(line) if ring else all(len(near[p]) != 2 for p in (line[0], line[-1]))
+
+
+def test_tidy_of_any_graph():
+    rng = np.random.default_rng(1)
+    for k in range(120):
+        n, least = int(rng.integers(3, 14)), [0.0, 3.0][k % 2]
+        g = tracing.RoadGraph({i: (float(rng.integers(0, 9)), float(i)) for i in range(n)})
+        for a, b in rng.integers(0, n, (int(rng.integers(2, 18)), 2)).tolist():
+            if a != b:
+                g.add(a, b, tracing.Road(float(np.hypot(*np.subtract(g.place[a], g.place[b]))), [g.place[b], g.place[a]], 2))
+        junctions = {a for a in g.near if g.degree(a) not in (0, 2)}
+        length = sum(r.length for r in g.roads.values())
+        tracing.tidy(g, least)
+        again = {key: r.length for key, r in g.roads.items()}
+        for a, ends in g.near.items():
+            assert ends and (len(ends) != 2 or a in ends or max(ends) in g.near[min(ends)])
+            assert len(ends) != 1 or g.roads[min(a, *ends), max(a, *ends)].length >= least
+        for (a, b), r in g.roads.items():
+            assert {r.line[0], r.line[-1]} == {g.place[a], g.place[b]}
+            assert abs(sum(float(np.hypot(*np.subtract(p, q))) for p, q in zip(r.line, r.line[1:], strict=False)) - r.length) < 1e-9
+        if not least:
+            assert abs(sum(again.values()) - length) < 1e-9 and junctions <= set(g.near)
+        tracing.tidy(g, least)
+        assert {key: r.length for key, r in g.roads.items()} == again
+
+
 def pixels(spark, array, tile=0):
     r, c = np.indices(array.shape)
     return spark.createDataFrame(pd.DataFrame({"tile_id": tile, "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "prob": array.ravel()}))
