@@ -32,15 +32,17 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.trim(F.col("t"), F.lit(BLANK))
     read = docs.select("doc_id", text.alias("t")).select("doc_id", "t", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{_regex(BLANK)}]+", -1)).alias("words"))
-    hashed = read.select("doc_id", "t", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    # What is left of a text without all but some characters; a search in whole texts for each of them costs more.
+    only = lambda chars: F.regexp_replace("t", f"[^{_regex(chars)}]+", "")
+    hashed = read.select("doc_id", "t", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), only(SYMBOLS + "!").alias("marks"))
     n = F.size("h")
     window = lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(RUN)))
     windows = F.when(n >= RUN, F.transform(F.sequence(F.lit(0), n - RUN), window)).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("t", "\n", -1), lambda line: F.trim(line, F.lit(BLANK)) != "")
     counted = hashed.select(
         "doc_id", "h", windows.alias("runs"), F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"),
-        F.length(F.translate("t", BLANK, "")).alias("word_chars"),
-        *((F.length("t") - F.length(F.translate("t", chars, ""))).alias(name) for name, chars in (("n_symbols", SYMBOLS), ("bangs", "!"), ("bars", "|"))),
+        (F.length("t") - F.length(only(BLANK))).alias("word_chars"),
+        *((F.length("marks") - F.length(F.translate("marks", chars, ""))).alias(name) for name, chars in (("n_symbols", SYMBOLS), ("bangs", "!"), ("bars", "|"))),
         F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).alias("uppers"),
     )
     placed = F.array_sort(F.transform("runs", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
