@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _shared(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="viastrata-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder that spark.checkpoint.dir names, so that lost executors cost no more than a read.
-    Only a local session may go without that setting."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    Only a local session may go without that setting; its folder goes when Python ends."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="viastrata-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path, in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(_shared(spark))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, raster_queries, scalar_queries, stream_queries
+from . import file_queries, graph_queries, raster_queries, scalar_queries, stream_queries
 from .registry import ORACLES, QUERIES, Query
 
-__all__ = ["flagship", "graph_queries", "oracle_sql", "queries", "raster_queries", "scalar_queries", "stream_queries"]
+__all__ = ["file_queries", "flagship", "graph_queries", "oracle_sql", "queries", "raster_queries", "scalar_queries", "stream_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

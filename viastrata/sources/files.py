@@ -1,4 +1,6 @@
-"""Files of rasters, vectors, graphs and reports, read by Spark's own readers from wherever these reach."""
+"""Files of rasters, vectors, graphs and reports, read by Spark's own readers from wherever these reach.
+
+Rasters are PNG, TIFF (tiff.py), NumPy's .npy, PGM and PPM; JPEG and what else the JVM knows comes through Spark's image source."""
 
 from __future__ import annotations
 
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tiff
+
 
 def _png(data: bytes) -> np.ndarray:
     """(h, w, channels) of an 8-bit PNG of gray, colours or either with alpha, not interlaced."""
@@ -65,8 +69,15 @@ def encode_png(array: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(h, w, channels) of a PNG, of NumPy's .npy, or of binary PGM or PPM."""
+def decode(data: bytes, row: int = 0, col: int = 0, height: int | None = None, width: int | None = None) -> np.ndarray:
+    """(h, w, channels) of a window of a PNG, a TIFF, NumPy's .npy, or of binary PGM or PPM; of a TIFF no more is unpacked."""
+    if tiff.is_tiff(data):
+        return tiff.read_window(data, row, col, height, width)
+    whole = _decode(data)
+    return whole[max(row, 0) : whole.shape[0] if height is None else max(row + height, 0), max(col, 0) : whole.shape[1] if width is None else max(col + width, 0)]
+
+
+def _decode(data: bytes) -> np.ndarray:
     if data[:4] == b"\x89PNG":
         return _png(data)
     if data[:6] == b"\x93NUMPY":
@@ -78,36 +89,75 @@ def decode(data: bytes) -> np.ndarray:
         start = data.index(fields[3], 2 + len(fields[1]) + len(fields[2])) + len(fields[3]) + 1
         channels = 3 if data[:2] == b"P6" else 1
         return np.frombuffer(data, np.uint8, h * w * channels, start).reshape(h, w, channels)
-    raise ValueError("not a PNG, .npy, PGM or PPM file")
+    raise ValueError("not a PNG, TIFF, .npy, PGM or PPM file")
+
 
+RASTERS = "*.{png,tif,tiff,npy,pgm,ppm}"
+_CELLS = "path string, row int, col int, v0 double, v1 double, v2 double, v3 double"
 
-def read_rasters(spark: SparkSession, path: str, pattern: str = "*.{png,npy,pgm,ppm}") -> DataFrame:
-    """(path, row, col, v0, v1, v2, v3) of image files; channels that a file lacks are null. A file is a row of one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+
+def _cells(name: str, array: np.ndarray, row: int = 0, col: int = 0) -> pd.DataFrame:
+    h, w, channels = array.shape
+    r, c = np.divmod(np.arange(h * w), max(w, 1))
+    flat = array.reshape(h * w, channels).astype(float)
+    values = {f"v{k}": flat[:, k] if k < channels else np.full(h * w, np.nan) for k in range(4)}
+    return pd.DataFrame({"path": name, "row": (r + row).astype(np.int32), "col": (c + col).astype(np.int32), **values})
+
+
+def decoded(files: DataFrame, row: int = 0, col: int = 0, height: int | None = None, width: int | None = None) -> DataFrame:
+    """(path, row, col, v0, v1, v2, v3) of a window of each of the files (path, content); channels that a file lacks are null."""
 
     def cells(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                array = decode(bytes(data))
-                h, w, channels = array.shape
-                r, c = np.divmod(np.arange(h * w), w)
-                flat = array.reshape(h * w, channels).astype(float)
-                rows = {f"v{k}": flat[:, k] if k < channels else np.full(h * w, np.nan) for k in range(4)}
-                yield pd.DataFrame({"path": name, "row": r.astype(np.int32), "col": c.astype(np.int32), **rows})
-
-    found = files.mapInPandas(cells, "path string, row int, col int, v0 double, v1 double, v2 double, v3 double")
+                yield _cells(name, decode(bytes(data), row, col, height, width), max(row, 0), max(col, 0))
+
+    found = files.select("path", "content").mapInPandas(cells, _CELLS)
     return found.withColumns({f"v{k}": F.nullif(f"v{k}", F.lit(float("nan"))) for k in range(4)})
 
 
+def read_rasters(spark: SparkSession, path: str, pattern: str = RASTERS, **window: int) -> DataFrame:
+    """decoded(), of the image files below a folder. A file is a row of one task."""
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path), **window)
+
+
+def read_images(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg}") -> DataFrame:
+    """The same of files that Spark's image source decodes: JPEG, GIF, BMP, PNG; v0 to v2 are red, green, blue, or v0 gray."""
+    images = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("dropInvalid", True).load(path).select("image.*")
+
+    def cells(batches):
+        for batch in batches:
+            for name, h, w, n, data in zip(batch["origin"], batch["height"], batch["width"], batch["nChannels"], batch["data"], strict=True):
+                array = np.frombuffer(bytes(data), np.uint8).reshape(h, w, n)
+                # Blue comes first there.
+                yield _cells(name, array[:, :, [2, 1, 0, *range(3, n)]] if n >= 3 else array)
+
+    found = images.select("origin", "height", "width", "nChannels", "data").mapInPandas(cells, _CELLS)
+    return found.withColumns({f"v{k}": F.nullif(f"v{k}", F.lit(float("nan"))) for k in range(4)})
+
+
+def read_heads(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff}") -> DataFrame:
+    """(path, height, width, bands, x, y, cell_x, cell_y, epsg, no_data) of TIFF files; null where a file does not say."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+    def heads(batches):
+        for batch in batches:
+            found = [tiff.read_head(bytes(x)) for x in batch["content"]]
+            rows = [(name, h.height, h.width, h.samples, *(h.origin or (None, None)), *(h.cell or (None, None)), h.epsg, h.no_data) for name, h in zip(batch["path"], found, strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "bands", "x", "y", "cell_x", "cell_y", "epsg", "no_data"]).astype({"epsg": "Int32"})
+
+    return files.select("path", "content").mapInPandas(heads, "path string, height int, width int, bands int, x double, y double, cell_x double, cell_y double, epsg int, no_data double")
+
+
 def as_prob(pixels: DataFrame) -> DataFrame:
     """Gray masks as probabilities."""
     return pixels.select("path", "row", "col", (F.col("v0") / 255).alias("prob"))
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """(properties, kind, lines array<array<struct<x,y>>>) of each feature: a line is one of one, an area its rings, and several
-    are put one after the other."""
-    features = spark.read.option("multiLine", True).schema("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>").json(path)
+    are put one after the other. A file is one collection, or, not whole, holds one on each line, and may then be split."""
+    features = spark.read.option("multiLine", whole).schema("features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>").json(path)
     one = features.select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
     point = lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y"))
     line = F.array(F.transform(F.from_json("c", "array<array<double>>"), point))
@@ -137,16 +187,40 @@ def write_pixels(pixels: DataFrame, path: str, by: str = "tile_id") -> None:
     pixels.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def write_png(pixels: DataFrame, path: str, bands: list[str]) -> None:
-    """(tile_id, data): a PNG of each tile as a row of a Parquet table."""
+def encoded(pixels: DataFrame, bands: list[str], kind: str = "png", dtype: str = "uint8", by: str = "tile_id", **options) -> DataFrame:
+    """(by, data): each tile as a PNG (8 bits, gray or three colours), a TIFF or an .npy file of the bands."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        array = np.zeros((r.max() + 1, c.max() + 1, len(bands)), np.uint8)
+        array = np.zeros((r.max() + 1, c.max() + 1, len(bands)), dtype)
         array[r, c] = pdf[bands].to_numpy()
-        return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "data": [encode_png(array if len(bands) == 3 else array[:, :, 0])]})
+        array = array[:, :, 0] if len(bands) == 1 else array
+        if kind == "npy":
+            held = io.BytesIO()
+            np.save(held, array)
+            data = held.getvalue()
+        else:
+            data = encode_png(array) if kind == "png" else tiff.encode(array, **options)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "data": [data]})
+
+    return pixels.select(by, "row", "col", *bands).groupBy(by).applyInPandas(pack, f"{by} long, data binary")
+
+
+def write_png(pixels: DataFrame, path: str, bands: list[str]) -> None:
+    """(tile_id, data): a PNG of each tile as a row of a Parquet table."""
+    encoded(pixels, bands).write.mode("overwrite").parquet(path)
+
+
+def write_tiff(pixels: DataFrame, path: str, bands: list[str], **options) -> None:
+    """(tile_id, data): a TIFF of each tile, with the options of tiff.encode, as a row of a Parquet table."""
+    encoded(pixels, bands, "tiff", **options).write.mode("overwrite").parquet(path)
 
-    pixels.groupBy("tile_id").applyInPandas(pack, "tile_id long, data binary").write.mode("overwrite").parquet(path)
+
+def write_geojson(lines: DataFrame, path: str, properties: list[str]) -> None:
+    """Features of lines (points array<struct<x,y>>), one a line of text, each a collection of its own."""
+    shape = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda p: F.array(p["x"], p["y"])).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*(F.col(c).cast("string").alias(c) for c in properties)).alias("properties"), shape.alias("geometry"))
+    lines.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("value")).write.mode("overwrite").text(path)
 
 
 def report(graph: DataFrame, reasons: DataFrame, top: DataFrame, scenarios: DataFrame, evaluation: DataFrame | None = None) -> DataFrame:
@@ -182,6 +256,17 @@ def find_reports(spark: SparkSession, path: str) -> DataFrame:
     return at.orderBy(F.length(F.regexp_replace("folder", "[^/]", "")), "folder")
 
 
+def load_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(nodes, edges, report) of a cached run: its graph as write_graph wrote it, beside the report nearest the folder's top. None
+    if there is no report."""
+    found = find_reports(spark, path).limit(1)
+    top = found.first()
+    if top is None:
+        return None
+    nodes, edges = read_graph(spark, f"{top['folder']}/graph")
+    return nodes, edges, found
+
+
 def population_if_there(spark: SparkSession, path: str | None) -> DataFrame | None:
     """A population raster, None where no path is given or nothing is there."""
     if not path:
