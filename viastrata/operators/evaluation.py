@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,8 @@ def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, mat
     """(score, n): 1 less the mean difference of shortest ways, as a share of the way here, at most 1; 1 where the other graph
     lacks an end or a way. Pairs without a way here are not counted; without any the score is 1 and n 0. ways, other_ways: all_ways of the graphs,
     if known."""
+    if most is None and ways is None and other_ways is None and edges.count() <= graph.TASK_EDGES and other_edges.count() <= graph.TASK_EDGES:
+        return _one_way_in_tasks(nodes, edges, other_edges, match)
     if most is None:
         # All pairs: what the distances of all nodes give already.
         ways = all_ways(nodes, edges) if ways is None else ways
@@ -104,11 +107,41 @@ def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, mat
     return told.agg(F.coalesce(1 - F.avg(penalty), F.lit(1.0)).alias("score"), F.count("*").alias("n"))
 
 
+def _one_way_in_tasks(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, match: DataFrame) -> DataFrame:
+    """Over all pairs of two graphs that fit a task: each task has both and the matches, and sums over the sources dealt to it, so
+    that no pair is ever a row."""
+    sources = checkpoint(graph.degrees(nodes, edges).where("degree > 0").select("node_id"))
+    spread = graph.spread_of(sources)
+    part = F.pmod(F.xxhash64("node_id"), F.lit(spread))
+    one = lambda frame, kind, a, b, w: frame.select(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), w.cast("double").alias("length"))
+    every = one(edges, 0, "src", "dst", F.col("length")).unionByName(one(other_edges, 1, "src", "dst", F.col("length"))).unionByName(one(match, 2, "node_id", "match", F.lit(0)))
+    held = every.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+
+    def kernel(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        here, there, known = (rows[rows["kind"] == k] for k in (0, 1, 2))
+        near, far = graph._adjacency(here), graph._adjacency(there)
+        twin = dict(zip(known["src"].tolist(), known["dst"].tolist(), strict=True))
+        total, n = 0.0, 0
+        for s in asked["node_id"].tolist():
+            other = graph._reach(far, twin[s]) if s in twin else {}
+            for t, (d, _) in graph._reach(near, s).items():
+                if s < t and d > 0:
+                    at = other.get(twin.get(t))
+                    total += 1.0 if at is None else min(1.0, abs(d - at[0]) / d)
+                    n += 1
+        return pd.DataFrame({"total": [total], "n": [n]})
+
+    sums = sources.withColumn("_part", part).groupBy("_part").cogroup(held.groupBy("_deal")).applyInPandas(kernel, "total double, n long")
+    whole = sums.agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return whole.select(F.when(F.col("n") > 0, 1 - F.col("total") / F.col("n")).otherwise(F.lit(1.0)).alias("score"), "n")
+
+
 def apls(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges: DataFrame, tolerance: float = SNAP, most: int | None = 500, seed: str = "0", known: Pairing | None = None) -> DataFrame:
     """One row: apls (the two ways' mean by their pairs), apls_there, apls_back, n_there, n_back, matched nodes."""
     known = known or Pairing(nodes, edges, found_nodes, found_edges, tolerance)
     there, back = known.there, known.back
-    ways, found_ways = (known.ways, known.found_ways) if most is None else (None, None)
+    small = edges.count() <= graph.TASK_EDGES and found_edges.count() <= graph.TASK_EDGES
+    ways, found_ways = (known.ways, known.found_ways) if most is None and not small else (None, None)
     a = apls_one_way(nodes, edges, found_edges, there, most, seed, ways, found_ways).select(F.col("score").alias("apls_there"), F.col("n").alias("n_there"))
     b = apls_one_way(found_nodes, found_edges, edges, back, most, seed, found_ways, ways).select(F.col("score").alias("apls_back"), F.col("n").alias("n_back"))
     total = F.col("n_there") + F.col("n_back")

@@ -186,7 +186,12 @@ def _reach(near: dict[int, list[tuple[int, float]]], source: int) -> dict[int, t
     return best
 
 
-def distances(edges: DataFrame, sources: DataFrame, keys: list[str] | None = None, task_edges: int = TASK_EDGES, spread: int = 8) -> DataFrame:
+def spread_of(asked: DataFrame, least: int = 8) -> int:
+    """Tasks that sources are dealt to, each with a copy of the graph: as many as the cluster works on at a time, for some sources each."""
+    return max(least, min(2 * asked.sparkSession.sparkContext.defaultParallelism, asked.count() // 16))
+
+
+def distances(edges: DataFrame, sources: DataFrame, keys: list[str] | None = None, task_edges: int = TASK_EDGES, spread: int | None = None) -> DataFrame:
     """(keys, source, node_id, dist, before) of all nodes that each source reaches. Sources of a graph are dealt to `spread`
     tasks, each with the graph. Sources that are no node of an edge reach themselves."""
     keys = keys or []
@@ -194,17 +199,26 @@ def distances(edges: DataFrame, sources: DataFrame, keys: list[str] | None = Non
     roads = checkpoint(edges.select(*keys, "src", "dst", "length"))
     if largest_group(roads, keys) > task_edges:
         return _distances_by_rounds(roads, asked, keys)
+
+    def rows(near: dict[int, list[tuple[int, float]]], pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [(s, n, d, b) for s in pdf["source"].tolist() for n, (d, b) in _reach(near, s).items()]
+        return pd.DataFrame(found, columns=["source", "node_id", "dist", "before"])
+
+    return _dealt_sources(roads, asked, keys, rows, "source long, node_id long, dist double, before long", spread)
+
+
+def _dealt_sources(roads: DataFrame, asked: DataFrame, keys: list[str], rows: Callable[[dict, pd.DataFrame], pd.DataFrame], columns: str, spread: int | None) -> DataFrame:
+    """What rows(adjacency, asked rows) gives for the rows (keys, source, …) that are dealt to each task."""
+    spread = spread or spread_of(asked)
     dealt = asked.withColumn("_part", F.pmod(F.xxhash64("source"), F.lit(spread)))
     parts = dealt.select(*keys, F.col("_part").alias("_deal")).distinct()
     held = roads.join(parts, keys) if keys else roads.join(F.broadcast(parts), how="cross")
     # Other names, as both sides may come from one frame.
     held = held.select(*(F.col(k).alias(f"_{k}") for k in keys), "src", "dst", "length", "_deal")
-    schema = ", ".join([*(f"{k} {t}" for k, t in roads.dtypes if k in keys), "source long, node_id long, dist double, before long"])
+    schema = ", ".join([*(f"{k} {t}" for k, t in roads.dtypes if k in keys), columns])
 
     def kernel(sources_: pd.DataFrame, roads_: pd.DataFrame) -> pd.DataFrame:
-        near = _adjacency(roads_)
-        rows = [(s, n, d, b) for s in sources_["source"].tolist() for n, (d, b) in _reach(near, s).items()]
-        out = pd.DataFrame(rows, columns=["source", "node_id", "dist", "before"])
+        out = rows(_adjacency(roads_), sources_)
         for k in keys:
             out[k] = sources_[k].iloc[0] if len(sources_) else None
         return out
@@ -228,9 +242,23 @@ def _distances_by_rounds(roads: DataFrame, asked: DataFrame, keys: list[str]) ->
 
 
 def pair_distances(edges: DataFrame, pairs: DataFrame, keys: list[str] | None = None, **options) -> DataFrame:
-    """pairs (keys, origin, dest) with dist, null where there is no way."""
+    """pairs (keys, origin, dest) with dist, null where there is no way. Of what an origin reaches no more than the asked is kept."""
     keys = keys or []
-    found = distances(edges, pairs.select(*keys, F.col("origin").alias("source")), keys, **options)
+    task_edges, spread = options.get("task_edges", TASK_EDGES), options.get("spread")
+    roads = checkpoint(edges.select(*keys, "src", "dst", "length"))
+    if largest_group(roads, keys) <= task_edges:
+        asked = pairs.where("origin is not null and dest is not null").select(*keys, F.col("origin").alias("source"), "dest").distinct()
+
+        def rows(near: dict[int, list[tuple[int, float]]], pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for s, part in pdf.groupby("source"):
+                reach = _reach(near, s)
+                out += [(s, n, reach[n][0]) for n in part["dest"].tolist() if n in reach]
+            return pd.DataFrame(out, columns=["origin", "dest", "dist"])
+
+        found = _dealt_sources(roads, checkpoint(asked), keys, rows, "origin long, dest long, dist double", spread)
+        return pairs.join(found, [*keys, "origin", "dest"], "left")
+    found = distances(roads, pairs.select(*keys, F.col("origin").alias("source")), keys, task_edges, spread)
     return pairs.join(found.select(*keys, F.col("source").alias("origin"), F.col("node_id").alias("dest"), "dist"), [*keys, "origin", "dest"], "left")
 
 
@@ -313,8 +341,22 @@ def k_core(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) ->
     return out
 
 
-def alpha_centrality(nodes: DataFrame, edges: DataFrame, alpha: float = 0.1, rounds: int = 30) -> DataFrame:
-    """(node_id, alpha): x = alpha A x + 1 after fixed rounds from x = 1. Plans are cut every few rounds."""
+def alpha_centrality(nodes: DataFrame, edges: DataFrame, alpha: float = 0.1, rounds: int = 30, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node_id, alpha): x = alpha A x + 1 after fixed rounds from x = 1. A graph that fits a task is gone through there; of larger
+    ones, plans are cut every few rounds."""
+    if edges.count() <= task_edges:
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = np.unique(pdf.loc[pdf["v"].isna(), "u"].to_numpy(np.int64))
+            roads = pdf[pdf["v"].notna() & pdf["u"].isin(ids) & pdf["v"].isin(ids)]
+            u, v = np.searchsorted(ids, roads["u"].to_numpy(np.int64)), np.searchsorted(ids, roads["v"].to_numpy(np.int64))
+            x = np.ones(len(ids))
+            for _ in range(rounds):
+                x = 1 + alpha * (np.bincount(u, x[v], len(ids)) + np.bincount(v, x[u], len(ids)))
+            return pd.DataFrame({"node_id": ids, "alpha": x})
+
+        rows = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(nodes.select(F.col("node_id").alias("u"), F.lit(None).cast("long").alias("v")))
+        return nodes.select("node_id").join(grouped(rows, []).applyInPandas(kernel, "node_id long, alpha double"), "node_id")
     both = checkpoint(symmetric(edges))
     x = nodes.select("node_id", F.lit(1.0).alias("x"))
     for k in range(rounds):
@@ -333,7 +375,7 @@ def _per_source(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFra
     return asked.groupBy("_part").cogroup(held.groupBy("_deal")).applyInPandas(run, schema)
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, spread: int = 8, task_edges: int = TASK_EDGES) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, betweenness): share of the shortest ways between other nodes that lead over each, by length (Brandes 2001).
     Sources are dealt to tasks, each with the graph; of a larger graph, batches of sources go through rounds."""
     n = nodes.count()
@@ -373,7 +415,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, spread: int = 8, task_edges:
                     total[u] += owed[u]
         return pd.DataFrame({"node_id": list(total), "b": list(total.values())})
 
-    found = _per_source(nodes, edges, kernel, "node_id long, b double", spread).groupBy("node_id").agg(F.sum("b").alias("b"))
+    found = _per_source(nodes, edges, kernel, "node_id long, b double", spread or spread_of(nodes)).groupBy("node_id").agg(F.sum("b").alias("b"))
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 

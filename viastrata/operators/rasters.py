@@ -270,18 +270,33 @@ OFFSETS = ((0, 1), (-1, 1), (-1, 0), (-1, -1))
 LEVELS = 32
 
 
-def cooccurrence_texture(pixels: DataFrame, band: str, radius: int, side: int) -> DataFrame:
+def cooccurrence_texture(pixels: DataFrame, band: str, radius: int, side: int | None = None) -> DataFrame:
     """`texture`: contrast times lack of homogeneity of co-occurring gray levels, as means of squared differences within a
-    square; four neighbour directions that wrap at the border; squares count the cells there are."""
-    q = pixels.select(*CELL, (F.col(band) / 256.0 * LEVELS).alias("q"))
-    shift = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(OFFSETS)))).alias("s")
-    moved = q.select("tile_id", "row", "col", "q", shift).select("tile_id", F.pmod(F.col("row") + F.col("s.dr"), F.lit(side)).alias("row"), F.pmod(F.col("col") + F.col("s.dc"), F.lit(side)).alias("col"), F.col("s.k").alias("k"), F.col("q").alias("p"))
-    squared = moved.join(q, CELL).select(*CELL, "k", ((F.col("q") - F.col("p")) * (F.col("q") - F.col("p"))).alias("d"))
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = squared.withColumn("dr", F.explode(reach)).withColumn("dc", F.explode(reach)).withColumn("row", F.col("row") + F.col("dr")).withColumn("col", F.col("col") + F.col("dc"))
-    near = spread.groupBy(*CELL, "k").agg(F.avg("d").alias("contrast"), F.avg(1 / (1 + F.col("d"))).alias("same"))
-    found = near.groupBy(*CELL).agg((F.avg("contrast") * (1 - F.avg("same"))).alias("texture"))
-    return found.join(pixels.select(*CELL), CELL, "left_semi")
+    square; four neighbour directions that wrap at the border; squares count the cells there are. A tile a group; sums over
+    squares are differences of running sums, so a radius costs nothing."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = to_array(pdf, band).astype(float) / 256 * LEVELS
+        if side is not None:
+            q = np.pad(q, ((0, side - q.shape[0]), (0, side - q.shape[1])))
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        contrast = same = 0.0
+        for dr, dc in OFFSETS:
+            d = (q - np.roll(q, (dr, dc), (0, 1))) ** 2
+            contrast, same = contrast + _square_means(d, radius), same + _square_means(1 / (1 + d), radius)
+        found = contrast / len(OFFSETS) * (1 - same / len(OFFSETS))
+        return pd.DataFrame({"tile_id": pdf["tile_id"], "row": r, "col": c, "texture": found[r, c]})
+
+    return pixels.select(*CELL, band).groupBy(*TILE).applyInPandas(run, "tile_id long, row int, col int, texture double")
+
+
+def _square_means(a: np.ndarray, radius: int) -> np.ndarray:
+    """Mean of the cells within a square around each."""
+    run = np.pad(a, ((1, 0), (1, 0))).cumsum(axis=0).cumsum(axis=1)
+    low, high = ([np.clip(np.arange(n) + by, 0, n) for n in a.shape] for by in (-radius, radius + 1))
+    at = lambda r, c: run[r][:, c]
+    sums = at(high[0], high[1]) - at(low[0], high[1]) - at(high[0], low[1]) + at(low[0], low[1])
+    return sums / np.outer(high[0] - low[0], high[1] - low[1])
 
 
 def normalized(texture: DataFrame, norm: float) -> DataFrame:
@@ -388,11 +403,33 @@ def distance(mask: np.ndarray) -> np.ndarray:
     for r in range(h - 2, -1, -1):
         rows[r] = np.minimum(rows[r], rows[r + 1] + 1)
     squared = np.minimum(rows**2, big)
-    step = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-    best = np.stack([(squared[r][None, :] + step).min(axis=1) for r in range(h)])
+    best = np.stack([_lowest_parabolas(line) for line in squared]) if h and w else squared
     return np.where(best >= big, np.inf, np.sqrt(best))
 
 
+def _lowest_parabolas(heights: np.ndarray) -> np.ndarray:
+    """At each place x the least of heights[k] + (x - k)**2, in time that grows with the row: only parabolas that are lowest
+    somewhere are kept, with the place from which each is."""
+    kept, start = [0], [-np.inf]
+    f = heights.tolist()
+    for k in range(1, len(f)):
+        while True:
+            j = kept[-1]
+            meet = (f[k] - f[j] + k * k - j * j) / (2 * (k - j))
+            if meet > start[-1] or len(kept) == 1:
+                break
+            kept.pop()
+            start.pop()
+        if meet <= start[-1]:
+            kept[-1], start[-1] = k, -np.inf
+        else:
+            kept.append(k)
+            start.append(meet)
+    x = np.arange(len(f))
+    at = np.array(kept)[np.searchsorted(np.array(start[1:]), x, side="right")]
+    return heights[at] + (x - at) ** 2
+
+
 def narrow_cells(pixels: DataFrame, within: int) -> DataFrame:
     """Cells of roads (gt) at most `within` from the outside."""
     return per_tile(pixels, "gt", lambda m: (lambda d: (d > 0) & (d <= within))(distance(m.astype(bool))))

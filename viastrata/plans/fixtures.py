@@ -66,8 +66,9 @@ def node_count(spark: SparkSession, sf_dir: str) -> int:
 
 
 def od_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many pairs as a fifth of the nodes, in a small city 20."""
     n = node_count(spark, sf_dir)
-    return spark.range(min(20, n // 2)).select(F.col("id").alias("origin"), (F.lit(n - 1) - F.col("id")).alias("dest"))
+    return spark.range(max(min(20, n // 2), n // 5)).select(F.col("id").alias("origin"), (F.lit(n - 1) - F.col("id")).alias("dest"))
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +164,7 @@ SQL = {
     "broken_edges": "SELECT * FROM city_edges WHERE (src % 10 >= 7) = (dst % 10 >= 7)",
     "gaps": "SELECT * FROM city_edges WHERE (src % 10 >= 7) <> (dst % 10 >= 7)",
     "city_size": "SELECT count(*) AS n FROM city_nodes",
-    "od_pairs": "SELECT node_id AS origin, n - 1 - node_id AS dest FROM city_nodes, city_size WHERE node_id < least(20, n // 2)",
+    "od_pairs": "SELECT node_id AS origin, n - 1 - node_id AS dest FROM city_nodes, city_size WHERE node_id < greatest(least(20, n // 2), n // 5)",
     "scenarios": """
       SELECT 'single' AS scenario, node_id FROM city_nodes, city_size WHERE node_id = n // 2
       UNION ALL SELECT 'column', node_id FROM city_nodes WHERE node_id % 10 = 4

@@ -217,53 +217,7 @@ def h01_look_ahead(spark, d):
     return found.select("node_id", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
 
 
-_BILINEAR = """(SELECT sum((CASE WHEN p.row = floor(r) THEN 1 - (r - floor(r)) ELSE r - floor(r) END) * (CASE WHEN p.col = floor(c) THEN 1 - (c - floor(c)) ELSE c - floor(c) END) * p.conf)
-   FROM pixels p WHERE p.tile_id = 0 AND p.row IN (floor(r), least(floor(r) + 1, 7)) AND p.col IN (floor(c), least(floor(c) + 1, 7)))"""
-
-
-@query(f"SELECT k, round({_BILINEAR}, 5) AS conf FROM (SELECT i AS k, 0.3::DOUBLE + i * 0.9::DOUBLE AS r, 6.6::DOUBLE - i * 0.7::DOUBLE AS c FROM range(8) t(i))")
-def h04_bilinear(spark, d):
-    points = spark.range(8).select(F.col("id").alias("k"), (0.3 + F.col("id") * 0.9).alias("row"), (6.6 - F.col("id") * 0.7).alias("col"))
-    return healing.bilinear(points, X.pixels(spark, d).where("tile_id = 0"), "conf", 8, 8).select("k", F.round("conf", 5).alias("conf"))
-
-
-@query(f"SELECT k, round({_BILINEAR}, 5) AS conf FROM (SELECT i AS k, 1.2::DOUBLE + (6.1 - 1.2)::DOUBLE * i / 9 AS r, 0.6::DOUBLE + (5.9 - 0.6)::DOUBLE * i / 9 AS c FROM range(10) t(i))")
-def h05_line_samples(spark, d):
-    line = spark.createDataFrame([(0.6, 1.2, 5.9, 6.1)], "x0 double, y0 double, x1 double, y1 double")
-    at = healing.line_samples(line, 10).withColumn("row", F.col("wy")).withColumn("col", F.col("wx"))
-    return healing.bilinear(at, X.pixels(spark, d).where("tile_id = 0"), "conf", 8, 8).select(F.col("k").cast("long").alias("k"), F.round("conf", 5).alias("conf"))
-
-
-def _corridor_sql(f: str) -> str:
-    return f"""WITH l AS (SELECT i AS k, j AS m, 1.2::DOUBLE + 4.9::DOUBLE * i / 7 + (j - 1) * 1.0 * 5.3::DOUBLE / sqrt(5.3::DOUBLE^2 + 4.9::DOUBLE^2) AS r,
-      0.6::DOUBLE + 5.3::DOUBLE * i / 7 - (j - 1) * 1.0 * 4.9::DOUBLE / sqrt(5.3::DOUBLE^2 + 4.9::DOUBLE^2) AS c FROM range(8) t(i), range(3) u(j)),
-      h AS (SELECT k, m, greatest(0, least(7, r)) AS r, greatest(0, least(7, c)) AS c FROM l), v AS (SELECT k, {_BILINEAR} AS conf FROM h)
-      SELECT k, round({f}(conf), 5) AS conf FROM v GROUP BY 1"""
-
-
-def _corridor(spark, d, reduce):
-    line = spark.createDataFrame([(0.6, 1.2, 5.9, 6.1)], "x0 double, y0 double, x1 double, y1 double")
-    found = healing.corridor(line, X.pixels(spark, d).where("tile_id = 0"), "conf", 8, 8, n=8, across=3, half_width=1.0, reduce=reduce)
-    return found.select(F.col("k").cast("long").alias("k"), F.round("conf", 5).alias("conf"))
-
-
-@query(_corridor_sql("max"))
-def h06_corridor_max(spark, d):
-    return _corridor(spark, d, "max")
-
-
-@query(_corridor_sql("median"))
-def h07_corridor_median(spark, d):
-    return _corridor(spark, d, "median")
-
-
-@query("SELECT round(avg((conf >= 0.3)::INTEGER), 6) AS occlusion FROM (" + _corridor_sql("median").replace("1.0 * 5.3", "2.0 * 5.3").replace("1.0 * 4.9", "2.0 * 4.9") + ")")
-def h08_evidence(spark, d):
-    line = spark.createDataFrame([(0.6, 1.2, 5.9, 6.1)], "x0 double, y0 double, x1 double, y1 double")
-    return healing.evidence(line, X.pixels(spark, d).where("tile_id = 0"), "conf", 8, 8).select(F.round("occlusion", 6).alias("occlusion"))
-
-
-# The same on every tile.
+# Samples of rasters, on every tile.
 
 
 def _tiles(spark, d):
@@ -280,7 +234,7 @@ def _tile_sql(points: str) -> str:
 
 
 @query(f"SELECT tile_id, k, round(conf, 5) AS conf FROM ({_tile_sql(f'SELECT tile_id, i AS k, 0 AS m, 0.3::DOUBLE + i * 0.9::DOUBLE AS r, 6.6::DOUBLE - i * 0.7::DOUBLE AS c FROM {_TILES}, range(8) t(i)')})")
-def h04_bilinear_tiles(spark, d):
+def h04_bilinear(spark, d):
     points = _tiles(spark, d).join(spark.range(8).select(F.col("id").alias("k"), (0.3 + F.col("id") * 0.9).alias("row"), (6.6 - F.col("id") * 0.7).alias("col")), how="cross")
     return healing.bilinear(points, X.pixels(spark, d), "conf", 8, 8, ["tile_id"]).select("tile_id", "k", F.round("conf", 5).alias("conf"))
 
@@ -302,7 +256,7 @@ def _tile_corridor_sql(n: int, across: int, half_width: float) -> str:
 
 
 @query(f"SELECT tile_id, k, round(conf, 5) AS conf FROM ({_tile_corridor_sql(10, 1, 0.0)})")
-def h05_line_samples_tiles(spark, d):
+def h05_line_samples(spark, d):
     at = healing.line_samples(_tile_lines(spark, d), 10).withColumn("row", F.col("wy")).withColumn("col", F.col("wx"))
     return healing.bilinear(at, X.pixels(spark, d), "conf", 8, 8, ["tile_id"]).select("tile_id", F.col("k").cast("long").alias("k"), F.round("conf", 5).alias("conf"))
 
@@ -313,17 +267,17 @@ def _corridor_tiles(spark, d, reduce):
 
 
 @query(f"SELECT tile_id, k, round(max(conf), 5) AS conf FROM ({_tile_corridor_sql(8, 3, 1.0)}) GROUP BY 1, 2")
-def h06_corridor_max_tiles(spark, d):
+def h06_corridor_max(spark, d):
     return _corridor_tiles(spark, d, "max")
 
 
 @query(f"SELECT tile_id, k, round(median(conf), 5) AS conf FROM ({_tile_corridor_sql(8, 3, 1.0)}) GROUP BY 1, 2")
-def h07_corridor_median_tiles(spark, d):
+def h07_corridor_median(spark, d):
     return _corridor_tiles(spark, d, "median")
 
 
 @query(f"SELECT tile_id, round(avg((conf >= 0.3)::INTEGER), 6) AS occlusion FROM (SELECT tile_id, k, median(conf) AS conf FROM ({_tile_corridor_sql(8, 3, 2.0)}) GROUP BY 1, 2) GROUP BY 1")
-def h08_evidence_tiles(spark, d):
+def h08_evidence(spark, d):
     return healing.evidence(_tile_lines(spark, d), X.pixels(spark, d), "conf", 8, 8, keys=["tile_id"]).select("tile_id", F.round("occlusion", 6).alias("occlusion"))
 
 

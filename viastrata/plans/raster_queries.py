@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import graph, rasters, spatial, synthetic, tracing
 from . import fixtures as X
 from .registry import query
+from .scalar_queries import _WIDTH_SQL as WIDTH_SQL
 
 #: Tile sizes that plans are made for.
 SIZES = [(1, 1024, 1000), (2, 512, 300), (3, 2000, 513), (4, 100, 100)]
@@ -222,7 +223,8 @@ def v06_local_tangents(spark, d):
 
 
 _BUFFER = """WITH l AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM city_edges JOIN city_nodes a ON a.node_id = src JOIN city_nodes b ON b.node_id = dst),
-  e AS (SELECT max(x) AS mx, max(y) AS my FROM city_nodes), c AS (SELECT r.r AS row, c.c AS col, (c.c + 0.5) * 5 AS px, (r.r + 0.5) * 5 AS py FROM e, range(-3, 200) r(r), range(-3, 60) c(c) WHERE r.r * 5 <= my + 15 AND c.c * 5 <= mx + 15),
+  e AS (SELECT unnest(range(-3, (max(y) / 5)::BIGINT + 4)) AS row FROM city_nodes), f AS (SELECT unnest(range(-3, (max(x) / 5)::BIGINT + 4)) AS col FROM city_nodes),
+  c AS (SELECT row, col, (col + 0.5) * 5 AS px, (row + 0.5) * 5 AS py FROM e, f),
   s AS (SELECT row, col, px, py, x0, y0, x1, y1, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0)^2 + (y1 - y0)^2) AS t FROM c, l WHERE px BETWEEN least(x0, x1) - 8 AND greatest(x0, x1) + 8 AND py BETWEEN least(y0, y1) - 8 AND greatest(y0, y1) + 8)
   SELECT DISTINCT row, col FROM s WHERE sqrt((px - x0 - greatest(0, least(1, t)) * (x1 - x0))^2 + (py - y0 - greatest(0, least(1, t)) * (y1 - y0))^2) <= 6.1"""
 
@@ -248,7 +250,14 @@ def v07_fill_areas(spark, d):
     return spatial.filled_cells(rings, 10.0)
 
 
-@query()
+_CLASSES = ", ".join(map(repr, S.LABEL_CLASSES))
+
+
+@query(f"""WITH w AS (SELECT (lon + 180) * 50 AS x0, (lat + 90) * 50 AS y0, (CASE WHEN lanes > 0 THEN lanes * {S.LANE_WIDTH} ELSE {WIDTH_SQL} END)::DOUBLE * (CASE WHEN oneway THEN 0.5 ELSE 1 END) / 2 AS h FROM ways WHERE highway IN ({_CLASSES})),
+  r AS (SELECT x0, y0, h, unnest(range(floor((y0 - h) / 0.5)::BIGINT, ceil((y0 + 30 + h) / 0.5)::BIGINT + 1)) AS row FROM w),
+  c AS (SELECT x0, y0, h, row, unnest(range(floor((x0 - h) / 0.5)::BIGINT, ceil((x0 + 40 + h) / 0.5)::BIGINT + 1)) AS col FROM r),
+  s AS (SELECT *, (((col + 0.5) * 0.5 - x0) * 40 + ((row + 0.5) * 0.5 - y0) * 30) / 2500.0::DOUBLE AS t FROM c)
+  SELECT DISTINCT row, col FROM s WHERE t BETWEEN 0 AND 1 AND sqrt(((col + 0.5) * 0.5 - x0 - t * 40)^2 + ((row + 0.5) * 0.5 - y0 - t * 30)^2) <= h""")
 def v08_label_raster(spark, d):
     """Ways to label cells: roads of the label classes as buffers of their widths, on metres east and north."""
     w = X.ways(spark, d).where(F.col("highway").isin(*S.LABEL_CLASSES))
@@ -266,30 +275,19 @@ def v09_paint_lines(spark, d):
     return spatial.paint_lines(lines, 1)
 
 
-@query("""WITH g AS (SELECT src, dst, a.x / 30 AS c0, a.y / 30 AS r0, b.x / 30 AS c1, b.y / 30 AS r1 FROM city_edges JOIN city_nodes a ON a.node_id = src JOIN city_nodes b ON b.node_id = dst),
-  p AS (SELECT src, dst, round_even(r, 0)::INTEGER AS row, round_even(c, 0)::INTEGER AS col FROM (SELECT src, dst, unnest([r0, (r0 + r1) / 2, r1]) AS r, unnest([c0, (c0 + c1) / 2, c1]) AS c FROM g)),
-  m AS (SELECT src, dst, avg(prob) AS m FROM p JOIN pixels x ON x.tile_id = 0 AND x.row = p.row AND x.col = p.col GROUP BY 1, 2)
-  SELECT src, dst FROM city_edges WHERE (src, dst) NOT IN (SELECT src, dst FROM m WHERE m < 0.5)""")
+@query("""WITH t AS (SELECT count(DISTINCT tile_id) AS n FROM pixels), g AS (SELECT src, dst, (src * 7 + dst) % n AS tile_id, src % 10 AS c0, src // 10 % 8 AS r0, dst % 10 AS c1, src // 10 % 8 + dst // 10 - src // 10 AS r1 FROM city_edges, t),
+  p AS (SELECT tile_id, src, dst, round_even(r, 0)::INTEGER AS row, round_even(c, 0)::INTEGER AS col FROM (SELECT tile_id, src, dst, unnest([r0::DOUBLE, (r0 + r1) / 2.0, r1::DOUBLE]) AS r, unnest([c0::DOUBLE, (c0 + c1) / 2.0, c1::DOUBLE]) AS c FROM g)),
+  m AS (SELECT tile_id, src, dst, avg(prob) AS m FROM p JOIN pixels x USING (tile_id, row, col) GROUP BY 1, 2, 3)
+  SELECT tile_id, src, dst FROM g WHERE (src, dst) NOT IN (SELECT src, dst FROM m WHERE m < 0.5)""")
 def a13_edges_by_mean_prob(spark, d):
-    e = rasters.with_ends(X.city_edges(spark, d), X.city_nodes(spark, d))
-    x0, y0, x1, y1 = (F.col(c) / 30 for c in ("x0", "y0", "x1", "y1"))
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    lined = e.select("src", "dst", F.array(point(x0, y0), point((x0 + x1) / 2, (y0 + y1) / 2), point(x1, y1)).alias("geometry"))
-    return tracing.edges_by_mean_prob(lined, X.pixels(spark, d).where("tile_id = 0"), 0.5).select("src", "dst")
-
-
-@query("""WITH g AS (SELECT src, dst, a.x / 30 AS c0, a.y / 30 AS r0, b.x / 30 AS c1, b.y / 30 AS r1 FROM city_edges JOIN city_nodes a ON a.node_id = src JOIN city_nodes b ON b.node_id = dst WHERE dst < 80),
-  p AS (SELECT src, dst, round_even(r, 0)::INTEGER AS row, round_even(c, 0)::INTEGER AS col FROM (SELECT src, dst, unnest([r0, (r0 + r1) / 2, r1]) AS r, unnest([c0, (c0 + c1) / 2, c1]) AS c FROM g)),
-  m AS (SELECT tile_id, src, dst, avg(prob) AS m FROM p JOIN pixels x ON x.row = p.row AND x.col = p.col GROUP BY 1, 2, 3)
-  SELECT tile_id, src, dst FROM (SELECT DISTINCT tile_id FROM pixels), g WHERE (tile_id, src, dst) NOT IN (SELECT tile_id, src, dst FROM m WHERE m < 0.5)""")
-def a13_edges_by_mean_prob_tiles(spark, d):
-    """On every tile the roads of the city's first eight rows, which are all that lie on a tile."""
-    e = rasters.with_ends(X.city_edges(spark, d).where("dst < 80"), X.city_nodes(spark, d))
-    x0, y0, x1, y1 = (F.col(c) / 30 for c in ("x0", "y0", "x1", "y1"))
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    lined = e.select("src", "dst", F.array(point(x0, y0), point((x0 + x1) / 2, (y0 + y1) / 2), point(x1, y1)).alias("geometry"))
+    """All roads of the city, dealt to the tiles, each laid onto its tile."""
     pixels = X.pixels(spark, d)
-    return tracing.edges_by_mean_prob(pixels.select("tile_id").distinct().join(lined, how="cross"), pixels, 0.5, ["tile_id"]).select("tile_id", "src", "dst")
+    n = pixels.select("tile_id").distinct().count()
+    c, r = (lambda end: (F.col(end) % 10).cast("double")), F.expr("src div 10 % 8").cast("double")
+    r1 = r + F.expr("dst div 10 - src div 10")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    lined = X.city_edges(spark, d).select(((F.col("src") * 7 + F.col("dst")) % n).alias("tile_id"), "src", "dst", F.array(point(c("src"), r), point((c("src") + c("dst")) / 2, (r + r1) / 2), point(c("dst"), r1)).alias("geometry"))
+    return tracing.edges_by_mean_prob(lined, pixels, 0.5, ["tile_id"]).select("tile_id", "src", "dst")
 
 
 # Made-up inputs.
@@ -356,7 +354,8 @@ def l05_cloud(spark, d):
     return rasters.shade(X.gray(spark, d), "red", 3.0, 4.0, 3.0, 0.7, 255).select("tile_id", "row", "col", "red")
 
 
-@query("SELECT a.tile_id, a.row, a.col, CASE WHEN a.row BETWEEN 1 AND 4 AND a.col BETWEEN 2 AND 5 THEN greatest(a.gt, b.gt) ELSE a.gt END AS gt FROM pixels a JOIN pixels b ON b.tile_id = 0 AND b.row = (a.row - 1 + 8) % 8 AND b.col = (a.col - 2 + 8) % 8")
+@query("""WITH s AS MATERIALIZED (SELECT row + 1 AS row, col + 2 AS col, gt AS pasted FROM pixels WHERE tile_id = 0 AND row < 4 AND col < 4)
+  SELECT tile_id, row, col, gt OR coalesce(pasted, false) AS gt FROM pixels LEFT JOIN s USING (row, col)""")
 def l05_thin_road_paste(spark, d):
     p = X.pixels(spark, d).select("tile_id", "row", "col", F.col("gt").alias("gt"))
     snippet = p.where("tile_id = 0 and row < 4 and col < 4").select("row", "col", "gt")
