@@ -38,6 +38,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def by_tasks(rows: DataFrame, *keys: str):
+    """Rows grouped by keys for a kernel that works on a group at a time, dealt to as many tasks as a shuffle has or the cluster
+    works on, as it is the kernel that takes the time: Spark would put little data together in one task."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys).groupBy(*keys)
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))

@@ -253,7 +253,7 @@ def v07_fill_areas(spark, d):
 _CLASSES = ", ".join(map(repr, S.LABEL_CLASSES))
 
 
-@query(f"""WITH w AS (SELECT (lon + 180) * 50 AS x0, (lat + 90) * 50 AS y0, (CASE WHEN lanes > 0 THEN lanes * {S.LANE_WIDTH} ELSE {WIDTH_SQL} END)::DOUBLE * (CASE WHEN oneway THEN 0.5 ELSE 1 END) / 2 AS h FROM ways WHERE highway IN ({_CLASSES})),
+@query(f"""WITH w AS (SELECT (lon + 180) * 50 + 0.137::DOUBLE AS x0, (lat + 90) * 50 + 0.271::DOUBLE AS y0, (CASE WHEN lanes > 0 THEN lanes * {S.LANE_WIDTH} ELSE {WIDTH_SQL} END)::DOUBLE * (CASE WHEN oneway THEN 0.5 ELSE 1 END) / 2 AS h FROM ways WHERE highway IN ({_CLASSES})),
   r AS (SELECT x0, y0, h, unnest(range(floor((y0 - h) / 0.5)::BIGINT, ceil((y0 + 30 + h) / 0.5)::BIGINT + 1)) AS row FROM w),
   c AS (SELECT x0, y0, h, row, unnest(range(floor((x0 - h) / 0.5)::BIGINT, ceil((x0 + 40 + h) / 0.5)::BIGINT + 1)) AS col FROM r),
   s AS (SELECT *, (((col + 0.5) * 0.5 - x0) * 40 + ((row + 0.5) * 0.5 - y0) * 30) / 2500.0::DOUBLE AS t FROM c)
@@ -261,7 +261,8 @@ _CLASSES = ", ".join(map(repr, S.LABEL_CLASSES))
 def v08_label_raster(spark, d):
     """Ways to label cells: roads of the label classes as buffers of their widths, on metres east and north."""
     w = X.ways(spark, d).where(F.col("highway").isin(*S.LABEL_CLASSES))
-    x, y = (F.col("lon") + 180) * 50, (F.col("lat") + 90) * 50
+    # Off the grid, so that no cell's middle lies on an edge.
+    x, y = (F.col("lon") + 180) * 50 + 0.137, (F.col("lat") + 90) * 50 + 0.271
     lines = w.select(x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 30).alias("y1"), S.half_width(F.col("highway"), F.col("oneway"), F.col("lanes")).alias("half_width"))
     return spatial.buffer_cells(lines, 0.5, flat=True)
 
