@@ -230,6 +230,26 @@ def test_streams_are_told_apart():
     assert streams[2].timestamps(8000)[-1] == 2.0
 
 
+def test_levels_are_a_stream_of_their_own():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 576, ogg.LEVEL_SAMPLES, 3 * ogg.LEVEL_SAMPLES + 5, 400_000):
+        data = rng.integers(3, 200, n, dtype=np.uint8).tobytes()
+        media = ogg.mux_samples(data, 0xFFFFFFFF)
+        streams = ogg.demultiplex(media)
+        assert list(streams) == [0xFFFFFFFF, 0] and streams[0].first and streams[0].last
+        parts = [data[k : k + ogg.LEVEL_SAMPLES] for k in range(0, n, ogg.LEVEL_SAMPLES)]
+        assert [ogg.LEVEL.unpack(x) for x in streams[0].packets[1:]] == [(min(p), max(p), sum(p)) for p in parts]
+        samples, about = ogg.read_samples(media)
+        assert samples == data and about["streams"] == 2 and (about["least"], about["most"]) == (min(data, default=None), max(data, default=None))
+        if n > ogg.LEVEL_SAMPLES:
+            # Pages of both streams take turns.
+            order = [p.serial for p in ogg.read_pages(media)]
+            assert order != sorted(order) and order != sorted(order, reverse=True)
+    wrong = ogg.write_pages([(ogg.HEAD.pack(ogg.LEVELS, 8000, 1, 8, ogg.LEVEL.size), 0), (ogg.LEVEL.pack(1, 2, 3), 5)], 9)
+    with pytest.raises(ogg.OggError, match="levels"):
+        ogg.read_samples(b"".join(ogg.write_pages([(ogg.HEAD.pack(ogg.NAME, 8000, 1, 8, 576), 0), (b"abcde", 5)], 1) + wrong))
+
+
 def test_damage_is_found():
     media = ogg.mux_samples(bytes(range(256)) * 300, 3)
     samples, about = ogg.read_samples(media)

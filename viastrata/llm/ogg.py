@@ -153,22 +153,34 @@ def write_pages(packets: list[tuple[bytes, int]], serial: int) -> list[bytes]:
     return pages
 
 
-#: Fixed first bytes of our sample stream's head packet: name, then rate, channels, bits, samples of a packet.
+#: Fixed first bytes of our two streams' head packets: name, then rate, channels, bits, samples of a packet. The sample stream
+#: has packets of samples; the level stream, for each LEVEL_SAMPLES of these, one of the least, greatest and summed sample.
 HEAD = struct.Struct("<8sIBBH")
-NAME = b"PCM8    "
+NAME, LEVELS = b"PCM8    ", b"LEVEL8  "
+LEVEL = struct.Struct("<BBI")
+LEVEL_SAMPLES = 32 * FRAME
+
+
+def levels_of(samples: bytes) -> list[bytes]:
+    parts = (np.frombuffer(samples, np.uint8, min(LEVEL_SAMPLES, len(samples) - at), at) for at in range(0, len(samples), LEVEL_SAMPLES))
+    return [LEVEL.pack(int(p.min()), int(p.max()), int(p.sum())) for p in parts]
 
 
 def mux_samples(payload: bytes, serial: int, rate: int = RATE, frame: int = FRAME) -> bytes:
-    """One stream: a head packet, then packets of `frame` samples (the last may be shorter); a position counts samples."""
-    packets = [(HEAD.pack(NAME, rate, 1, 8, frame), 0)]
-    packets += [(payload[at : at + frame], min(at + frame, len(payload))) for at in range(0, len(payload), frame)]
-    return b"".join(write_pages(packets, serial))
+    """Two streams: one of samples, in packets of `frame` (the last may be shorter), and one of their levels, of the next serial
+    number. A position counts samples; pages lie in the order of their positions, first pages first."""
+    ends = lambda step: [min(at + step, len(payload)) for at in range(0, len(payload), step)]
+    sounds = [(HEAD.pack(NAME, rate, 1, 8, frame), 0), *((payload[end - 1 - (end - 1) % frame : end], end) for end in ends(frame))]
+    marks = [(HEAD.pack(LEVELS, rate, 1, 8, LEVEL.size), 0), *zip(levels_of(payload), ends(LEVEL_SAMPLES), strict=True)]
+    pages = [*enumerate(write_pages(sounds, serial)), *enumerate(write_pages(marks, serial + 1 & 0xFFFFFFFF))]
+    place = lambda page: (page[0] > 0, HEADER.unpack_from(page[1])[3])
+    return b"".join(page for _, page in sorted(pages, key=place))
 
 
 def read_samples(media: bytes) -> tuple[bytes, dict]:
-    """The samples of the one sample stream among the file's streams, and what the pages tell of it."""
+    """The samples of the one sample stream among the file's streams, and what its pages tell. A level stream must agree."""
     streams = demultiplex(media)
-    found = [s for s in streams.values() if s.packets and s.packets[0].startswith(NAME)]
+    found, told = ([s for s in streams.values() if s.packets and s.packets[0].startswith(name)] for name in (NAME, LEVELS))
     if len(found) != 1:
         raise OggError(f"{len(found)} sample streams")
     stream = found[0]
@@ -177,9 +189,12 @@ def read_samples(media: bytes) -> tuple[bytes, dict]:
     seconds = stream.timestamps(rate)
     if stream.marks[-1][0] != len(samples):
         raise OggError("the last position is not the number of samples")
+    if any(s.packets[1:] != levels_of(samples) or s.marks[-1][0] != len(samples) for s in told):
+        raise OggError("the levels are not those of the samples")
+    levels = [LEVEL.unpack(x) for s in told for x in s.packets[1:]]
     return samples, {
-        "streams": len(streams), "pages": stream.n_pages, "packets": len(stream.packets) - 1, "rate": rate, "channels": channels,
-        "bits": bits, "frame": frame, "seconds": seconds[-1], "closed": stream.last,
+        "streams": len(streams), "pages": sum(s.n_pages for s in streams.values()), "packets": len(stream.packets) - 1, "rate": rate, "channels": channels, "bits": bits, "frame": frame,
+        "seconds": seconds[-1], "closed": all(s.last for s in streams.values()), "least": min((a for a, _, _ in levels), default=None), "most": max((b for _, b, _ in levels), default=None),
     }
 
 
@@ -234,7 +249,7 @@ def stored(text: Column) -> Column:
         file = mux_samples(payload, zlib.crc32(payload))
         back, about = read_samples(file)
         mean = float(np.frombuffer(back, np.uint8).mean())
-        feature = f"streams={about['streams']};pages={about['pages']};packets={about['packets']};rate={about['rate']};seconds={about['seconds']:.6f};mean={mean:.6f}"
+        feature = ";".join(f"{k}={about[k]}" for k in ("streams", "pages", "packets", "rate", "least", "most")) + f";seconds={about['seconds']:.6f};mean={mean:.6f}"
         return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature
 
     return told(text)
