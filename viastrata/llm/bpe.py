@@ -1,6 +1,6 @@
 """Byte-level BPE: the tokenizers library over Arrow batches, with spans. Each byte has a character that stands for it; the
-tokens' strings are such characters. Decoding joins the ids' strings and reverses the table, character by character; bytes of
-a character that is split between ids meet again there."""
+tokens' strings are such characters. Decoding reverses the table, for each token once, character by character, and joins the ids'
+bytes; those of a character that is split between ids meet again there."""
 
 from __future__ import annotations
 
@@ -69,10 +69,10 @@ class ByteBPE:
     def __init__(self, path: str, pattern: str, memo_pieces: int = MEMO_PIECES, memo_bytes: int = MEMO_BYTES):
         ranks = read_ranks(path)
         self.tokenizer = build_tokenizer(ranks, pattern)
-        self.token_chars = [""] * (max(ranks.values(), default=-1) + 1)
+        self.token_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in self.tokenizer.get_vocab().items():
-            self.token_chars[rank] = token
-        self.token_sizes = np.array([len(t) for t in self.token_chars], np.int64)
+            self.token_bytes[rank] = BYTE_OF[[ord(c) for c in token]].tobytes()
+        self.token_sizes = np.array([len(t) for t in self.token_bytes], np.int64)
         self.memo: dict[str, bytes] = {}
         self.held = 0
         self.memo_pieces, self.memo_bytes = memo_pieces, memo_bytes
@@ -107,10 +107,13 @@ class ByteBPE:
 
     def offsets(self, data: bytes, ids: np.ndarray) -> np.ndarray:
         """(start, end) of each token of a text's UTF-8, as characters of the text; tokens that share a character share its place."""
-        ends = np.cumsum(self.token_sizes[ids])
+        sizes = self.token_sizes[ids]
+        ends = np.cumsum(sizes)
+        if data.isascii():
+            return np.stack([ends - sizes, ends], axis=1)
         # How many characters have begun by each byte; all bytes but the 10xxxxxx ones begin one.
-        begun = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-        return np.stack([begun[ends - self.token_sizes[ids]] - 1, begun[ends - 1]], axis=1) if len(ids) else np.zeros((0, 2), np.int64)
+        begun = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, dtype=np.int32)
+        return np.stack([begun[ends - sizes] - 1, begun[ends - 1]], axis=1)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token."""
@@ -118,8 +121,7 @@ class ByteBPE:
         return [(i, a, b) for i, (a, b) in zip(ids.tolist(), self.offsets(text.encode(), ids).tolist(), strict=True)]
 
     def decode_bytes(self, ids: np.ndarray | list[int]) -> bytes:
-        chars = "".join(map(self.token_chars.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
-        return BYTE_OF[np.frombuffer(chars.encode("utf-16-le"), "<u2")].tobytes()
+        return b"".join(map(self.token_bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """A character cut at either end of the ids becomes U+FFFD."""
