@@ -186,6 +186,48 @@ def test_criticality_is_scaled(spark):
     nodes, edges = synthetic.city(spark, 4, 4, 30.0)
     found = graph.criticality(nodes, edges).collect()
     assert len(found) == 16 and all(0 <= r[m] <= 1 for r in found for m in (*graph.MEASURES, "composite"))
+    # Against each measure by itself, scaled here.
+    scaled = {}
+    for name, df in zip(graph.MEASURES, (graph.betweenness(nodes, edges), graph.k_core(nodes, edges), graph.current_flow(nodes, edges), graph.alpha_centrality(nodes, edges)), strict=True):
+        got = dict(rows(df, "node_id", name))
+        low, high = min(got.values()), max(got.values())
+        scaled[name] = {n: (x - low) / (high - low) if high > low else 0.0 for n, x in got.items()}
+    for r in found:
+        want = [scaled[m][r["node_id"]] for m in graph.MEASURES]
+        assert np.allclose([r[m] for m in graph.MEASURES], want) and abs(r["composite"] - sum(want) / 4) < 1e-9
+
+
+def test_alpha_in_a_task_and_by_rounds(spark, some):
+    nodes, edges = nodes_of(spark, 40), frame(spark, [*some, (3, 3, 1), (2, 77, 1)])
+    x = np.ones(40)
+    a = np.zeros((40, 40))
+    for u, v, _ in [*some, (3, 3, 1)]:
+        a[u, v] += 1
+        a[v, u] += 1
+    for _ in range(6):
+        x = 1 + 0.1 * a @ x
+    for task_edges in (graph.TASK_EDGES, 0):
+        got = rows(graph.alpha_centrality(nodes, edges, rounds=6, task_edges=task_edges), "node_id", "alpha")
+        assert np.allclose(got, list(enumerate(x)))
+
+
+def test_pairs_in_tasks_and_by_rounds(spark, some):
+    edges = frame(spark, some)
+    pairs = spark.createDataFrame([(a, b) for a in range(0, 40, 3) for b in range(40, 0, -4)] + [(1, None), (0, 1), (0, 1)], "origin long, dest long")
+    key = lambda df: sorted((tuple(r) for r in df.select("origin", "dest", "dist").collect()), key=str)
+    found = key(graph.pair_distances(edges, pairs))
+    assert len(found) == pairs.count() and found == key(graph.pair_distances(edges, pairs, task_edges=0))
+
+
+def test_agreement_in_tasks_and_from_written_ways(spark, some):
+    nodes, edges = nodes_of(spark, 40), frame(spark, some)
+    other = frame(spark, some[::2])
+    match = spark.createDataFrame([(n, n) for n in range(0, 40) if n % 7], "node_id long, match long")
+    whole = evaluation.apls_one_way(nodes, edges, other, match).first()
+    written = evaluation.apls_one_way(nodes, edges, other, match, ways=evaluation.all_ways(nodes, edges), other_ways=evaluation.all_ways(nodes, other)).first()
+    assert whole["n"] == written["n"] and abs(whole["score"] - written["score"]) < 1e-9
+    none = evaluation.apls_one_way(nodes, edges.limit(0), other, match).first()
+    assert tuple(none) == (1.0, 0)
 
 
 def test_rasters_of_several_tiles_are_told_apart(spark):

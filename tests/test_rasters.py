@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viastrata.functions import scalars as S
 from viastrata.operators import datasets, rasters, spatial, synthetic, tracing
-from viastrata.sources import files
+from viastrata.sources import files, tiff
 from viastrata.streaming import closures
 
 
@@ -206,6 +206,116 @@ def test_raster_files(spark, tmp_path, kind):
     assert files.as_prob(found).agg(F.max("prob").alias("p")).first()["p"] == a.max() / 255
 
 
+@pytest.mark.parametrize("compression", [tiff.PLAIN, tiff.LZW, tiff.DEFLATE])
+@pytest.mark.parametrize("tile", [None, 16])
+@pytest.mark.parametrize(("kind", "predictor"), [("u1", 1), ("u2", 2), ("i4", 2), ("f4", 1), ("f8", 1)])
+def test_tiff_and_its_windows(compression, tile, kind, predictor):
+    rng = np.random.default_rng(compression)
+    for channels in (1, 4):
+        a = (rng.normal(size=(75, 50, channels)) * 40).astype(kind)
+        data = tiff.encode(a, compression, tile, (500.0, 900.0), (2.0, 3.0), 32643, 255, predictor)
+        assert (files.decode(data) == a).all() and (files.decode(data, 60, 10, 40, 7) == a[60:, 10:17]).all() and files.decode(data, 80, 0, 5, 5).size == 0
+        head = tiff.read_head(data)
+        assert (head.origin, head.cell, head.epsg, head.no_data, head.samples) == ((500.0, 900.0), (2.0, 3.0), 32643, 255.0, channels)
+
+
+def test_lzw_by_hand():
+    # The example of the format's own text: 7 7 7 8 8 7 7 6 6 as codes 256 7 258 8 8 258 6 6 257.
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    packed = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.unpack_lzw(packed) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.pack_lzw(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == packed
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 500, 4000, 70_000):
+        data = rng.integers(0, 200, n, dtype=np.uint8).tobytes()
+        assert tiff.unpack_lzw(tiff.pack_lzw(data)) == data
+    assert tiff._unpack_bits(bytes([254, 170, 2, 128, 0, 42, 128, 253, 170])) == bytes([170] * 3 + [128, 0, 42] + [170] * 4)
+
+
+def test_tiff_of_either_order_and_planes(spark, tmp_path):
+    from struct import pack
+
+    a = np.arange(24, dtype=">u2").reshape(2, 4, 3)
+    planes = a.transpose(2, 0, 1).tobytes()
+    tags = [(256, 3, (4,)), (257, 3, (2,)), (258, 3, (16, 16, 16)), (259, 3, (1,)), (273, 4, (8, 24, 40)), (277, 3, (3,)), (278, 3, (2,)), (279, 4, (16, 16, 16)), (284, 3, (2,))]
+    body, entries = bytearray(planes), b""
+    for tag, kind, values in tags:
+        raw = pack(f">{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            raw, at = pack(">I", 8 + len(body)), body.extend(raw)
+        entries += pack(">HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    data = b"MM" + pack(">HI", 42, 8 + len(body)) + bytes(body) + pack(">H", len(tags)) + entries + bytes(4)
+    assert (files.decode(data) == a).all() and (files.decode(data, 1, 1, 1, 2) == a[1:, 1:3]).all()
+    (tmp_path / "b.tif").write_bytes(data)
+    (tmp_path / "c.tiff").write_bytes(tiff.encode(a.astype("u1"), origin=(1.0, 2.0), cell=(0.5, 0.5), epsg=32601))
+    heads = {r["bands"]: r for r in files.read_heads(spark, str(tmp_path)).where("epsg is not null or x is null").collect()}
+    assert heads[3]["width"] == 4 and files.read_heads(spark, str(tmp_path)).where("epsg = 32601 and x = 1 and cell_y = 0.5").count() == 1
+    seen = files.read_rasters(spark, str(tmp_path), "b.tif", row=1, col=2, height=1, width=9).collect()
+    assert {(r["row"], r["col"], r["v0"], r["v2"], r["v3"]) for r in seen} == {(1, 2, 18.0, 20.0, None), (1, 3, 21.0, 23.0, None)}
+    with pytest.raises(ValueError, match="not a PNG, TIFF"):
+        files.decode(b"II nothing")
+
+
+def test_jpeg_through_the_image_source(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    picture = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    for r in range(8):
+        for c in range(16):
+            picture.setRGB(c, r, 0xC02040)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "a.jpg")))
+    got = files.read_images(spark, str(tmp_path)).collect()
+    assert len(got) == 128 and all(abs(r["v0"] - 0xC0) < 4 and abs(r["v1"] - 0x20) < 4 and abs(r["v2"] - 0x40) < 4 and r["v3"] is None for r in got)
+
+
+def slow_thin(mask):
+    """Zhang and Suen's rule, cell by cell."""
+    on = {(int(r), int(c)) for r, c in zip(*np.nonzero(mask), strict=True)}
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    while True:
+        before = len(on)
+        for first in (True, False):
+            gone = set()
+            for r, c in on:
+                p = [(r + a, c + b) in on for a, b in ring]
+                turns = sum(not a and b for a, b in zip(p, p[1:] + p[:1], strict=True))
+                n, e, s, w = p[0], p[2], p[4], p[6]
+                sides = not (n and e and s) and not (e and s and w) if first else not (n and e and w) and not (n and s and w)
+                if 2 <= sum(p) <= 6 and turns == 1 and sides:
+                    gone.add((r, c))
+            on -= gone
+        if len(on) == before:
+            return on
+
+
+def test_centre_line_agreement_against_slow_thinning(spark):
+    rng = np.random.default_rng(2)
+    frames = []
+    want = {}
+    for tile in range(6):
+        prob, gt = rng.random((9, 11)) ** (0.2 + 0.1 * tile), rng.random((9, 11)) < 0.75
+        pred = prob >= 0.5
+        a, b = slow_thin(pred), slow_thin(gt)
+        assert a == {(int(r), int(c)) for r, c in zip(*np.nonzero(rasters.thin(pred)), strict=True)}
+        p, q = sum(gt[x] for x in a) / (len(a) + 1e-6), sum(pred[x] for x in b) / (len(b) + 1e-6)
+        want[tile] = 2 * p * q / (p + q + 1e-6)
+        frames.append(pixels(spark, prob, tile).join(pixels(spark, gt.astype(float), tile).withColumnRenamed("prob", "gt"), ["tile_id", "row", "col"]))
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f)
+    got = {r["tile_id"]: r["cldice"] for r in rasters.soft_dice(both).collect()}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_texture_against_counting(spark):
+    gray = np.random.default_rng(1).integers(0, 256, (7, 9)).astype(float)
+    q = gray / 256 * 32
+    got = {(r["row"], r["col"]): r["texture"] for r in rasters.cooccurrence_texture(pixels(spark, gray), "prob", 2).collect()}
+    for r in range(7):
+        for c in range(9):
+            near = [(i, j) for i in range(max(r - 2, 0), min(r + 3, 7)) for j in range(max(c - 2, 0), min(c + 3, 9))]
+            d = [[(q[i, j] - q[(i - dr) % 7, (j - dc) % 9]) ** 2 for i, j in near] for dr, dc in rasters.OFFSETS]
+            assert abs(got[r, c] - np.mean(d) * (1 - np.mean(1 / (1 + np.array(d))))) < 1e-9
+
+
 def test_png_filters():
     import zlib
 

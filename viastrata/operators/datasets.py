@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.cluster import rank_within
 
+#: Parts that a group is sorted in.
+SALTS = 64
+
 
 def scan(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
     return files.where(S.extension(F.col("path")).isin(*extensions)).orderBy("path")
@@ -86,7 +89,10 @@ def seeded_order(key: Column, seed: str) -> Column:
 def held_out(rows: DataFrame, by: str, key: Column, n: int, seed: str) -> DataFrame:
     """`held_out`: whether a row is among the first n of its group in a seeded order."""
     place = F.struct(seeded_order(key, seed), key)
-    first = rows.select(by, place.alias("_at")).withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_at"))).where(F.col("_k") <= n)
+    # The first n of each part of a group, then of the group, so that no task sorts a whole group.
+    parts = rows.select(by, place.alias("_at"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("_salt"))
+    few = parts.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_salt").orderBy("_at"))).where(F.col("_k") <= n)
+    first = few.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_at"))).where(F.col("_k") <= n)
     limits = first.groupBy(by).agg(F.max("_at").alias("_limit"))
     return rows.join(limits, by).withColumn("held_out", place <= F.col("_limit")).drop("_limit")
 
@@ -103,13 +109,13 @@ def seeded_sample(rows: DataFrame, key: Column, n: int, seed: str) -> DataFrame:
     return rows.orderBy(seeded_order(key, seed), key).limit(n)
 
 
-def weighted_draws(weights: DataFrame, key: str, weight: str, draws: DataFrame, buckets: int = 64) -> DataFrame:
+def weighted_draws(weights: DataFrame, key: str, weight: str, draws: DataFrame, buckets: int | None = None) -> DataFrame:
     """(draw, key): draws u in 0..1, with repetition, each of the row whose share of the summed weights holds u. Sums are
-    taken in buckets of hashes and then over these; draws meet rows by equal steps of the range, not by comparing all."""
+    taken in buckets of hashes, of a million rows or so, and then over these; draws meet rows by equal steps of the range, not by comparing all."""
     total = weights.agg(F.sum(weight).alias("t"), F.count("*").alias("n")).first()
     if not total["n"]:
         return draws.limit(0).select("draw").join(weights.select(key).limit(0), how="cross")
-    order = Window.orderBy(key)
+    order, buckets = Window.orderBy(key), buckets or max(SALTS, total["n"] // 1_000_000)
     low = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if total["n"] <= 1_000_000 else _bucketed_low(weights, key, weight, buckets)
     steps = max(1, min(total["n"], 100_000))
     spans = weights.withColumn("low", F.round(low, 9)) if total["n"] <= 1_000_000 else low
