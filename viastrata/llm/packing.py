@@ -177,7 +177,8 @@ def pack(tokens: DataFrame, width: int = 4, window: int = WINDOW, salts: int | N
     spark = tokens.sparkSession
     held = checkpoint(tokens.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("ids").alias("packed")))
     rows = held.where("length(packed) > 0").select("uid", "doc_id", F.expr(f"length(packed) div {width}").alias("n"), "packed")
-    sizes = checkpoint(rows.select("uid", F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest")))
+    # Dealt anew, so that such light rows make few files.
+    sizes = checkpoint(rows.select("uid", F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest")).repartition(F.col("uid")))
     # A group has a hot length's share of 2**24 rows at most, whatever the corpus.
     salts = salts or max(SALTS, sizes.count() // SALT_ROWS)
     light = sizes.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
