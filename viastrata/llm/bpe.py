@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .common import arrow_udf, frugal, lists, steps, strings, structs
+from .common import arrow_udf, frugal, keeps, lists, steps, strings, structs
 
 #: Pieces whose ids a worker remembers, their bytes in all (ids, characters, and what Python adds), and the longest such piece.
 MEMO_PIECES, MEMO_BYTES, MEMO_CHARS = 600_000, 128 << 20, 64
@@ -148,13 +148,16 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+keeps("bpe", coder.cache_clear)
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Column of array<int>: the ids of each whole text, without special tokens. Null and empty texts: no ids."""
 
     @arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in frugal(batches):
+        for batch in frugal(batches, "bpe"):
             yield lists([x for texts in steps(strings(batch)) for x in bpe.encode_batch(texts)])
 
     return ids(text)
@@ -168,7 +171,7 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<struct<id:int,start:int,end:int>>")
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in frugal(batches):
+        for batch in frugal(batches, "bpe"):
             yield pa.array([[{"id": i, "start": a, "end": b} for i, a, b in bpe.spans(t)] for t in strings(batch)], kind)
 
     return spans(text)
@@ -180,7 +183,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @arrow_udf("binary")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in frugal(batches):
+        for batch in frugal(batches, "bpe"):
             yield pa.array([bpe.decode_bytes(x.as_py() or []) for x in batch], pa.binary())
 
     return text(ids)
@@ -194,7 +197,7 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for batch in frugal(batches):
+        for batch in frugal(batches, "bpe"):
             rows = []
             for texts in steps(strings(batch)):
                 for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):

@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpoint
 
-__all__ = ["STEP_CHARS", "arrow_udf", "checkpoint", "fold", "frugal", "lists", "release", "sampled", "small_batches", "steps", "strings", "structs", "table"]
+__all__ = ["STEP_CHARS", "arrow_udf", "checkpoint", "fold", "frugal", "keeps", "lists", "release", "sampled", "small_batches", "steps", "strings", "structs", "table"]
 
 #: Characters of text that one NumPy step works on; a longer text makes a step of its own.
 STEP_CHARS = 1 << 18
@@ -95,10 +95,21 @@ def strings(texts: pa.Array, rows: int = 128) -> Iterator[str]:
             yield text or ""
 
 
-def frugal(batches: Iterator) -> Iterator:
-    """The batches of a task. Before and after them the worker, which Spark keeps for later tasks, gives memory that nothing
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Says how to drop what an operator keeps in a worker from one task of its own to the next."""
+    _KEPT[owner] = forget
+
+
+def frugal(batches: Iterator, owner: str = "") -> Iterator:
+    """The batches of a task. What other operators keep in the worker is dropped. Before and after them the worker, which Spark keeps for later tasks, gives memory that nothing
     uses back to the system. Arrow takes its memory from the system's own pool, which does give it back."""
     pa.set_memory_pool(pa.system_memory_pool())
+    for name, forget in _KEPT.items():
+        if name != owner:
+            forget()
     release()
     yield from batches
     release()

@@ -70,6 +70,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
+def kernel(seen: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Common n-grams over the geometric mean of their numbers, of rows of presence and of landmarks, eight places a byte. These
+    are unpacked a few at a time: whole, a worker would keep 25 MB of them, and their pickle."""
+    common, sizes = np.zeros((len(seen), len(marks)), np.float32), np.zeros(len(marks), np.float32)
+    for at in range(0, marks.shape[1], 512):
+        part = np.unpackbits(marks[:, at : at + 512], axis=1).astype(np.float32)
+        sizes += part.sum(axis=1)
+        common += seen[:, 8 * at : 8 * (at + 512)] @ part.T
+    return common / np.sqrt(np.maximum(sizes, 1)) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: for each hashed n-gram and language; landmarks and their coefficients are multiplied out, as the kernel is linear."""
@@ -111,7 +122,8 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
         base[-1, r["p"]] = 1
     if not len(base):
         return Model(bits, (), np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32))
-    base = np.unique(unit(base), axis=0)
+    base = np.unique(base, axis=0)
+    marks, base = np.packbits(base.astype(bool), axis=1), unit(base)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     large = values > 1e-6 * values[-1]
     root = vectors[:, large] / np.sqrt(values[large])
@@ -119,10 +131,10 @@ def fit(labelled: DataFrame, bits: int = BITS, train_rows: int = TRAIN_ROWS, lan
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left, right = np.zeros((m + 1, m + 1)), np.zeros((m + 1, k))
-        for batch in batches:
+        for batch in frugal(batches):
             at = 0
             for texts in _blocks(batch["text"]):
-                phi = unit(presence(texts, bits)) @ base.T @ root
+                phi = kernel(presence(texts, bits), marks) @ root
                 phi = np.hstack([phi, np.ones((len(texts), 1))])
                 y = -np.ones((len(texts), k))
                 y[np.arange(len(texts)), [names[x] for x in batch["label"].iloc[at : at + len(texts)]]] = 1

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars, read_ranks
-from .common import arrow_udf, checkpoint, frugal, steps, strings
+from .common import arrow_udf, checkpoint, frugal, keeps, steps, strings
 
 #: Tokens of a sequence; id that ends a document; groups that ranks and sums of one length are counted in, at least, and the rows
 #: that ask for one group more.
@@ -255,6 +255,9 @@ def _encoder(path: str, ranks_path: str | None, pattern: str | None):
     return lambda texts: [same.encode_to_numpy(t, allowed_special="all") for t in texts]
 
 
+keeps("packing", _encoder.cache_clear)
+
+
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -296,7 +299,7 @@ def token_column(text: Column, path: str, end_id: int = END_ID, width: int = 4,
                 raise ValueError(f"an id does not fit {width} bytes")
             return x.astype(f"<u{width}").tobytes() + end
 
-        for batch in frugal(batches):
+        for batch in frugal(batches, "packing"):
             yield pa.array([packed(x) for run in steps(strings(batch)) for x in encode(run)], pa.binary())
 
     # So that no plan asks for it twice.
