@@ -1,9 +1,11 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from viastrata.functions.cluster import by_tasks
 from viastrata.operators import pipeline, rasters, synthetic
 
 
@@ -65,3 +67,24 @@ def test_single_needs_a_batch_of_one(spark):
     assert one.select(rasters.single(F.col("b")).alias("v")).first()["v"] == 7
     with pytest.raises(Exception, match="batch of one"):
         two.select(rasters.single(F.col("b")).alias("v")).collect()
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 7, 1000])
+def test_groups_meet_their_kernel_whole_wherever_batches_end(spark, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = [(k if k else None, i) for k in range(9) for i in range(k * k % 11 + 1)]
+
+        def kernel(pdf):
+            return pd.DataFrame({"k": pdf["k"].iloc[:1], "n": len(pdf), "total": pdf["i"].sum()})
+
+        made = by_tasks(spark.createDataFrame(rows, "k long, i long").coalesce(2), ["k"], kernel, "k long, n long, total long").collect()
+        wanted = {k: (len(held), sum(held)) for k in {r[0] for r in rows} for held in [[i for j, i in rows if j == k]]}
+        assert {r["k"]: (r["n"], r["total"]) for r in made} == wanted and len(made) == len(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_no_groups(spark):
+    assert by_tasks(spark.createDataFrame([], "k long, i long"), ["k"], lambda pdf: pdf, "k long, i long").count() == 0

@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +42,53 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def by_tasks(rows: DataFrame, *keys: str):
-    """Rows grouped by keys for a kernel that works on a group at a time, dealt to as many tasks as a shuffle has or the cluster
-    works on, as it is the kernel that takes the time: Spark would put little data together in one task."""
+def by_tasks(rows: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What a kernel makes of each group, dealt to as many tasks as a shuffle has or the cluster works on, as it is the kernel that
+    takes the time: Spark would put little data together in one task. Groups come in sorted runs, many small ones in an Arrow
+    batch, as a batch for each would cost more than most kernels. A task holds one group and one batch at a time."""
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(parts, *keys).groupBy(*keys)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(_runs(keys, kernel), schema)
+
+
+def _runs(keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame]):
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = batch[keys]
+            if held:
+                # The group at the end of the last batch goes on in this one, or is whole.
+                before = pd.concat([held[-1][keys].iloc[-1:], now.iloc[:1]], ignore_index=True)
+                if not _starts(before)[1]:
+                    first = np.flatnonzero(_starts(now)[1:])
+                    end = int(first[0]) + 1 if len(first) else len(batch)
+                    held.append(batch.iloc[:end])
+                    batch, now = batch.iloc[end:], now.iloc[end:]
+                    if not len(batch):
+                        continue
+                yield kernel(pd.concat(held, ignore_index=True))
+            cuts = [*np.flatnonzero(_starts(now)).tolist(), len(batch)]
+            made = [kernel(batch.iloc[i:j].reset_index(drop=True)) for i, j in pairwise(cuts[:-1])]
+            if made := [m for m in made if len(m)]:
+                yield pd.concat(made, ignore_index=True)
+            held = [batch.iloc[cuts[-2] :]]
+        if held:
+            yield kernel(pd.concat(held, ignore_index=True))
+
+    return each
+
+
+def _starts(keys: pd.DataFrame) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; nulls are alike."""
+    found = np.ones(len(keys), bool)
+    found[1:] = False
+    for name in keys.columns:
+        a = keys[name].to_numpy()
+        empty = pd.isna(a)
+        found[1:] |= (a[1:] != a[:-1]) & ~(empty[1:] & empty[:-1])
+    return found
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:

@@ -169,7 +169,7 @@ def boundary_loss(pixels: DataFrame, scale: float) -> DataFrame:
         ce = -np.where(gt, np.log(p), np.log(1 - p))
         return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "loss": [float((far * ce).mean())]})
 
-    return pixels.groupBy(*TILE).applyInPandas(kernel, "tile_id long, loss double")
+    return by_tasks(pixels, TILE, kernel, "tile_id long, loss double")
 
 
 def diagnostics(pixels: DataFrame, by: list[str] = TILE) -> DataFrame:
@@ -288,7 +288,7 @@ def cooccurrence_texture(pixels: DataFrame, band: str, radius: int, side: int |
         found = contrast / len(OFFSETS) * (1 - same / len(OFFSETS))
         return pd.DataFrame({"tile_id": pdf["tile_id"], "row": r, "col": c, "texture": found[r, c]})
 
-    return by_tasks(pixels.select(*CELL, band), *TILE).applyInPandas(run, "tile_id long, row int, col int, texture double")
+    return by_tasks(pixels.select(*CELL, band), TILE, run, "tile_id long, row int, col int, texture double")
 
 
 def _square_means(a: np.ndarray, radius: int) -> np.ndarray:
@@ -325,7 +325,7 @@ def per_tile(pixels: DataFrame, value: str, kernel: Callable[[np.ndarray], np.nd
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return from_mask(pdf["tile_id"].iloc[0], kernel(to_array(pdf, value)))
 
-    return by_tasks(pixels.select(*CELL, value), *TILE).applyInPandas(run, "tile_id long, row int, col int")
+    return by_tasks(pixels.select(*CELL, value), TILE, run, "tile_id long, row int, col int")
 
 
 def label(mask: np.ndarray) -> np.ndarray:
@@ -459,7 +459,7 @@ def soft_dice(pixels: DataFrame, eps: float = 1e-6) -> DataFrame:
         precision, sense = (a & gt).sum() / (a.sum() + eps), (b & pred).sum() / (b.sum() + eps)
         return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "cldice": [float(2 * precision * sense / (precision + sense + eps))]})
 
-    return by_tasks(pixels, *TILE).applyInPandas(kernel, "tile_id long, cldice double")
+    return by_tasks(pixels, TILE, kernel, "tile_id long, cldice double")
 
 
 # Augmentation: where things go is given, so a seed decides it once.
@@ -534,4 +534,4 @@ def windowed_texture(pixels: DataFrame, band: str, window: int = 11, levels: int
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         return pd.DataFrame({"tile_id": pdf["tile_id"], "row": r, "col": c, "texture": found[r, c]})
 
-    return by_tasks(pixels.select(*CELL, band), *TILE).applyInPandas(run, "tile_id long, row int, col int, texture double")
+    return by_tasks(pixels.select(*CELL, band), TILE, run, "tile_id long, row int, col int, texture double")

@@ -42,7 +42,6 @@ def whole_sql(body: str) -> str:
                     needed.append(name)
 
     visit(body)
-    parts = [f"{name} AS ({FIXTURE_SQL[name].strip()})" for name in needed]
     body = body.strip()
     parts = [f"{KEYED.get(name, name)} AS ({FIXTURE_SQL[name].strip()})" for name in needed]
     if found := re.match(r"WITH (RECURSIVE )?", body):

@@ -204,7 +204,7 @@ def encoded(pixels: DataFrame, bands: list[str], kind: str = "png", dtype: str =
             data = encode_png(array) if kind == "png" else tiff.encode(array, **options)
         return pd.DataFrame({by: [pdf[by].iloc[0]], "data": [data]})
 
-    return by_tasks(pixels.select(by, "row", "col", *bands), by).applyInPandas(pack, f"{by} long, data binary")
+    return by_tasks(pixels.select(by, "row", "col", *bands), [by], pack, f"{by} long, data binary")
 
 
 def write_png(pixels: DataFrame, path: str, bands: list[str]) -> None:
