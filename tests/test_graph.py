@@ -65,9 +65,17 @@ def test_route_is_a_shortest_way(spark, some):
     dest = max(n for n in range(40) if np.isfinite(want[0, n]) and n)
     way = sorted(graph.route(edges, 0, dest).collect())
     assert (way[0]["node_id"], way[-1]["node_id"], way[-1]["dist"]) == (0, dest, want[0, dest])
+    assert sorted(graph.route(edges, 0, dest, task_edges=0).collect())[-1] == way[-1]
     assert graph.route(frame(spark, [(0, 1, 1), (2, 3, 1)]), 0, 3).count() == 0
 
 
+@pytest.mark.parametrize("steps", [0, 1, 2, 3, 4, 7, 8, 11])
+def test_route_by_doubled_pointers_has_each_step(spark, steps):
+    line = frame(spark, [(k, k + 1, 1 + k % 3) for k in range(steps + 1)])
+    here, rounds = (sorted(map(tuple, graph.route(line, 0, steps, task_edges=limit).collect())) for limit in (10**6, 0))
+    assert here == rounds and [r[:2] for r in here] == [(k, k) for k in range(steps + 1)]
+
+
 def test_spanning_forest_by_rounds_and_in_a_task(spark, some):
     nodes = nodes_of(spark, 40)
     parts = graph.components(nodes, frame(spark, some[:20]))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from viastrata.functions.cluster import by_tasks
+from viastrata.functions.cluster import by_tasks, exact_quantile, few
 from viastrata.operators import pipeline, rasters, synthetic
 
 
@@ -88,3 +88,22 @@ def test_groups_meet_their_kernel_whole_wherever_batches_end(spark, batch):
 
 def test_no_groups(spark):
     assert by_tasks(spark.createDataFrame([], "k long, i long"), ["k"], lambda pdf: pdf, "k long, i long").count() == 0
+
+
+@pytest.mark.parametrize("at", [0.0, 0.25, 0.5, 0.99, 1.0])
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 9 + [7.0], [float(k * k % 97) - 20 for k in range(400)], [0.5, None, 1.5, None]])
+def test_quantile_by_ranges(spark, values, at):
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    known = [v for v in values if v is not None]
+    for most in (10**6, 0):
+        found = exact_quantile(rows, "v", at, most).first()
+        assert found["q"] == pytest.approx(np.quantile(known, at)) and found["most"] == max(known)
+
+
+def test_quantile_of_nothing(spark):
+    assert tuple(exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5).first()) == (None, None)
+
+
+def test_only_few_rows_are_broadcast(spark):
+    plan = lambda most: spark.range(50).hint("merge").join(few(spark.range(9), most), "id")._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in plan(9) and "strategy=broadcast" not in plan(8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -106,3 +107,34 @@ def rank_within(rows: DataFrame, by: list[str], order: list[Column], name: str =
     starts = sizes.select(*by, "_range", (F.sum("_n").over(so_far) - F.col("_n")).alias("_start"))
     rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) + F.col("_start")
     return dealt.join(starts, [*by, "_range"]).withColumn(name, rank.cast("long")).drop("_range", "_start")
+
+
+#: Distinct values that one task takes for a quantile.
+TASK_VALUES = 1_000_000
+
+
+def exact_quantile(rows: DataFrame, value: str, at: float, task_values: int = TASK_VALUES) -> DataFrame:
+    """(q, most): the exact quantile over all rows, between two values by a straight line, and the greatest value; nulls do not
+    count, and without values both are null. Values are counted first. Where too many differ for a task, their counts are dealt by
+    ranges, and only the range or two that hold the quantile are sorted."""
+    counts = checkpoint(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    sums = counts.agg(F.count("*").alias("values"), F.sum("n").alias("n")).first()
+    most = F.max("v").alias("most")
+    if sums["values"] <= task_values:
+        return counts.agg(F.percentile("v", F.lit(at), F.col("n")).alias("q"), most)
+    place = at * (sums["n"] - 1)
+    low, high = math.floor(place), math.ceil(place)
+    dealt = checkpoint(counts.repartitionByRange("v").withColumn("range", F.spark_partition_id()))
+    so_far = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("range").agg(F.sum("n").alias("held")).withColumn("start", F.coalesce(F.sum("held").over(so_far), F.lit(0)))
+    asked = starts.where((F.col("start") <= high) & (F.col("start") + F.col("held") > low)).select("range", "start")
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+    spans = dealt.join(asked, "range").withColumn("end", end)
+    holds = lambda k: F.max(F.when((F.col("end") > k) & (F.col("end") - F.col("n") <= k), F.col("v")))
+    found = spans.agg(holds(low).alias("a"), holds(high).alias("b")).select((F.col("a") + (place - low) * (F.col("b") - F.col("a"))).alias("q"))
+    return found.join(counts.agg(most), how="cross")
+
+
+def few(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows that are broadcast if they are counted to be no more than `most`; else they are joined as any others."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -262,26 +262,39 @@ def pair_distances(edges: DataFrame, pairs: DataFrame, keys: list[str] | None =
     return pairs.join(found.select(*keys, F.col("source").alias("origin"), F.col("node_id").alias("dest"), "dist"), [*keys, "origin", "dest"], "left")
 
 
-def route(edges: DataFrame, origin: int, dest: int) -> DataFrame:
-    """(step, node_id, dist) from the origin on; no rows where there is no way. One row is looked up for each step, walking back."""
-    one = edges.sparkSession.createDataFrame([(origin,)], "source long")
-    state = checkpoint(distances(edges, one))
-    steps: list[tuple[int, float]] = []
-    at = dest
-    found = {r["node_id"]: (r["before"], r["dist"]) for r in state.where(F.col("node_id").isin([dest, origin])).collect()}
-    if dest not in found:
-        return edges.sparkSession.createDataFrame([], "step int, node_id long, dist double")
-    # Nodes on the way are those whose distances there and back add up, so few are looked at.
-    back = checkpoint(distances(edges, edges.sparkSession.createDataFrame([(dest,)], "source long")).select("node_id", F.col("dist").alias("back")))
-    total = found[dest][1]
-    near = {r["node_id"]: (r["before"], r["dist"]) for r in state.join(back, "node_id").where(F.abs(F.col("dist") + F.col("back") - total) <= 1e-9 * (1 + total)).collect()}
-    while True:
-        before, d = near[at]
-        steps.append((at, d))
-        if at == origin:
-            break
-        at = before
-    return edges.sparkSession.createDataFrame([(k, n, d) for k, (n, d) in enumerate(reversed(steps))], "step int, node_id long, dist double")
+def route(edges: DataFrame, origin: int, dest: int, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(step, node_id, dist) from the origin on; no rows where there is no way. Only nodes whose distances to both ends add up to
+    the way's length are looked at; these are walked back on the driver where they fit a task, else by doubled pointers."""
+    one = lambda node: edges.sparkSession.createDataFrame([(node,)], "source long")
+    schema = "step int, node_id long, dist double"
+    state = checkpoint(distances(edges, one(origin), task_edges=task_edges))
+    if (end := state.where(F.col("node_id") == dest).select("dist").first()) is None:
+        return edges.sparkSession.createDataFrame([], schema)
+    total = end["dist"]
+    back = distances(edges, one(dest), task_edges=task_edges).select("node_id", F.col("dist").alias("back"))
+    near = checkpoint(state.join(back, "node_id").where(F.abs(F.col("dist") + F.col("back") - total) <= 1e-9 * (1 + total)).select("node_id", "before", "dist"))
+    if near.count() > task_edges:
+        return _route_by_rounds(near, origin, dest)
+    before = {r["node_id"]: (r["before"], r["dist"]) for r in near.collect()}
+    steps = [dest]
+    while steps[-1] != origin:
+        steps.append(before[steps[-1]][0])
+    return edges.sparkSession.createDataFrame([(k, n, before[n][1]) for k, n in enumerate(reversed(steps))], schema)
+
+
+def _route_by_rounds(near: DataFrame, origin: int, dest: int) -> DataFrame:
+    """The route from (node_id, before, dist). Each round knows as many nodes again, from the destination back: what is so many
+    nodes before each of those that are known."""
+    jump = near.select(F.col("node_id").alias("_from"), F.when(F.col("node_id") == origin, F.lit(origin)).otherwise(F.col("before")).alias("_to"))
+    way = near.where(F.col("node_id") == dest).select("node_id", F.lit(0).alias("back"))
+    hop = 1
+    while (end := way.where(F.col("node_id") == origin).first()) is None:
+        ahead = way.join(jump, F.col("node_id") == F.col("_from")).select(F.col("_to").alias("node_id"), F.col("back") + hop)
+        way = checkpoint(way.unionByName(ahead.toDF("node_id", "back")).groupBy("node_id").agg(F.min("back").alias("back")))
+        middle = jump.select(F.col("_from").alias("_middle"), F.col("_to").alias("_end"))
+        jump = checkpoint(jump.join(middle, F.col("_to") == F.col("_middle")).select("_from", F.col("_end").alias("_to")))
+        hop *= 2
+    return way.join(near, "node_id").select((F.lit(end["back"]) - F.col("back")).cast("int").alias("step"), "node_id", "dist")
 
 
 def reachable(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.cluster import by_tasks
+from ..functions.cluster import by_tasks, exact_quantile, few
 
 TILE = ["tile_id"]
 CELL = ["tile_id", "row", "col"]
@@ -65,8 +65,8 @@ def contrast(pixels: DataFrame, band: str, factor: float) -> DataFrame:
 
 def norm_constant(raw: DataFrame, value: str, quantile: float = 0.99, stride: int = 4) -> DataFrame:
     """(norm): the quantile over every stride-th row and column; 1 if nothing there is above 0."""
-    seen = raw.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0)).agg(F.percentile(value, F.lit(quantile)).alias("q"), F.max(value).alias("m"))
-    return seen.select(F.when(F.col("m") > 0, F.col("q").cast("double")).otherwise(F.lit(1.0)).alias("norm"))
+    seen = exact_quantile(raw.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0)), value, quantile)
+    return seen.select(F.when(F.col("most") > 0, F.col("q")).otherwise(F.lit(1.0)).alias("norm"))
 
 
 def stretch(pixels: DataFrame, band: str, by: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -486,7 +486,7 @@ def shade(pixels: DataFrame, band: str, row: float, col: float, radius: float, s
 def paste_max(pixels: DataFrame, snippet: DataFrame, value: str, top: int, left: int) -> DataFrame:
     """Tiles with a small raster pasted in, the greater value staying."""
     moved = snippet.select((F.col("row") + top).alias("row"), (F.col("col") + left).alias("col"), F.col(value).alias("_new"))
-    both = pixels.join(F.broadcast(moved), ["row", "col"], "left")
+    both = pixels.join(few(moved), ["row", "col"], "left")
     return both.withColumn(value, F.greatest(F.col(value), F.coalesce("_new", F.col(value)))).drop("_new")
 
 

@@ -7,13 +7,13 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.cluster import checkpoint, rank_within
+from ..functions.cluster import checkpoint, few, rank_within
 from . import graph, spatial
 
 
 def surviving(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of each scenario's graph (scenario, …), from (scenario, node_id) of what fails."""
-    names = F.broadcast(scenarios.select("scenario").distinct())
+    names = few(scenarios.select("scenario").distinct())
     # Other names, as the frames come from one.
     gone = scenarios.select(F.col("scenario").alias("_s"), F.col("node_id").alias("_gone")).distinct()
     fails = lambda frame, end: frame.join(gone, (F.col("_gone") == F.col(end)) & (F.col("_s") == F.col("scenario")), "left_anti")
