@@ -9,12 +9,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import pairwise
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def _shared(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +57,9 @@ def by_tasks(rows: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame],
 
 def _runs(keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame]):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Here, so that workers of operators that do without pandas need not hold it.
+        import pandas as pd
+
         held: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
@@ -83,6 +89,8 @@ def _runs(keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame]):
 
 def _starts(keys: pd.DataFrame) -> np.ndarray:
     """Whether a row's keys differ from those of the row before; nulls are alike."""
+    import pandas as pd
+
     found = np.ones(len(keys), bool)
     found[1:] = False
     for name in keys.columns:

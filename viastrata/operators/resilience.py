@@ -11,9 +11,10 @@ from ..functions.cluster import checkpoint, few, rank_within
 from . import graph, spatial
 
 
-def surviving(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of each scenario's graph (scenario, …), from (scenario, node_id) of what fails."""
-    names = few(scenarios.select("scenario").distinct())
+def surviving(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of each scenario's graph (scenario, …), from (scenario, node_id) of what fails; names: the scenarios, if
+    known."""
+    names = few(checkpoint(scenarios.select("scenario").distinct()) if names is None else names)
     # Other names, as the frames come from one.
     gone = scenarios.select(F.col("scenario").alias("_s"), F.col("node_id").alias("_gone")).distinct()
     fails = lambda frame, end: frame.join(gone, (F.col("_gone") == F.col(end)) & (F.col("_s") == F.col("scenario")), "left_anti")
@@ -70,8 +71,9 @@ def resilience_index(deltas: DataFrame, keys: list[str] | None = None) -> DataFr
 def simulate(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, od: DataFrame, population: str = "population") -> DataFrame:
     """One row for each scenario: largest part, people, ways lost, resilience index."""
     whole = nodes.count()
+    scenarios, od = checkpoint(scenarios.select("scenario", "node_id")), checkpoint(od)
     names = checkpoint(scenarios.select("scenario").distinct())
-    left, roads = surviving(nodes, edges, scenarios)
+    left, roads = surviving(nodes, edges, scenarios, names)
     left, roads = checkpoint(left), checkpoint(roads)
     parts = checkpoint(graph.components(left, roads, ["scenario"]))
     people = population_impact(nodes, parts, names, population)
