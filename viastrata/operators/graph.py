@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict, deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpoint, largest_group, rank_within
+from .elimination import Network, Ways
 
 #: Edges of the largest graph that one task takes whole.
 TASK_EDGES = 300_000
@@ -388,15 +389,36 @@ def _per_source(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFra
     return asked.groupBy("_part").cogroup(held.groupBy("_deal")).applyInPandas(run, schema)
 
 
+def task_ways(edges: DataFrame) -> Ways | None:
+    """Ways of a graph that was counted to fit a task; None if it is too dense for that, or some length is not above 0."""
+    rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("length").cast("double")).toArrow()
+    return Ways.of(*(rows.column(k).to_numpy() for k in range(3)))
+
+
+def by_sources(sources: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame], schema: str, spread: int) -> DataFrame:
+    """What kernel(node ids) gives for the sources (node_id), dealt by ranges of ids to `spread` tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if asked := [b["node_id"].to_numpy() for b in batches if len(b)]:
+            yield kernel(np.concatenate(asked))
+
+    return sources.select(F.col("node_id").cast("long").alias("node_id")).repartitionByRange(spread, "node_id").mapInPandas(run, schema)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, betweenness): share of the shortest ways between other nodes that lead over each, by length (Brandes 2001).
-    Sources are dealt to tasks, each with the graph; of a larger graph, batches of sources go through rounds."""
+    Sources are dealt to tasks, each with the graph: as levels of nodes that are taken out, or, where it is dense or has roads of
+    no length, as it is. Of a larger graph, batches of sources go through rounds."""
     n = nodes.count()
     scale = 1.0 / max((n - 1) * (n - 2), 1)
     if edges.count() > task_edges:
         found = _betweenness_by_rounds(nodes, edges, max(1, ROUND_ROWS // max(n, 1)))
         return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
+    def by_levels(sources: np.ndarray) -> pd.DataFrame:
+        known = sources[np.isin(sources, ways.ids)]
+        return pd.DataFrame({"node_id": ways.ids, "b": ways.betweenness(known)})
+
     def kernel(pdf: pd.DataFrame, sources: list[int]) -> pd.DataFrame:
         near = _adjacency(pdf)
         total: dict[int, float] = defaultdict(float)
@@ -428,7 +450,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, t
                     total[u] += owed[u]
         return pd.DataFrame({"node_id": list(total), "b": list(total.values())})
 
-    found = _per_source(nodes, edges, kernel, "node_id long, b double", spread or spread_of(nodes)).groupBy("node_id").agg(F.sum("b").alias("b"))
+    spread, columns = spread or spread_of(nodes), "node_id long, b double"
+    ways = task_ways(edges)
+    parts = by_sources(nodes, by_levels, columns, spread) if ways is not None else _per_source(nodes, edges, kernel, columns, spread)
+    found = parts.groupBy("node_id").agg(F.sum("b").alias("b"))
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
@@ -482,47 +507,6 @@ def current_flow(nodes: DataFrame, edges: DataFrame, most_nodes: int = 3000) ->
     return _small_current_flow(c, edges)
 
 
-def _eliminated(n: int, u: np.ndarray, v: np.ndarray, g: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
-    """Nodes 0..n-1 of a connected network of conductances in the order of least degree, each replaced by a mesh of its neighbours:
-    (node, neighbours, conductances, their sum), without the last node."""
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in zip(u.tolist(), v.tolist(), g.tolist(), strict=True):
-        near[a][b] = near[b][a] = near[a].get(b, 0.0) + w
-    heap = [(len(x), k) for k, x in enumerate(near)]
-    heapq.heapify(heap)
-    gone, steps = [False] * n, []
-    while len(steps) < n - 1:
-        degree, k = heapq.heappop(heap)
-        if gone[k] or degree != len(near[k]):
-            continue
-        gone[k] = True
-        ends, flows = list(near[k]), list(near[k].values())
-        total = sum(flows)
-        for a, x in zip(ends, flows, strict=True):
-            at = near[a]
-            del at[k]
-            for b, y in zip(ends, flows, strict=True):
-                if a != b:
-                    at[b] = at.get(b, 0.0) + x * y / total
-            heapq.heappush(heap, (len(at), a))
-        near[k] = {}
-        steps.append((k, np.array(ends), np.array(flows), total))
-    return steps
-
-
-def _potentials(n: int, steps: list[tuple[int, np.ndarray, np.ndarray, float]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Column k: the nodes' potentials as a unit current goes in at a[k] and out at b[k]."""
-    x, column = np.zeros((n, len(a))), np.arange(len(a))
-    x[a, column] += 1
-    x[b, column] -= 1
-    for k, ends, flows, total in steps:
-        x[ends] += (flows / total)[:, None] * x[k]
-    x[list(set(range(n)).difference(s[0] for s in steps))] = 0
-    for k, ends, flows, total in reversed(steps):
-        x[k] = (x[k] + flows @ x[ends]) / total
-    return x
-
-
 def _large_current_flow(members: DataFrame, edges: DataFrame, spread: int = 32) -> DataFrame:
     """Of components (component, node_id, n): the same as _small_current_flow, without a matrix of all nodes by all nodes."""
     part = F.pmod(F.xxhash64("src", "dst"), F.lit(spread))
@@ -534,12 +518,14 @@ def _large_current_flow(members: DataFrame, edges: DataFrame, spread: int = 32)
     def kernel(asked: pd.DataFrame, roads_: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({"node_id": [], "f": []})
-        # One order of the roads, so that all tasks eliminate alike.
+        # One order of the roads, so that all tasks take nodes out alike.
         roads_ = roads_.sort_values(["src", "dst", "length"])
         ids = np.unique(roads_[["src", "dst"]].to_numpy())
         n = len(ids)
         u, v = np.searchsorted(ids, roads_["src"].to_numpy()), np.searchsorted(ids, roads_["dst"].to_numpy())
-        steps = _eliminated(n, u, v, 1 / np.maximum(roads_["length"].to_numpy(), 1e-9))
+        network = Network(n, u, v, 1 / np.maximum(roads_["length"].to_numpy(), 1e-9))
+        place = network.levels.place
+        asked = asked.sort_values(["src", "dst", "length"])
         a, b = np.searchsorted(ids, asked["src"].to_numpy()), np.searchsorted(ids, asked["dst"].to_numpy())
         g = 1 / np.maximum(asked["length"].to_numpy(), 1e-9)
         flow, weight = np.zeros(n), 2 * np.arange(n) - n + 1
@@ -547,7 +533,7 @@ def _large_current_flow(members: DataFrame, edges: DataFrame, spread: int = 32)
         for k in range(0, len(a), step):
             p, q = a[k : k + step], b[k : k + step]
             # As there: a road's current by all pairs is g (x_s - x_t), its sum comes from the sorted column.
-            total = g[k : k + step] * (np.sort(_potentials(n, steps, p, q).T, axis=1) @ weight)
+            total = g[k : k + step] * (np.sort(network.potentials(place[p], place[q]).T, axis=1) @ weight)
             np.add.at(flow, p, total)
             np.add.at(flow, q, total)
         some = np.flatnonzero(flow)
