@@ -111,6 +111,15 @@ def reflected(i: Column, n: int) -> Column:
     return F.when(m < n, m).otherwise(period - m).cast("int")
 
 
+def mirrors(i: Column, n: int, first: int, last: int) -> Column:
+    """All places from first to last that `reflected` takes to an index i within 0..n-1."""
+    period = max(2 * (n - 1), 1)
+    start = lambda at: F.lit(first) + F.pmod(at - first, F.lit(period))
+    run = lambda at: F.when(start(at) <= last, F.sequence(start(at), F.lit(last), F.lit(period))).otherwise(F.array().cast("array<int>"))
+    at = i.cast("int")
+    return F.array_union(run(at), run(-at))
+
+
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
 

@@ -227,11 +227,10 @@ def patch_plan(sizes: DataFrame, tile: int = 256, overlap_percent: float = 25.0)
 
 
 def padded(pixels: DataFrame, side: int, pad: int, values: list[str]) -> DataFrame:
-    """Square tiles with a border of mirrored cells."""
-    whole = pixels.select("tile_id").distinct().withColumn("row", F.explode(F.sequence(F.lit(-pad), F.lit(side + pad - 1)))).withColumn("col", F.explode(F.sequence(F.lit(-pad), F.lit(side + pad - 1))))
-    source = whole.withColumn("r", S.reflected(F.col("row"), side)).withColumn("c", S.reflected(F.col("col"), side))
-    values_at = pixels.select(F.col("tile_id"), F.col("row").alias("r"), F.col("col").alias("c"), *values)
-    return source.join(values_at, ["tile_id", "r", "c"]).drop("r", "c")
+    """Square tiles with a border of mirrored cells: each cell goes to all places that mirror it, so no tile is joined with a grid."""
+    places = lambda c: F.explode(S.mirrors(F.col(c), side, -pad, side + pad - 1))
+    rows = pixels.where(F.col("row").between(0, side - 1) & F.col("col").between(0, side - 1)).select("tile_id", places("row").alias("row"), "col", *values)
+    return rows.select("tile_id", "row", places("col").alias("col"), *values)
 
 
 def blend(patches: DataFrame, tile: int, floor: float = 1e-8, values: tuple[str, ...] = ("prob",)) -> DataFrame:
