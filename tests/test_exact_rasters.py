@@ -23,3 +23,9 @@ def test_padded_joins_nothing(spark, side, pad):
     # Tiles exploded to a grid of places, whose size no estimate sees, were broadcast.
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_blend_of_all_bytes(spark):
+    every = spark.range(256 * 256).select(F.expr("cast(id div 256 as int)").alias("red"), (F.col("id") % 256).cast("int").alias("green"))
+    made = rasters.blend_patch(every.withColumn("old", F.col("red")), "red", F.col("green"), 0.4)
+    assert made.where(F.col("red") != F.expr("(6 * old + 4 * green) div 10")).count() == 0

@@ -7,6 +7,7 @@ spread over tasks. Only what follows a shape across a tile (thinning, tracing, h
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
@@ -190,8 +191,9 @@ def occlusion_crop(pixels: DataFrame, side: int, size: int, least: int = 20) ->
 
 
 def blend_patch(pixels: DataFrame, band: str, patch: Column, alpha: float | Column) -> DataFrame:
-    """The band with a patch laid over it, alpha from 0 to 1, as bytes."""
-    a = F.lit(alpha) if isinstance(alpha, float) else alpha
+    """The band with a patch laid over it, alpha from 0 to 1, as bytes. An alpha that is a number is taken as the decimal that it is
+    written as: with binary shares, bytes that blend to a whole number would come out one less."""
+    a = F.lit(Decimal(str(alpha))) if isinstance(alpha, float) else alpha
     return pixels.withColumn(band, S.clipped(F.floor((1 - a) * F.col(band) + a * patch), 0, 255).cast("int"))
 
 
