@@ -29,3 +29,13 @@ def test_blend_of_all_bytes(spark):
     every = spark.range(256 * 256).select(F.expr("cast(id div 256 as int)").alias("red"), (F.col("id") % 256).cast("int").alias("green"))
     made = rasters.blend_patch(every.withColumn("old", F.col("red")), "red", F.col("green"), 0.4)
     assert made.where(F.col("red") != F.expr("(6 * old + 4 * green) div 10")).count() == 0
+
+
+def test_mean_texture_at_the_bound_is_not_above_it(spark):
+    cells = spark.range(200 * 64).select(F.expr("id div 64").alias("tile_id"), F.expr("cast(id % 64 as int)").alias("k"))
+    apart = F.expr("cast((tile_id * 7 + (k div 2) * 13) % 90 as int)")
+    texture = cells.select("tile_id", F.when(F.col("k") % 2 == 0, 130 - apart).otherwise(130 + apart).alias("texture"))
+    assert rasters.textured_tiles(texture, 0.65, 1000, "5", 200.0).count() == 0
+    assert rasters.textured_tiles(texture, 0.649, 1000, "5", 200.0).count() == 200
+    # As it was called before.
+    assert texture.groupBy("tile_id").agg(F.avg(F.col("texture") / 200.0).alias("m")).where("m > 0.65D").count() > 0

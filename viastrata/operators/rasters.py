@@ -466,10 +466,11 @@ def soft_dice(pixels: DataFrame, eps: float = 1e-6) -> DataFrame:
 # Augmentation: where things go is given, so a seed decides it once.
 
 
-def textured_tiles(texture: DataFrame, above: float, k: int, seed: str) -> DataFrame:
-    """k tiles at most whose mean texture is above a bound, by a seeded order."""
+def textured_tiles(texture: DataFrame, above: float, k: int, seed: str, scale: float = 1.0) -> DataFrame:
+    """k tiles at most whose mean texture, as a share of scale, is above a bound, by a seeded order. Whole numbers with a scale are
+    summed without rounding, so a mean that equals the bound is not above it in any order of cells."""
     order = F.md5(F.concat(F.lit(seed), F.col("tile_id").cast("string")).cast("binary"))
-    return texture.groupBy(*TILE).agg(F.avg("texture").alias("m")).where(F.col("m") > above).orderBy(order, "tile_id").limit(k).select(*TILE)
+    return texture.groupBy(*TILE).agg((F.avg("texture") / scale).alias("m")).where(F.col("m") > above).orderBy(order, "tile_id").limit(k).select(*TILE)
 
 
 def cutout(pixels: DataFrame, band: str, top: int, left: int, height: int, width: int, where: Column) -> DataFrame:

@@ -329,8 +329,8 @@ def k09_map_layers(spark, d):
 
 @query("""WITH w AS (SELECT tile_id, avg(green) / 200.0::DOUBLE AS m FROM gray GROUP BY 1) SELECT tile_id FROM w WHERE m > 0.65 ORDER BY md5('5' || tile_id::VARCHAR), tile_id LIMIT 50""")
 def l06_canopy_bank(spark, d):
-    texture = X.gray(spark, d).select("tile_id", "row", "col", (F.col("green") / 200.0).alias("texture"))
-    return rasters.textured_tiles(texture, 0.65, 50, "5")
+    texture = X.gray(spark, d).select("tile_id", "row", "col", F.col("green").alias("texture"))
+    return rasters.textured_tiles(texture, 0.65, 50, "5", 200.0)
 
 
 @query("""SELECT tile_id, row, col, floor((1 - a) * red + a * green)::INTEGER AS red FROM (SELECT *, greatest(0, least(1, 1 - ((row - 4) / 4.0::DOUBLE)^2 - ((col - 4) / 4.0::DOUBLE)^2)) * 0.75::DOUBLE AS a FROM gray)""")
