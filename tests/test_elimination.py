@@ -84,3 +84,32 @@ def test_agreement_without_roads(spark):
     assert tuple(evaluation.apls_one_way(nodes, edges, none, match).first()) == (0.0, 3)
     assert tuple(evaluation.apls_one_way(nodes, none, edges, match).first()) == (1.0, 0)
     assert {r["betweenness"] for r in graph.betweenness(nodes, none).collect()} == {0.0}
+
+
+def test_potentials_of_many_roads_at_once():
+    """Of the roads of a large component each task solved one node after the other, in Python."""
+    n, edges = 25, [(k, k + 1, 1) for k in range(24)] + made(4, 25, 30, 9)
+    u, v, g = (np.array(x) for x in zip(*((a, b, 1 / w) for a, b, w in edges), strict=True))
+    network = elimination.Network(n, u, v, g)
+    lap = np.zeros((n, n))
+    for a, b, w in zip(u, v, g, strict=True):
+        lap[[a, b], [b, a]] -= w
+        lap[[a, b], [a, b]] += w
+    place = network.levels.place
+    made_ = network.potentials(place[u], place[v])[place]
+    put = np.zeros((n, len(u)))
+    put[u, np.arange(len(u))] += 1
+    put[v, np.arange(len(u))] -= 1
+    assert np.allclose(lap @ made_, put)
+
+
+@pytest.mark.parametrize("measure", [evaluation.apls, evaluation.report])
+def test_both_ways_take_each_graph_once(spark, monkeypatch, measure):
+    place = lambda shift: nodes_of(spark, 30).select("node_id", (F.col("node_id") * 40.0 + shift).alias("x"), F.lit(0.0).alias("y"))
+    graphs = place(0), frame(spark, made(3, 30, 45)), place(3), frame(spark, made(8, 30, 45))
+    whole, calls = graph.task_ways, []
+    monkeypatch.setattr(graph, "task_ways", lambda edges: calls.append(0) or whole(edges))
+    found = measure(*graphs, most=None).first()
+    assert len(calls) == 2
+    monkeypatch.setattr(graph, "task_ways", lambda _: None)
+    assert tuple(found) == pytest.approx(tuple(measure(*graphs, most=None).first()))
