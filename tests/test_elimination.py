@@ -113,3 +113,45 @@ def test_both_ways_take_each_graph_once(spark, monkeypatch, measure):
     assert len(calls) == 2
     monkeypatch.setattr(graph, "task_ways", lambda _: None)
     assert tuple(found) == pytest.approx(tuple(measure(*graphs, most=None).first()))
+
+
+def test_currents_are_solved_for_next_to_a_road(monkeypatch):
+    """A city of 4 x 1,000: the potentials of all nodes were solved for and sorted for each road."""
+    n = 4000
+    roads = [(k, k + 1, 1 + k % 3) for k in range(n - 1) if k % 4 < 3] + [(k, k + 4, 1 + k % 2) for k in range(n - 4)]
+    _, network, (a, b, g) = elimination.Network.of(*(np.array(x) for x in zip(*roads, strict=True)))
+    some = slice(3000, 3064)
+    met, whole = [], elimination.Levels.next_below
+    monkeypatch.setattr(elimination.Levels, "next_below", lambda *x: met.append(whole(*x)) or met[-1])
+    found = network.flows(a[some], b[some], g[some])
+    assert sum(map(len, met)) < n / 4
+    x = np.sort(network.potentials(a[some], b[some]), axis=0)
+    total, want = g[some] * ((2 * np.arange(n) - n + 1) @ x), np.zeros(n)
+    np.add.at(want, a[some], total)
+    np.add.at(want, b[some], total)
+    assert np.allclose(found, want[network.levels.place], rtol=1e-12)
+
+
+def test_current_flow_of_held_and_of_dealt_roads(spark):
+    nodes, edges = nodes_of(spark, 30), frame(spark, made(4, 30, 45) + [(28, 29, 2)])
+    want = rows(graph.current_flow(nodes, edges), "node_id", "current_flow")
+    members = graph.components(nodes, edges)
+    members = members.join(members.groupBy("component").agg(F.count("*").alias("n")), "component").where("n > 1")
+    for task_edges in (graph.TASK_EDGES, 0):
+        found = dict(rows(graph._large_current_flow(members, edges, task_edges, 3), "node_id", "current_flow"))
+        assert found == pytest.approx({k: x for k, x in want if k in found})
+
+
+def test_betweenness_takes_each_pair_once(spark, monkeypatch):
+    """Ways go from the end of the later turn, for both ways; to nodes that are not asked for, from the one that is."""
+    nodes, edges = nodes_of(spark, 20), frame(spark, made(7, 30, 45))
+    taken, batch = [], elimination.Ways._batch
+    monkeypatch.setattr(elimination.Ways, "_batch", lambda self, sources, until, *rest: taken.append((len(sources), until)) or batch(self, sources, until, *rest))
+    ways = graph.task_ways(edges)
+    everything = np.ones(len(ways.ids), bool)
+    whole = ways.betweenness(0, 1, everything)
+    assert np.allclose(whole, sum(ways.betweenness(k, 3, everything) for k in range(3)))
+    assert taken[:2] == [(len(ways.ids) // 2, len(ways.ids)), (len(ways.ids) - len(ways.ids) // 2, len(ways.ids) - len(ways.ids) // 2)]
+    found = rows(graph.betweenness(nodes, edges), "node_id", "betweenness")
+    monkeypatch.setattr(graph, "task_ways", lambda _: None)
+    assert np.allclose(found, rows(graph.betweenness(nodes, edges), "node_id", "betweenness"))

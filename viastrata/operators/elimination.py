@@ -17,13 +17,17 @@ import numpy as np
 EQUAL = 1e-9
 #: Steps of taking nodes out after which a graph is too dense for it; cells (node, source) that are worked on at a time.
 MOST_STEPS, SWEEP_CELLS = 30_000_000, 4_000_000
+#: Cells (node, road) that are solved for at a time; potentials are equal that differ by less, where a road's ends can differ by 1.
+SOLVE_CELLS, FLAT = 8_000_000, 2.0**-50
 #: Neighbours of a group at most, so that what is worked on stays in a processor's cache.
 GROUP_ROWS = 2048
 
 
 class Levels:
     """Nodes 0..n-1 in the order they were taken out, each with the neighbours it had then and what led there: `values`, a row of
-    numbers for each neighbour. Places put the last node first, so neighbours come before; groups are of one level and degree."""
+    numbers for each neighbour. Places put the last node first, so neighbours come before; groups are of one level and degree.
+    Nodes are a tree, too: `up` from each; `turn` counts them with all below a node next to it, and its neighbours before it, so
+    the first turns up to any are all that ways between these lead over."""
 
     def __init__(self, n: int, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray):
         degree = np.diff(starts)
@@ -33,13 +37,18 @@ class Levels:
                 near = ends[a:b]
                 up[k] = near[np.argmax(level[near])]
                 level[k] = level[up[k]] + 1
+        turn, size = _turns(order, up)
         node_degree, node_start = np.zeros(n, np.int64), np.zeros(n, np.int64)
         node_degree[order], node_start[order] = degree, starts[:-1]
-        self.n, self.nodes = n, np.lexsort((node_degree, level))
+        self.n, self.nodes = n, np.lexsort((turn, node_degree, level))
+        #: Of each place its turn, and how many nodes are below it, itself included.
+        self.turn, self.size = turn[self.nodes], size[self.nodes]
         self.place = np.empty(n, np.int64)
         self.place[self.nodes] = np.arange(n)
         # The neighbour taken out first: all others are met going on from it.
         self.up = np.where(up[self.nodes] < 0, -1, self.place[up[self.nodes]])
+        self.down = np.argsort(self.up, kind="stable")
+        self.first_down = np.searchsorted(self.up[self.down], np.arange(n + 1))
         sizes, first = node_degree[self.nodes], node_start[self.nodes]
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         taken = np.repeat(first - self.starts[:-1], sizes) + np.arange(self.starts[-1])
@@ -50,6 +59,20 @@ class Levels:
         #: (first place, end, first neighbour, end, degree) of each group that has neighbours.
         self.groups = [(a, b, int(self.starts[a]), int(self.starts[b]), int(sizes[a])) for a, b in cuts]
 
+    def until(self, turn: int) -> list[tuple[int, int, int, int, int]]:
+        """The groups' parts of turns before this one."""
+        counts = np.concatenate([[0], np.cumsum(self.turn < turn)])
+        return [(a, a + m, i, i + m * degree, degree) for a, b, i, _, degree in self.groups if (m := int(counts[b] - counts[a]))]
+
+    def share(self, part: int, parts: int) -> list[np.ndarray]:
+        """Places in turn, of `parts` that are as much work each one, if a place is as much work as turns come before it."""
+        runs = np.array_split(np.argsort(self.turn), 2 * parts)
+        return [r for r in (runs[2 * parts - 1 - part], runs[part]) if len(r)]
+
+    def next_below(self, places: np.ndarray) -> np.ndarray:
+        """All places whose `up` is among these."""
+        return _ranges(self.down, self.first_down[places], self.first_down[places + 1])
+
     def above(self, places: np.ndarray) -> np.ndarray:
         """The places and all that are met going up from them, sorted."""
         seen: set[int] = set()
@@ -60,6 +83,30 @@ class Levels:
         return np.array(sorted(seen), np.int64)
 
 
+def _turns(order: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node its turn as the tree is walked, and how many nodes are below it, itself included."""
+    above, n = up.tolist(), len(up)
+    size, turn, free, roots = [1] * n, [0] * n, [0] * n, 0
+    for k in order.tolist():
+        if above[k] >= 0:
+            size[above[k]] += size[k]
+    for k in order[::-1].tolist():
+        if above[k] >= 0:
+            turn[k] = free[above[k]]
+            free[above[k]] += size[k]
+        else:
+            turn[k] = roots
+            roots += size[k]
+        free[k] = turn[k] + 1
+    return np.array(turn, np.int64), np.array(size, np.int64)
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+
+
 def eliminate(n: int, near: list[dict], mesh: Callable[[list[dict], list], list], most_steps: int | None = None) -> Levels | None:
     """Takes out nodes, those of few neighbours first. near: of each node its neighbours' values, the same from both ends;
     mesh(near, found) joins the neighbours (node, value) of the node that goes, and gives the row of numbers to keep for each. None
@@ -121,6 +168,18 @@ def _conducting(near: list[dict], found: list) -> list:
 class Network:
     """Currents in a network of roads u, v between nodes 0..n-1, of conductances g. Each component's last node is at 0."""
 
+    @classmethod
+    def of(cls, u: np.ndarray, v: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, Network, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of the nodes, the network between these, and its roads: places and conductances, in turn."""
+        # One order of the roads, so that all who make it take nodes out alike.
+        order = np.lexsort((length, v, u))
+        ids, at = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+        a, b, g = at[: len(u)], at[len(u) :], 1 / np.maximum(length[order], 1e-9)
+        network = cls(len(ids), a, b, g)
+        a, b, turn = network.levels.place[a], network.levels.place[b], network.levels.turn
+        order = np.argsort(np.maximum(turn[a], turn[b]), kind="stable")
+        return ids, network, (a[order], b[order], g[order])
+
     def __init__(self, n: int, u: np.ndarray, v: np.ndarray, g: np.ndarray):
         near: list[dict] = [{} for _ in range(n)]
         for a, b, w in zip(u.tolist(), v.tolist(), g.tolist(), strict=True):
@@ -146,6 +205,63 @@ class Network:
         return x
 
 
+    def flows(self, a: np.ndarray, b: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Of each node, the sum over all pairs of nodes of the currents in roads (places a, b, conductances g) that it has, as one
+        unit goes from one node of a pair to the other. Roads next to each other should come together."""
+        sums, step = np.zeros(self.levels.n), max(1, min(64, SOLVE_CELLS // self.levels.n))
+        for k in range(0, len(a), step):
+            # A unit between s and t gives a road what a unit between the road's ends gives as difference of s and t.
+            p, q = a[k : k + step], b[k : k + step]
+            total = self._differences(p, q, g[k : k + step])
+            np.add.at(sums, p, total)
+            np.add.at(sums, q, total)
+        return sums[self.levels.place]
+
+    def _differences(self, a: np.ndarray, b: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Of each road, the sum over all pairs of nodes of the difference of their potentials times g. Potentials below a node lie
+        between those of its neighbours, unless a current goes in there; where these are equal but for rounding, so are all below."""
+        levels, column = self.levels, np.arange(len(a))
+        high = levels.above(np.concatenate([a, b]))
+        row = np.full(levels.n, -1)
+        row[high] = np.arange(len(high))
+        put = np.zeros((len(high), len(a)))
+        put[row[a], column] += 1
+        put[row[b], column] -= 1
+        for k in range(len(high) - 1, -1, -1):
+            i, j = levels.starts[high[k]], levels.starts[high[k] + 1]
+            put[row[levels.ends[i:j]]] += self.flow[i:j] / self.total[i:j] * put[k]
+        x, bound = np.empty((levels.n, len(a))), FLAT / g
+        degree = np.diff(levels.starts)
+        now = np.flatnonzero(degree == 0)
+        x[now] = 0
+        met, counts = [now], [np.ones(len(now), np.int64)]
+        while len(now := levels.next_below(now)):
+            now = now[np.argsort(degree[now], kind="stable")]
+            cuts, left = [0, *(np.flatnonzero(np.diff(degree[now])) + 1).tolist(), len(now)], []
+            for c, d in pairwise(cuts):
+                size = int(degree[now[c]])
+                for k in range(c, d, step := max(1, GROUP_ROWS // size)):
+                    part = now[k : min(k + step, d)]
+                    at = levels.starts[part][:, None] + np.arange(size)
+                    near = x[levels.ends[at]]
+                    flat = ((near.max(axis=1) - near.min(axis=1)) <= bound).all(axis=1) & (row[part] < 0)
+                    near *= self.flow[at]
+                    made, fed = near.sum(axis=1), np.flatnonzero(row[part] >= 0)
+                    made[fed] += put[row[part[fed]]]
+                    made /= self.total[at[:, 0]]
+                    x[part] = made
+                    met.append(part)
+                    counts.append(np.where(flat, levels.size[part], 1))
+                    left.append(part[~flat])
+            now = np.concatenate(left)
+        values, counts = np.ascontiguousarray(x[np.concatenate(met)].T), np.concatenate(counts)
+        order = np.argsort(values, axis=1)
+        values, counts = np.take_along_axis(values, order, axis=1), counts[order]
+        before = np.cumsum(counts, axis=1) - counts
+        # The k-th of n sorted values is taken k times from others, and n - 1 - k times others are taken from it.
+        return g * (values * (counts * (2 * before + counts - levels.n))).sum(axis=1)
+
+
 class Ways:
     """Shortest ways of a graph of roads u, v, length above 0 between nodes `ids` (sorted)."""
 
@@ -169,14 +285,19 @@ class Ways:
         return None if levels is None else cls(ids, levels)
 
     def batches(self, sources: np.ndarray, cells: int = SWEEP_CELLS) -> Iterator[np.ndarray]:
-        """Places of sources, a batch at a time, those that go up alike together."""
-        asked = self.levels.place[np.searchsorted(self.ids, np.sort(sources))]
+        """Places of sources (ids) in turn, a batch at a time, so those that go up alike are together."""
+        places = self.levels.place[np.searchsorted(self.ids, sources)]
+        yield from self.in_turn(places[np.argsort(self.levels.turn[places])], cells)
+
+    def in_turn(self, places: np.ndarray, cells: int = SWEEP_CELLS) -> Iterator[np.ndarray]:
+        """Places, a batch at a time."""
         size = max(1, min(256, cells // max(1, self.levels.n)))
-        for k in range(0, len(asked), size):
-            yield asked[k : k + size]
+        for k in range(0, len(places), size):
+            yield places[k : k + size]
 
-    def distances(self, sources: np.ndarray) -> np.ndarray:
-        """Row: a place; column: a source's place; a negative place reaches nothing."""
+    def distances(self, sources: np.ndarray, until: int | None = None) -> np.ndarray:
+        """Row: a place; column: a source's place; a negative place reaches nothing. With until, of turns before it only, the
+        sources' among them."""
         levels = self.levels
         dist = np.full((levels.n, len(sources)), np.inf)
         some = np.flatnonzero(sources >= 0)
@@ -185,26 +306,31 @@ class Ways:
             a, b = levels.starts[p], levels.starts[p + 1]
             ends = levels.ends[a:b]
             dist[ends] = np.minimum(dist[ends], dist[p] + self.length[a:b, None])
-        for a, b, i, j, degree in levels.groups:
+        for a, b, i, j, degree in levels.groups if until is None else levels.until(until):
             offers = dist.take(levels.ends[i:j], axis=0)
             offers += self.length[i:j, None]
             np.minimum(dist[a:b], offers.reshape(b - a, degree, -1).min(axis=1), out=dist[a:b])
         return dist
 
-    def betweenness(self, sources: np.ndarray) -> np.ndarray:
-        """Of each id, the shares of the shortest ways from the sources (ids) to all other nodes that lead over it."""
+    def betweenness(self, part: int, parts: int, asked: np.ndarray) -> np.ndarray:
+        """Of each id, the shares of the shortest ways from asked ids (booleans) to all others that lead over it. Of `parts` that
+        add up to all ways, each as much work, one: a way is taken from its end of the later turn, for both ways that are asked."""
         levels = self.levels
         roads, load = np.zeros(len(levels.ends)), np.zeros(levels.n)
-        merged = [_merge(levels.ends[i:j]) for _, _, i, j, _ in levels.groups]
+        weight = asked[levels.nodes].astype(float)
         with np.errstate(invalid="ignore", divide="ignore"):
-            for batch in self.batches(sources):
-                self._batch(batch, roads, load, merged)
+            for places in levels.share(part, parts):
+                until = int(levels.turn[places[-1]]) + 1
+                groups = levels.until(until)
+                merged = [_merge(levels.ends[i:j]) for _, _, i, j, _ in groups]
+                for batch in self.in_turn(places):
+                    self._batch(batch, until, groups, merged, weight, roads, load)
             self._unpack(roads, load)
         out = np.empty(levels.n)
         out[levels.nodes] = load
         return out
 
-    def _batch(self, sources: np.ndarray, roads: np.ndarray, load: np.ndarray, merged: list) -> None:
+    def _batch(self, sources: np.ndarray, until: int, groups: list, merged: list, weight: np.ndarray, roads: np.ndarray, load: np.ndarray) -> None:
         """Adds what goes over roads that are left by nodes taken out, and over nodes."""
         levels, column = self.levels, np.arange(len(sources))
         dist, ways = np.full((levels.n, len(sources)), np.inf), np.zeros((levels.n, len(sources)))
@@ -219,7 +345,7 @@ class Ways:
             dist[ends] = np.minimum(now, offer)
         up_dist, up_ways = dist[high], ways[high]
         tight = np.empty((len(levels.ends), len(sources)), bool)
-        for a, b, i, j, degree in levels.groups:
+        for a, b, i, j, degree in groups:
             offers = dist.take(levels.ends[i:j], axis=0)
             offers += self.length[i:j, None]
             offers = offers.reshape(b - a, degree, -1)
@@ -234,31 +360,28 @@ class Ways:
             own *= dist[a:b] <= bound
             own += more.sum(axis=1)
             dist[a:b] = best
-        # What goes to a node, and over it to others; first for all ways down, the last nodes of a way first.
-        flow = np.isfinite(dist).astype(float)
-        flow[sources, column] = 0
-        asked = flow.sum(axis=1)
-        for (a, b, i, j, degree), parts in zip(levels.groups[::-1], merged[::-1], strict=True):
-            each = flow[a:b] / ways[a:b]
-            each[ways[a:b] == 0] = 0
-            moved = ways.take(levels.ends[i:j], axis=0)
-            moved *= self.count[i:j, None]
-            moved *= tight[i:j]
+        # What goes to a node and over it to others, for each way to it; first for all ways down, the last nodes of a way first.
+        asked = np.isfinite(dist) * (weight[:, None] + weight[sources])
+        late = np.flatnonzero((levels.turn >= levels.turn[sources[0]]) & (levels.turn < until))
+        asked[late] *= levels.turn[late, None] < levels.turn[sources]
+        owed = asked / ways
+        owed[ways == 0] = 0
+        for (a, b, i, j, degree), parts in zip(groups[::-1], merged[::-1], strict=True):
+            moved = np.multiply(tight[i:j], self.count[i:j, None])
             by_node = moved.reshape(b - a, degree, -1)
-            by_node *= each[:, None, :]
-            roads[i:j] += moved.sum(axis=1)
+            by_node *= owed[a:b, None, :]
+            roads[i:j] += np.einsum("ij,ij->i", moved, ways.take(levels.ends[i:j], axis=0))
             for places, rows in parts:
                 if rows is None:
-                    np.add.at(flow, places, moved)
+                    np.add.at(owed, places, moved)
                 else:
-                    flow[places] += moved.take(rows, axis=0)
-        through = flow.sum(axis=1) - asked
-        np.subtract.at(through, sources, flow[sources, column])
+                    owed[places] += moved.take(rows, axis=0)
+        through = np.einsum("ij,ij->i", owed, ways) - asked.sum(axis=1)
+        np.subtract.at(through, sources, owed[sources, column])
         load += through
         # Then for the ways up, back to the source.
         best = dist[high]
-        back = flow[high] * up_ways * (up_dist <= best + EQUAL * (1 + best)) / ways[high]
-        back[ways[high] == 0] = 0
+        back = owed[high] * up_ways * (up_dist <= best + EQUAL * (1 + best))
         row = np.full(levels.n, -1)
         row[high] = np.arange(len(high))
         for k, p in enumerate(high.tolist()):

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpoint, largest_group, rank_within
@@ -20,8 +20,8 @@ from .elimination import Network, Ways
 
 #: Edges of the largest graph that one task takes whole.
 TASK_EDGES = 300_000
-#: Rows (source, node) that a batch of rounds works on; cells (node, road) that a task solves for at a time.
-ROUND_ROWS, SOLVE_CELLS = 20_000_000, 8_000_000
+#: Rows (source, node) that a batch of rounds works on.
+ROUND_ROWS = 20_000_000
 #: Rounds after which a loop that has not settled is an error.
 MOST_ROUNDS = 10_000
 
@@ -405,6 +405,16 @@ def by_sources(sources: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame],
     return sources.select(F.col("node_id").cast("long").alias("node_id")).repartitionByRange(spread, "node_id").mapInPandas(run, schema)
 
 
+def by_parts(spark: SparkSession, kernel: Callable[[int], pd.DataFrame], schema: str, parts: int) -> DataFrame:
+    """What kernel(part) gives for each part from 0, a task each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield from (kernel(part) for part in b["id"].tolist())
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node_id, betweenness): share of the shortest ways between other nodes that lead over each, by length (Brandes 2001).
     Sources are dealt to tasks, each with the graph: as levels of nodes that are taken out, or, where it is dense or has roads of
@@ -415,9 +425,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, t
         found = _betweenness_by_rounds(nodes, edges, max(1, ROUND_ROWS // max(n, 1)))
         return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
-    def by_levels(sources: np.ndarray) -> pd.DataFrame:
-        known = sources[np.isin(sources, ways.ids)]
-        return pd.DataFrame({"node_id": ways.ids, "b": ways.betweenness(known)})
+    def by_levels(part: int) -> pd.DataFrame:
+        return pd.DataFrame({"node_id": ways.ids, "b": ways.betweenness(part, spread, asked)})
 
     def kernel(pdf: pd.DataFrame, sources: list[int]) -> pd.DataFrame:
         near = _adjacency(pdf)
@@ -452,7 +461,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, t
 
     spread, columns = spread or spread_of(nodes), "node_id long, b double"
     ways = task_ways(edges)
-    parts = by_sources(nodes, by_levels, columns, spread) if ways is not None else _per_source(nodes, edges, kernel, columns, spread)
+    if ways is None:
+        parts = _per_source(nodes, edges, kernel, columns, spread)
+    else:
+        ends = symmetric(edges).select(F.col("u").alias("node_id")).distinct()
+        asked = np.isin(ways.ids, nodes.select(F.col("node_id").cast("long").alias("node_id")).join(ends, "node_id", "left_semi").toArrow().column(0).to_numpy())
+        parts = by_parts(nodes.sparkSession, by_levels, columns, spread)
     found = parts.groupBy("node_id").agg(F.sum("b").alias("b"))
     return nodes.select("node_id").join(found, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
@@ -507,44 +521,46 @@ def current_flow(nodes: DataFrame, edges: DataFrame, most_nodes: int = 3000) ->
     return _small_current_flow(c, edges)
 
 
-def _large_current_flow(members: DataFrame, edges: DataFrame, spread: int = 32) -> DataFrame:
+def _large_current_flow(members: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES, spread: int = 32) -> DataFrame:
     """Of components (component, node_id, n): the same as _small_current_flow, without a matrix of all nodes by all nodes."""
-    part = F.pmod(F.xxhash64("src", "dst"), F.lit(spread))
-    roads = edges.where("src <> dst").join(members.select(F.col("node_id").alias("src"), "component"), "src").select("component", "src", "dst", "length", part.alias("_part"))
+    roads = edges.where("src <> dst").join(members.select(F.col("node_id").alias("src"), "component"), "src").select("component", "src", "dst", "length")
     roads = checkpoint(roads)
-    deal = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
-    held = roads.select(F.col("component").alias("_c"), "src", "dst", "length", deal.alias("_deal"))
-
-    def kernel(asked: pd.DataFrame, roads_: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"node_id": [], "f": []})
-        # One order of the roads, so that all tasks take nodes out alike.
-        roads_ = roads_.sort_values(["src", "dst", "length"])
-        ids = np.unique(roads_[["src", "dst"]].to_numpy())
-        n = len(ids)
-        u, v = np.searchsorted(ids, roads_["src"].to_numpy()), np.searchsorted(ids, roads_["dst"].to_numpy())
-        network = Network(n, u, v, 1 / np.maximum(roads_["length"].to_numpy(), 1e-9))
-        place = network.levels.place
-        asked = asked.sort_values(["src", "dst", "length"])
-        a, b = np.searchsorted(ids, asked["src"].to_numpy()), np.searchsorted(ids, asked["dst"].to_numpy())
-        g = 1 / np.maximum(asked["length"].to_numpy(), 1e-9)
-        flow, weight = np.zeros(n), 2 * np.arange(n) - n + 1
-        step = max(1, min(256, SOLVE_CELLS // n))
-        for k in range(0, len(a), step):
-            p, q = a[k : k + step], b[k : k + step]
-            # As there: a road's current by all pairs is g (x_s - x_t), its sum comes from the sorted column.
-            total = g[k : k + step] * (np.sort(network.potentials(place[p], place[q]).T, axis=1) @ weight)
-            np.add.at(flow, p, total)
-            np.add.at(flow, q, total)
-        some = np.flatnonzero(flow)
-        return pd.DataFrame({"node_id": ids[some], "f": flow[some]})
-
-    found = roads.groupBy("component", "_part").cogroup(held.groupBy("_c", "_deal")).applyInPandas(kernel, "node_id long, f double").groupBy("node_id").agg(F.sum("f").alias("f"))
+    if roads.count() <= task_edges:
+        found = _currents_of_held(roads, spread_of(members))
+    else:
+        found = _currents_by_tasks(roads, spread)
+    found = found.groupBy("node_id").agg(F.sum("f").alias("f"))
     n = F.col("n")
     share = F.greatest(F.col("f") / 2 - (n - 1) / 2, F.lit(0.0)) / ((n - 1) * (n - 2) / 2)
     return members.join(found, "node_id", "left").select("node_id", F.when((n > 2) & F.col("f").isNotNull(), share).otherwise(F.lit(0.0)).alias("current_flow"))
 
 
+def _currents_of_held(roads: DataFrame, spread: int) -> DataFrame:
+    """(node_id, f): nodes are taken out once, here; the roads are dealt in runs that lie together."""
+    rows = roads.select("component", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("length").cast("double")).toArrow()
+    component, *rest = (rows.column(k).to_numpy() for k in range(4))
+    made = [Network.of(*(x[component == c] for x in rest)) for c in np.unique(component)]
+
+    def kernel(part: int) -> pd.DataFrame:
+        found = [(ids, network.flows(*(np.array_split(x, spread)[part] for x in held))) for ids, network, held in made]
+        return pd.DataFrame({"node_id": np.concatenate([ids for ids, _ in found]), "f": np.concatenate([f for _, f in found])})
+
+    return by_parts(roads.sparkSession, kernel, "node_id long, f double", spread)
+
+
+def _currents_by_tasks(roads: DataFrame, spread: int) -> DataFrame:
+    """(node_id, f): each task takes out the nodes of a component, and deals itself a run of its roads."""
+    deal = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+    held = roads.select("component", "src", "dst", "length", deal.alias("_deal"))
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        part = int(rows["_deal"].iloc[0])
+        ids, network, mine = Network.of(*(rows[c].to_numpy() for c in ("src", "dst", "length")))
+        return pd.DataFrame({"node_id": ids, "f": network.flows(*(np.array_split(x, spread)[part] for x in mine))})
+
+    return held.groupBy("component", "_deal").applyInPandas(kernel, "node_id long, f double")
+
+
 def _small_current_flow(c: DataFrame, edges: DataFrame) -> DataFrame:
     roads = edges.join(c.select(F.col("node_id").alias("src"), F.col("component").alias("_part")), "src").select("_part", "src", "dst", "length")
 
