@@ -147,7 +147,7 @@ def test_betweenness_takes_each_pair_once(spark, monkeypatch):
     nodes, edges = nodes_of(spark, 20), frame(spark, made(7, 30, 45))
     taken, batch = [], elimination.Ways._batch
     monkeypatch.setattr(elimination.Ways, "_batch", lambda self, sources, until, *rest: taken.append((len(sources), until)) or batch(self, sources, until, *rest))
-    ways = graph.task_ways(edges)
+    ways = elimination.Ways.of(*graph.task_ways(edges))
     everything = np.ones(len(ways.ids), bool)
     whole = ways.betweenness(0, 1, everything)
     assert np.allclose(whole, sum(ways.betweenness(k, 3, everything) for k in range(3)))
@@ -155,3 +155,31 @@ def test_betweenness_takes_each_pair_once(spark, monkeypatch):
     found = rows(graph.betweenness(nodes, edges), "node_id", "betweenness")
     monkeypatch.setattr(graph, "task_ways", lambda _: None)
     assert np.allclose(found, rows(graph.betweenness(nodes, edges), "node_id", "betweenness"))
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("whole", [True, False])
+def test_agreement_both_ways_against_all_pairs(seed, whole):
+    """Matches that are not matched back, or shared, or off the other graph's roads; nodes that are not asked for."""
+    rng = random.Random(seed)
+    roads = [made(seed, 24, 30, 5), made(seed + 50, 20, 26, 5)]
+    arrays = [tuple(np.array(x) for x in zip(*r, strict=True)) for r in roads]
+    at = lambda most: rng.randrange(most) if seed % 2 else 23 - rng.randrange(2)
+    twins = [{k: k if rng.random() < 0.7 else at(most) for k in range(n) if rng.random() < 0.9} for n, most in ((24, 22), (20, 26))]
+    asked = [np.array([k for k in range(n) if whole or rng.random() < 0.6]) for n in (24, 20)]
+    dist = [floyd(30, r) for r in roads]
+    want = np.zeros((2, 2))
+    for g in range(2):
+        for s in range(30):
+            for t in range(s + 1, 30):
+                if s in asked[g] and dist[g][s, t] < np.inf:
+                    a, b = twins[g].get(s), twins[g].get(t)
+                    on = {x for r in roads[1 - g] for x in r[:2]}
+                    other = dist[1 - g][a, b] if a in on and b in on else np.inf
+                    want[g] += min(1, abs(dist[g][s, t] - other) / dist[g][s, t]), 1
+    matches = [(np.array(list(t)), np.array(list(t.values()))) for t in twins]
+    both = elimination.Agreement.of(arrays, asked, matches)
+    for parts in (1, 3):
+        assert np.allclose(sum(both.sums(k, parts) for k in range(parts)), want)
+    one = elimination.Agreement.of(arrays, asked, [matches[0], (np.zeros(0, int), np.zeros(0, int))])
+    assert np.allclose(one.sums(0, 1, 1), want[:1])

@@ -16,11 +16,15 @@ import numpy as np
 #: Lengths are equal within this share.
 EQUAL = 1e-9
 #: Steps of taking nodes out after which a graph is too dense for it; cells (node, source) that are worked on at a time.
-MOST_STEPS, SWEEP_CELLS = 30_000_000, 4_000_000
+MOST_STEPS, SWEEP_CELLS = 30_000_000, 6_000_000
 #: Cells (node, road) that are solved for at a time; potentials are equal that differ by less, where a road's ends can differ by 1.
 SOLVE_CELLS, FLAT = 8_000_000, 2.0**-50
 #: Neighbours of a group at most, so that what is worked on stays in a processor's cache.
-GROUP_ROWS = 2048
+GROUP_ROWS = 512
+#: Pairs of neighbours that are worked on at a time.
+PAIR_CELLS = 1_000_000
+#: Places whose differences are worked on at a time.
+AGREE_ROWS = 2048
 
 
 class Levels:
@@ -54,10 +58,15 @@ class Levels:
         taken = np.repeat(first - self.starts[:-1], sizes) + np.arange(self.starts[-1])
         self.ends, self.values = self.place[ends[taken]], values[taken]
         kind = np.stack([level[self.nodes], sizes], 1)
-        ranges = [0, *(np.flatnonzero((kind[1:] != kind[:-1]).any(axis=1)) + 1).tolist(), n]
-        cuts = [(k, min(k + step, b)) for a, b in pairwise(ranges) if sizes[a : a + 1].sum() for step in [max(1, GROUP_ROWS // int(sizes[a]))] for k in range(a, b, step)]
-        #: (first place, end, first neighbour, end, degree) of each group that has neighbours.
-        self.groups = [(a, b, int(self.starts[a]), int(self.starts[b]), int(sizes[a])) for a, b in cuts]
+        runs = [0, *(np.flatnonzero((kind[1:] != kind[:-1]).any(axis=1)) + 1).tolist(), n]
+        self.roots = np.flatnonzero(sizes == 0)
+        self.runs = [(a, b, int(sizes[a])) for a, b in pairwise(runs) if sizes[a : a + 1].sum()]
+        self.groups = self.cut(GROUP_ROWS, lambda degree: degree)
+
+    def cut(self, most: int, cells: Callable[[int], int]) -> list[tuple[int, int, int, int, int]]:
+        """(first place, end, first neighbour, end, degree) of groups that have neighbours, of as many nodes as have `most` cells."""
+        cuts = [(k, min(k + step, b)) for a, b, degree in self.runs for step in [max(1, most // cells(degree))] for k in range(a, b, step)]
+        return [(a, b, int(self.starts[a]), int(self.starts[b]), int(self.starts[a + 1] - self.starts[a])) for a, b in cuts]
 
     def until(self, turn: int) -> list[tuple[int, int, int, int, int]]:
         """The groups' parts of turns before this one."""
@@ -155,6 +164,18 @@ def _shorter(near: list[dict], found: list) -> list:
     return [x for _, x in found]
 
 
+def _shorter_both(near: list[dict], found: list) -> list:
+    """Roads (length in one graph, in another): the shorter one in each."""
+    for i, (a, (x, y)) in enumerate(found):
+        at = near[a]
+        for b, (p, q) in found[:i]:
+            p, q = p + x, q + y
+            if (known := at.get(b)) is not None:
+                p, q = min(p, known[0]), min(q, known[1])
+            at[b] = near[b][a] = (p, q)
+    return [x for _, x in found]
+
+
 def _conducting(near: list[dict], found: list) -> list:
     """Conductances: a star's mesh. Kept are a neighbour's conductance and that of all."""
     total = sum(x for _, x in found)
@@ -240,7 +261,7 @@ class Network:
             cuts, left = [0, *(np.flatnonzero(np.diff(degree[now])) + 1).tolist(), len(now)], []
             for c, d in pairwise(cuts):
                 size = int(degree[now[c]])
-                for k in range(c, d, step := max(1, GROUP_ROWS // size)):
+                for k in range(c, d, step := max(1, 4 * GROUP_ROWS // size)):
                     part = now[k : min(k + step, d)]
                     at = levels.starts[part][:, None] + np.arange(size)
                     near = x[levels.ends[at]]
@@ -323,17 +344,23 @@ class Ways:
                 until = int(levels.turn[places[-1]]) + 1
                 groups = levels.until(until)
                 merged = [_merge(levels.ends[i:j]) for _, _, i, j, _ in groups]
+                # Taken once, as new pages cost as much as what is done with them.
+                size = len(next(self.in_turn(places)))
+                held = [np.empty(levels.n * size) for _ in range(3)] + [np.empty(len(levels.ends) * size, bool)]
                 for batch in self.in_turn(places):
-                    self._batch(batch, until, groups, merged, weight, roads, load)
+                    self._batch(batch, until, groups, merged, weight, roads, load, held)
             self._unpack(roads, load)
         out = np.empty(levels.n)
         out[levels.nodes] = load
         return out
 
-    def _batch(self, sources: np.ndarray, until: int, groups: list, merged: list, weight: np.ndarray, roads: np.ndarray, load: np.ndarray) -> None:
+    def _batch(self, sources: np.ndarray, until: int, groups: list, merged: list, weight: np.ndarray, roads: np.ndarray, load: np.ndarray, held: list[np.ndarray]) -> None:
         """Adds what goes over roads that are left by nodes taken out, and over nodes."""
         levels, column = self.levels, np.arange(len(sources))
-        dist, ways = np.full((levels.n, len(sources)), np.inf), np.zeros((levels.n, len(sources)))
+        dist, ways, owed, tight = (x[: rows * len(sources)].reshape(rows, -1) for x, rows in zip(held, [levels.n] * 3 + [len(levels.ends)], strict=True))
+        dist.fill(np.inf)
+        ways.fill(0)
+        owed.fill(0)
         dist[sources, column], ways[sources, column] = 0, 1
         high = levels.above(sources)
         for p in high[::-1].tolist():
@@ -344,7 +371,6 @@ class Ways:
             ways[ends] = np.where(offer + slack < now, more, ways[ends] + np.where(offer <= now + slack, more, 0))
             dist[ends] = np.minimum(now, offer)
         up_dist, up_ways = dist[high], ways[high]
-        tight = np.empty((len(levels.ends), len(sources)), bool)
         for a, b, i, j, degree in groups:
             offers = dist.take(levels.ends[i:j], axis=0)
             offers += self.length[i:j, None]
@@ -361,24 +387,31 @@ class Ways:
             own += more.sum(axis=1)
             dist[a:b] = best
         # What goes to a node and over it to others, for each way to it; first for all ways down, the last nodes of a way first.
-        asked = np.isfinite(dist) * (weight[:, None] + weight[sources])
-        late = np.flatnonzero((levels.turn >= levels.turn[sources[0]]) & (levels.turn < until))
-        asked[late] *= levels.turn[late, None] < levels.turn[sources]
-        owed = asked / ways
-        owed[ways == 0] = 0
+        since = levels.turn[sources[0]]
+
+        def pass_on(rows: slice | np.ndarray) -> np.ndarray:
+            asked = np.isfinite(dist[rows]) * (weight[rows, None] + weight[sources])
+            if levels.turn[rows].max(initial=-1) >= since:
+                asked *= levels.turn[rows, None] < levels.turn[sources]
+            load[rows] += np.einsum("ij,ij->i", owed[rows], ways[rows])
+            each = asked / ways[rows]
+            each[ways[rows] == 0] = 0
+            owed[rows] += each
+            return owed[rows]
+
         for (a, b, i, j, degree), parts in zip(groups[::-1], merged[::-1], strict=True):
+            each = pass_on(slice(a, b))
             moved = np.multiply(tight[i:j], self.count[i:j, None])
             by_node = moved.reshape(b - a, degree, -1)
-            by_node *= owed[a:b, None, :]
+            by_node *= each[:, None, :]
             roads[i:j] += np.einsum("ij,ij->i", moved, ways.take(levels.ends[i:j], axis=0))
             for places, rows in parts:
-                if rows is None:
-                    np.add.at(owed, places, moved)
+                if rows.ndim == 2:
+                    owed[places] += rows.astype(float) @ moved
                 else:
                     owed[places] += moved.take(rows, axis=0)
-        through = np.einsum("ij,ij->i", owed, ways) - asked.sum(axis=1)
-        np.subtract.at(through, sources, owed[sources, column])
-        load += through
+        pass_on(levels.roots[levels.turn[levels.roots] < until])
+        np.subtract.at(load, sources, owed[sources, column])
         # Then for the ways up, back to the source.
         best = dist[high]
         back = owed[high] * up_ways * (up_dist <= best + EQUAL * (1 + best))
@@ -402,27 +435,142 @@ class Ways:
         keys = owner * levels.n + levels.ends
         turn = np.argsort(keys)
         keys = keys[turn]
-        for a, b, i, j, degree in levels.groups:
+        for a, b, i, j, degree in levels.cut(PAIR_CELLS, lambda degree: degree * degree):
             ends, length, count = (x[i:j].reshape(b - a, degree) for x in (levels.ends, self.length, self.count))
-            own = roads[i:j].reshape(b - a, degree)
-            for x in range(degree):
-                for y in range(x):
-                    p, q = np.maximum(ends[:, x], ends[:, y]), np.minimum(ends[:, x], ends[:, y])
-                    at = turn[np.searchsorted(keys, p * levels.n + q)]
-                    way = length[:, x] + length[:, y]
-                    share = np.where(way <= self.length[at] + EQUAL * (1 + way), count[:, x] * count[:, y] / self.count[at], 0)
-                    moved = roads[at] * share
-                    own[:, x] += moved
-                    own[:, y] += moved
-                    load[a:b] += moved
-
-
-def _merge(places: np.ndarray, most: int = 64) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """(places that differ, their rows): rows are added up in as many turns as a place has rows, or as they come (None)."""
+            x, y = np.tril_indices(degree, -1)
+            p, q = np.maximum(ends[:, x], ends[:, y]), np.minimum(ends[:, x], ends[:, y])
+            at = turn[np.searchsorted(keys, p * levels.n + q)]
+            way = length[:, x] + length[:, y]
+            moved = roads[at] * np.where(way <= self.length[at] + EQUAL * (1 + way), count[:, x] * count[:, y] / self.count[at], 0)
+            load[a:b] += moved.sum(axis=1)
+            has = np.zeros((len(x), degree))
+            has[np.arange(len(x)), x] = has[np.arange(len(x)), y] = 1
+            roads[i:j] += (moved @ has).ravel()
+
+
+class Agreement:
+    """Ways of two graphs of roads (u, v, length above 0) between nodes that are matched, over one set of levels. `there`, `back`:
+    nodes and their matches in the other graph, a match for a node. A place is a node of either graph, or one of each."""
+
+    def __init__(self, levels: Levels, ids: np.ndarray, known: np.ndarray, asked: np.ndarray | None, other: np.ndarray):
+        self.levels, self.length = levels, np.ascontiguousarray(levels.values)
+        #: Of either graph by place: the ids, whether there is one, whether it is asked for (None: all), the place of its match, and
+        #: whether that is its own.
+        self.ids, self.known, self.asked, self.other = ids, known, asked, other
+        here = np.arange(levels.n)
+        self.plain = (other == here) | ((other < 0) & ~known[::-1]) | ~known
+
+    @classmethod
+    def of(cls, roads: list[tuple[np.ndarray, np.ndarray, np.ndarray]], asked: list[np.ndarray], matches: list[tuple[np.ndarray, np.ndarray]], most_steps: int = MOST_STEPS) -> Agreement | None:
+        """asked: node ids of either graph whose ways to nodes of greater ids count. None for graphs that are too dense."""
+        names = [np.unique(np.concatenate(r[:2])) for r in roads]
+        find = lambda k, ids: np.where(np.isin(ids, names[k]), np.searchsorted(names[k], ids), -1)
+        twins = []
+        for k, (a, b) in enumerate(matches):
+            a, b = find(k, a), find(1 - k, b)
+            twin = np.full(len(names[k]), -1)
+            twin[a[a >= 0]] = b[a >= 0]
+            twins.append(twin)
+        # A node of the second graph is one with the first node that it is the match of.
+        n = len(names[0])
+        number = [np.arange(n), np.full(len(names[1]), -1)]
+        met, first = np.unique(twins[0], return_index=True)
+        number[1][met[met >= 0]] = first[met >= 0]
+        alone = np.flatnonzero(number[1] < 0)
+        number[1][alone] = n + np.arange(len(alone))
+        n += len(alone)
+        near: list[dict] = [{} for _ in range(n)]
+        for k, (u, v, length) in enumerate(roads):
+            for a, b, w in zip(number[k][find(k, u)].tolist(), number[k][find(k, v)].tolist(), length.tolist(), strict=True):
+                if a != b:
+                    x, y = near[a].get(b, (np.inf, np.inf))
+                    near[a][b] = near[b][a] = (x, min(y, w)) if k else (min(x, w), y)
+        levels = eliminate(n, near, _shorter_both, most_steps)
+        if levels is None:
+            return None
+        ids, other = np.zeros((2, n), np.int64), np.full((2, n), -1)
+        known, held = np.zeros((2, n), bool), np.zeros((2, n), bool)
+        for k in range(2):
+            at = levels.place[number[k]]
+            ids[k, at], known[k, at], held[k, at] = names[k], True, np.isin(names[k], asked[k])
+            other[k, at] = np.where(twins[k] < 0, -1, levels.place[number[1 - k][twins[k]]] if len(names[1 - k]) else -1)
+        return cls(levels, ids, known, None if held[known].all() else held, other)
+
+    def distances(self, sources: np.ndarray, until: int | None = None) -> np.ndarray:
+        """[place, graph, k]: from place sources[graph, k]; from none below 0."""
+        levels = self.levels
+        dist = np.full((levels.n, *sources.shape), np.inf)
+        for k in range(2):
+            some = np.flatnonzero(sources[k] >= 0)
+            dist[sources[k, some], k, some] = 0
+        for p in levels.above(np.unique(sources[sources >= 0]))[::-1].tolist():
+            a, b = levels.starts[p], levels.starts[p + 1]
+            ends = levels.ends[a:b]
+            dist[ends] = np.minimum(dist[ends], dist[p] + self.length[a:b, :, None])
+        for a, b, i, j, degree in levels.groups if until is None else levels.until(until):
+            offers = dist.take(levels.ends[i:j], axis=0)
+            offers += self.length[i:j, :, None]
+            np.minimum(dist[a:b], offers.reshape(b - a, degree, *sources.shape).min(axis=1), out=dist[a:b])
+        return dist
+
+    def sums(self, part: int, parts: int, ways: int = 2) -> np.ndarray:
+        """[graph]: the sum of differences over its pairs, as shares of its way, at most 1 and that where the other graph lacks the
+        way; and how many pairs. Of `parts` that add up to all one; of the first graph alone if ways is 1."""
+        levels, found = self.levels, np.zeros((ways, 2))
+        step = max(1, min(256, SWEEP_CELLS // max(1, 2 * levels.n)))
+        for places in levels.share(part, parts):
+            for k in range(0, len(places), step):
+                batch = places[k : k + step]
+                first, until = levels.turn[batch[0]], int(levels.turn[batch[-1]]) + 1
+                dist = self.distances(np.stack([batch, batch]), until)
+                late = np.flatnonzero((levels.turn >= first) & (levels.turn < until))
+                dist[late] = np.where(levels.turn[late, None, None] < levels.turn[batch], dist[late], np.inf)
+                rows = np.flatnonzero(levels.turn < until)
+                for c in range(0, len(rows), AGREE_ROWS):
+                    at = rows[c : c + AGREE_ROWS]
+                    both = dist.take(at, axis=0)
+                    for g in range(ways):
+                        counted = None
+                        if not (self.plain[g, at].all() and self.plain[g, batch].all()):
+                            counted = self.plain[g, at][:, None] & self.plain[g, batch]
+                        found[g] += self._differences(g, at, batch, both[:, g], both[:, 1 - g], counted)
+        # Pairs of a node that is not one with its match: two with the same match, or one that is not matched back.
+        for g in range(ways):
+            rest = np.flatnonzero(~self.plain[g])
+            rest = np.array_split(rest[np.argsort(levels.turn[rest])], parts)[part]
+            rows = np.flatnonzero(self.known[g])
+            for k in range(0, len(rest), step):
+                batch = rest[k : k + step]
+                asked = np.stack([batch, self.other[g, batch]])
+                dist = self.distances(asked if g == 0 else asked[::-1])
+                far = dist[:, 1 - g].take(np.maximum(self.other[g, rows], 0), axis=0)
+                far[self.other[g, rows] < 0] = np.inf
+                counted = self.plain[g, rows][:, None] | (levels.turn[rows, None] < levels.turn[batch])
+                found[g] += self._differences(g, rows, batch, dist[rows, g], far, counted)
+        return found
+
+    def _differences(self, g: int, rows: np.ndarray, columns: np.ndarray, way: np.ndarray, other: np.ndarray, counted: np.ndarray | None) -> tuple[float, int]:
+        some = way < np.inf
+        if counted is not None:
+            some &= counted
+        if self.asked is not None:
+            some &= np.where(self.ids[g, rows][:, None] > self.ids[g, columns], self.asked[g, columns], self.asked[g, rows][:, None])
+        n = int(np.count_nonzero(some))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = other - way
+            np.abs(share, out=share)
+            share /= way
+            np.minimum(share, 1.0, out=share)
+        return float(share.sum() if n == share.size else share.sum(where=some)), n
+
+
+def _merge(places: np.ndarray, most: int = 8192) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places that differ, their rows): rows are added up by a matrix of both, or, if that had more than `most` cells, in as many
+    turns as a place has rows."""
     turn = np.argsort(places, kind="stable")
     at = places[turn]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    if len(first) * len(at) <= most:
+        return [(at[first], at[first][:, None] == places)]
     nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    if nth.max() >= most:
-        return [(places, None)]
     return [(at[nth == k], turn[nth == k]) for k in range(nth.max() + 1)]

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpoint
 from . import graph, spatial
-from .elimination import Ways
+from .elimination import Agreement
 
+#: (src, dst, length) of a graph.
+Held = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Metres within which nodes of two graphs are the same place.
 SNAP = 15.0
 
@@ -71,7 +73,7 @@ class Pairing:
         return checkpoint(graph.components(self.found_nodes, self.found_edges))
 
     @cached_property
-    def held(self) -> tuple[Ways | None, Ways | None]:
+    def held(self) -> tuple[Held | None, Held | None]:
         """Both graphs for tasks, if they are counted to fit."""
         return graph.task_ways(self.edges), graph.task_ways(self.found_edges)
 
@@ -90,13 +92,13 @@ def all_ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpoint(graph.distances(edges, joined).select("source", "node_id", "dist"))
 
 
-def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, match: DataFrame, most: int | None = None, seed: str = "0", ways: DataFrame | None = None, other_ways: DataFrame | None = None, held: tuple[Ways | None, Ways | None] | None = None) -> DataFrame:
+def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, match: DataFrame, most: int | None = None, seed: str = "0", ways: DataFrame | None = None, other_ways: DataFrame | None = None) -> DataFrame:
     """(score, n): 1 less the mean difference of shortest ways, as a share of the way here, at most 1; 1 where the other graph
     lacks an end or a way. Pairs without a way here are not counted; without any the score is 1 and n 0. ways, other_ways: all_ways of the graphs,
-    if known; held: both as graph.task_ways gives them, if known."""
+    if known."""
     if most is None and ways is None and other_ways is None and edges.count() <= graph.TASK_EDGES and other_edges.count() <= graph.TASK_EDGES:
-        near, far = held or (graph.task_ways(edges), graph.task_ways(other_edges))
-        return _one_way_in_tasks(nodes, edges, other_edges, match) if near is None or far is None else _one_way_by_levels(nodes, edges, match, near, far)
+        found = _by_levels([(nodes, edges, match)], (graph.task_ways(edges), graph.task_ways(other_edges)))
+        return found[0] if found else _one_way_in_tasks(nodes, edges, other_edges, match)
     if most is None:
         # All pairs: what the distances of all nodes give already.
         ways = all_ways(nodes, edges) if ways is None else ways
@@ -115,35 +117,28 @@ def apls_one_way(nodes: DataFrame, edges: DataFrame, other_edges: DataFrame, mat
     return told.agg(F.coalesce(1 - F.avg(penalty), F.lit(1.0)).alias("score"), F.count("*").alias("n"))
 
 
-def _one_way_by_levels(nodes: DataFrame, edges: DataFrame, match: DataFrame, near: Ways, far: Ways) -> DataFrame:
-    """As _one_way_in_tasks, many sources at a time."""
-    sources = checkpoint(graph.degrees(nodes, edges).where("degree > 0").select("node_id"))
-    known = match.join(sources, "node_id").select("node_id", "match").toArrow()
-    place = lambda ways, ids: np.where(np.isin(ids, ways.ids), ways.levels.place[np.minimum(np.searchsorted(ways.ids, ids), len(ways.ids) - 1)], -1)
-    twin = np.full(near.levels.n, -1)
-    if len(known) and far.levels.n:
-        twin[place(near, known.column(0).to_numpy())] = place(far, known.column(1).to_numpy())
-
-    def kernel(asked: np.ndarray) -> pd.DataFrame:
-        total, n, lost = 0.0, 0, np.flatnonzero(twin < 0)
-        for batch in near.batches(asked):
-            here = near.distances(batch)
-            if far.levels.n:
-                there = far.distances(twin[batch]).take(np.maximum(twin, 0), axis=0)
-                there[lost] = np.inf
-            else:
-                there = np.full(here.shape, np.inf)
-            counted = (near.named[:, None] > near.named[batch]) & (here > 0) & (here < np.inf)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                there -= here
-                np.abs(there, out=there)
-                there /= here
-                np.minimum(there, 1.0, out=there)
-            total += float(np.sum(there, where=counted))
-            n += int(np.count_nonzero(counted))
-        return pd.DataFrame({"total": [total], "n": [n]})
+def _by_levels(sides: list[tuple[DataFrame, DataFrame, DataFrame]], held: tuple[Held | None, Held | None]) -> list[DataFrame] | None:
+    """As _one_way_in_tasks, of (nodes, edges, match) of one graph or of both, many sources at a time, in one go over both graphs.
+    None for graphs that do not go by levels."""
+    if held[0] is None or held[1] is None:
+        return None
+    none = np.zeros(0, np.int64)
+    asked, matches = [none, none], [(none, none), (none, none)]
+    for k, (nodes, edges, match) in enumerate(sides):
+        sources = checkpoint(graph.degrees(nodes, edges).where("degree > 0").select(F.col("node_id").cast("long").alias("node_id")))
+        known = match.join(sources, "node_id").select("node_id", F.col("match").cast("long")).toArrow()
+        asked[k], matches[k] = sources.toArrow().column(0).to_numpy(), (known.column(0).to_numpy(), known.column(1).to_numpy())
+    both = Agreement.of(list(held), asked, matches)
+    if both is None:
+        return None
+    spread, ways = graph.spread_of(sources), len(sides)
 
-    return _score(graph.by_sources(sources, kernel, "total double, n long", graph.spread_of(sources)))
+    def kernel(part: int) -> pd.DataFrame:
+        found = both.sums(part, spread, ways)
+        return pd.DataFrame({"way": range(ways), "total": found[:, 0], "n": found[:, 1].astype(np.int64)})
+
+    sums = checkpoint(graph.by_parts(sources.sparkSession, kernel, "way long, total double, n long", spread))
+    return [_score(sums.where(F.col("way") == k)) for k in range(ways)]
 
 
 def _score(sums: DataFrame) -> DataFrame:
@@ -184,9 +179,13 @@ def apls(nodes: DataFrame, edges: DataFrame, found_nodes: DataFrame, found_edges
     there, back = known.there, known.back
     small = edges.count() <= graph.TASK_EDGES and found_edges.count() <= graph.TASK_EDGES
     ways, found_ways = (known.ways, known.found_ways) if most is None and not small else (None, None)
-    held = known.held if most is None and small else None
-    a = apls_one_way(nodes, edges, found_edges, there, most, seed, ways, found_ways, held).select(F.col("score").alias("apls_there"), F.col("n").alias("n_there"))
-    b = apls_one_way(found_nodes, found_edges, edges, back, most, seed, found_ways, ways, held and held[::-1]).select(F.col("score").alias("apls_back"), F.col("n").alias("n_back"))
+    if most is None and small:
+        found = _by_levels([(nodes, edges, there), (found_nodes, found_edges, back)], known.held)
+        a, b = found or (_one_way_in_tasks(nodes, edges, found_edges, there), _one_way_in_tasks(found_nodes, found_edges, edges, back))
+    else:
+        a = apls_one_way(nodes, edges, found_edges, there, most, seed, ways, found_ways)
+        b = apls_one_way(found_nodes, found_edges, edges, back, most, seed, found_ways, ways)
+    a, b = a.select(F.col("score").alias("apls_there"), F.col("n").alias("n_there")), b.select(F.col("score").alias("apls_back"), F.col("n").alias("n_back"))
     total = F.col("n_there") + F.col("n_back")
     mean = F.when(total > 0, (F.col("apls_there") * F.col("n_there") + F.col("apls_back") * F.col("n_back")) / total).otherwise(F.lit(1.0))
     counts = there.agg(F.count("*").alias("matched")).crossJoin(back.agg(F.count("*").alias("matched_found")))

@@ -389,20 +389,11 @@ def _per_source(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFra
     return asked.groupBy("_part").cogroup(held.groupBy("_deal")).applyInPandas(run, schema)
 
 
-def task_ways(edges: DataFrame) -> Ways | None:
-    """Ways of a graph that was counted to fit a task; None if it is too dense for that, or some length is not above 0."""
+def task_ways(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(src, dst, length) of a graph that was counted to fit a task, for ways by levels; None if some length is not above 0."""
     rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("length").cast("double")).toArrow()
-    return Ways.of(*(rows.column(k).to_numpy() for k in range(3)))
-
-
-def by_sources(sources: DataFrame, kernel: Callable[[np.ndarray], pd.DataFrame], schema: str, spread: int) -> DataFrame:
-    """What kernel(node ids) gives for the sources (node_id), dealt by ranges of ids to `spread` tasks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if asked := [b["node_id"].to_numpy() for b in batches if len(b)]:
-            yield kernel(np.concatenate(asked))
-
-    return sources.select(F.col("node_id").cast("long").alias("node_id")).repartitionByRange(spread, "node_id").mapInPandas(run, schema)
+    u, v, length = (rows.column(k).to_numpy() for k in range(3))
+    return (u, v, length) if (length > 0).all() else None
 
 
 def by_parts(spark: SparkSession, kernel: Callable[[int], pd.DataFrame], schema: str, parts: int) -> DataFrame:
@@ -460,7 +451,8 @@ def betweenness(nodes: DataFrame, edges: DataFrame, spread: int | None = None, t
         return pd.DataFrame({"node_id": list(total), "b": list(total.values())})
 
     spread, columns = spread or spread_of(nodes), "node_id long, b double"
-    ways = task_ways(edges)
+    roads = task_ways(edges)
+    ways = None if roads is None else Ways.of(*roads)
     if ways is None:
         parts = _per_source(nodes, edges, kernel, columns, spread)
     else:
