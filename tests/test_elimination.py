@@ -183,3 +183,16 @@ def test_agreement_both_ways_against_all_pairs(seed, whole):
         assert np.allclose(sum(both.sums(k, parts) for k in range(parts)), want)
     one = elimination.Agreement.of(arrays, asked, [matches[0], (np.zeros(0, int), np.zeros(0, int))])
     assert np.allclose(one.sums(0, 1, 1), want[:1])
+
+
+@pytest.mark.parametrize("measure", [evaluation.apls, evaluation.report])
+def test_both_ways_are_one_sweep(spark, monkeypatch, measure):
+    """Nodes of both graphs were taken out twice, and each pair's way was made from both ends, for each way."""
+    place = lambda shift: nodes_of(spark, 40).select("node_id", (F.col("node_id") * 40.0 + shift).alias("x"), F.lit(0.0).alias("y"))
+    graphs = place(0), frame(spark, made(3, 40, 55)), place(3), frame(spark, made(8, 40, 55))
+    taken, whole = [], elimination.eliminate
+    monkeypatch.setattr(elimination, "eliminate", lambda *x: taken.append(0) or whole(*x))
+    found = measure(*graphs, most=None).first()
+    assert len(taken) == 1
+    monkeypatch.setattr(graph, "task_ways", lambda _: None)
+    assert tuple(found) == pytest.approx(tuple(measure(*graphs, most=None).first()))
