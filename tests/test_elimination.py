@@ -196,3 +196,34 @@ def test_both_ways_are_one_sweep(spark, monkeypatch, measure):
     assert len(taken) == 1
     monkeypatch.setattr(graph, "task_ways", lambda _: None)
     assert tuple(found) == pytest.approx(tuple(measure(*graphs, most=None).first()))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_agreement_of_components_that_are_alike(monkeypatch, seed):
+    """Components of the same roads were taken out and swept as those that differ. One that a node of another is matched with, one
+    of a node that is not asked for, and one with a length that differs are still swept."""
+    rng = random.Random(seed)
+    block = lambda k, m: [(10 * k + a, 10 * k + b, x) for a, b, x in made(seed + k, 10, m)]
+    here = [*block(0, 14), *block(1, 14), *block(2, 14), *block(3, 9), *block(4, 14)]
+    there = [r for r in here if r[0] < 30 or rng.random() < 0.8] + [(0, 1, 0.5)] * (seed % 2)
+    twins = [{k: k for k in range(50)}, {k: k for k in range(50)}]
+    twins[0] |= {30: 10, 31: 11}
+    asked = [np.arange(50), np.array([k for k in range(50) if k != 41])]
+    dist, on = [floyd(50, r) for r in (here, there)], [{x for y in r for x in y[:2]} for r in (here, there)]
+    want = np.zeros((2, 2))
+    for g in range(2):
+        for s, t in ((s, t) for s in asked[g] for t in range(s + 1, 50) if dist[g][s, t] < np.inf):
+            a, b = twins[g][s], twins[g][t]
+            other = dist[1 - g][a, b] if a in on[1 - g] and b in on[1 - g] else np.inf
+            want[g] += min(1, abs(dist[g][s, t] - other) / dist[g][s, t]), 1
+    taken, whole = [], elimination.eliminate
+    monkeypatch.setattr(elimination, "eliminate", lambda n, *x: taken.append(n) or whole(n, *x))
+    arrays = [tuple(np.array(x) for x in zip(*r, strict=True)) for r in (here, there)]
+    both = elimination.Agreement.of(arrays, asked, [(np.array(list(t)), np.array(list(t.values()))) for t in twins])
+    # Nodes 30 and 31 of the two graphs are places of their own each.
+    assert taken[0] <= len(on[0] | on[1]) + 2 - len([k for k in on[0] if 20 <= k < 30])
+    for parts in (1, 3):
+        assert np.allclose(sum(both.sums(k, parts) for k in range(parts)), want)
+    same = elimination.Agreement.of([arrays[0]] * 2, [asked[0]] * 2, [(asked[0], asked[0])] * 2)
+    assert taken[1] == 0
+    assert (same.sums(0, 1) == [0, np.triu(dist[0] < np.inf, 1).sum()]).all()

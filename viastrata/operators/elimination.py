@@ -27,6 +27,19 @@ PAIR_CELLS = 1_000_000
 AGREE_ROWS = 2048
 
 
+def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Of nodes 0..n-1 the least node of each one's component."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[u], root[v])
+        for end in (u, v):
+            np.minimum.at(root, root[end], low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 class Levels:
     """Nodes 0..n-1 in the order they were taken out, each with the neighbours it had then and what led there: `values`, a row of
     numbers for each neighbour. Places put the last node first, so neighbours come before; groups are of one level and degree.
@@ -452,8 +465,10 @@ class Agreement:
     """Ways of two graphs of roads (u, v, length above 0) between nodes that are matched, over one set of levels. `there`, `back`:
     nodes and their matches in the other graph, a match for a node. A place is a node of either graph, or one of each."""
 
-    def __init__(self, levels: Levels, ids: np.ndarray, known: np.ndarray, asked: np.ndarray | None, other: np.ndarray):
+    def __init__(self, levels: Levels, ids: np.ndarray, known: np.ndarray, asked: np.ndarray | None, other: np.ndarray, alike: int):
         self.levels, self.length = levels, np.ascontiguousarray(levels.values)
+        #: Pairs whose ways are the same in both graphs, of nodes that are no places.
+        self.alike = alike
         #: Of either graph by place: the ids, whether there is one, whether it is asked for (None: all), the place of its match, and
         #: whether that is its own.
         self.ids, self.known, self.asked, self.other = ids, known, asked, other
@@ -479,22 +494,32 @@ class Agreement:
         alone = np.flatnonzero(number[1] < 0)
         number[1][alone] = n + np.arange(len(alone))
         n += len(alone)
-        near: list[dict] = [{} for _ in range(n)]
-        for k, (u, v, length) in enumerate(roads):
-            for a, b, w in zip(number[k][find(k, u)].tolist(), number[k][find(k, v)].tolist(), length.tolist(), strict=True):
-                if a != b:
-                    x, y = near[a].get(b, (np.inf, np.inf))
-                    near[a][b] = near[b][a] = (x, min(y, w)) if k else (min(x, w), y)
-        levels = eliminate(n, near, _shorter_both, most_steps)
-        if levels is None:
-            return None
         ids, other = np.zeros((2, n), np.int64), np.full((2, n), -1)
         known, held = np.zeros((2, n), bool), np.zeros((2, n), bool)
         for k in range(2):
-            at = levels.place[number[k]]
-            ids[k, at], known[k, at], held[k, at] = names[k], True, np.isin(names[k], asked[k])
-            other[k, at] = np.where(twins[k] < 0, -1, levels.place[number[1 - k][twins[k]]] if len(names[1 - k]) else -1)
-        return cls(levels, ids, known, None if held[known].all() else held, other)
+            ids[k, number[k]], known[k, number[k]], held[k, number[k]] = names[k], True, np.isin(names[k], asked[k])
+            other[k, number[k]] = np.where(twins[k] < 0, -1, number[1 - k][twins[k]] if len(names[1 - k]) else -1)
+        ends, length = _roads_of_both(n, [(number[k][find(k, u)], number[k][find(k, v)], w) for k, (u, v, w) in enumerate(roads)])
+        # A component of the same nodes and roads in both graphs has the same ways: its pairs differ by 0, and are but counted. One
+        # that another node is matched with is needed for that node's ways.
+        part, own = least_labels(ends[:, 0], ends[:, 1], n), other == np.arange(n)
+        differs = ~(known & held & own).all(axis=0)
+        differs[ends[length[:, 0] != length[:, 1]]] = True
+        differs[other[(other >= 0) & ~own]] = True
+        left = np.isin(part, part[differs])
+        sizes = np.bincount(part[~left])
+        at, some = np.cumsum(left) - 1, left[ends[:, 0]]
+        near: list[dict] = [{} for _ in range(int(left.sum()))]
+        for (a, b), x in zip(at[ends[some]].tolist(), map(tuple, length[some].tolist()), strict=True):
+            near[a][b] = near[b][a] = x
+        levels = eliminate(len(near), near, _shorter_both, most_steps)
+        if levels is None:
+            return None
+        turned = np.flatnonzero(left)[levels.nodes]
+        place = np.full(n, -1)
+        place[turned] = np.arange(levels.n)
+        ids, known, held, other = ids[:, turned], known[:, turned], held[:, turned], other[:, turned]
+        return cls(levels, ids, known, None if held[known].all() else held, np.where(other < 0, -1, place[other]), int((sizes * (sizes - 1) // 2).sum()))
 
     def distances(self, sources: np.ndarray, until: int | None = None) -> np.ndarray:
         """[place, graph, k]: from place sources[graph, k]; from none below 0."""
@@ -517,6 +542,8 @@ class Agreement:
         """[graph]: the sum of differences over its pairs, as shares of its way, at most 1 and that where the other graph lacks the
         way; and how many pairs. Of `parts` that add up to all one; of the first graph alone if ways is 1."""
         levels, found = self.levels, np.zeros((ways, 2))
+        if part == 0:
+            found[:, 1] += self.alike
         step = max(1, min(256, SWEEP_CELLS // max(1, 2 * levels.n)))
         for places in levels.share(part, parts):
             for k in range(0, len(places), step):
@@ -564,6 +591,17 @@ class Agreement:
         return float(share.sum() if n == share.size else share.sum(where=some)), n
 
 
+def _roads_of_both(n: int, roads: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ends a < b < n of all roads of two graphs, once each, and their least lengths in either: infinite in one that lacks the road."""
+    u, v, length = (np.concatenate([r[k] for r in roads]) for k in range(3))
+    kind = np.repeat(range(2), [len(r[0]) for r in roads])
+    some = u != v
+    pairs, at = np.unique((np.minimum(u, v) * n + np.maximum(u, v))[some], return_inverse=True)
+    least = np.full((len(pairs), 2), np.inf)
+    np.minimum.at(least, (at, kind[some]), length[some])
+    return np.stack(np.divmod(pairs, max(1, n)), 1), least
+
+
 def _merge(places: np.ndarray, most: int = 8192) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places that differ, their rows): rows are added up by a matrix of both, or, if that had more than `most` cells, in as many
     turns as a place has rows."""

@@ -64,13 +64,19 @@ class Pairing:
     def back(self) -> DataFrame:
         return snapped(self.found_nodes, self.nodes, self.tolerance)
 
+    @cached_property
+    def _both_parts(self) -> DataFrame:
+        """Components of both graphs, side by side."""
+        two = lambda a, b, *columns: a.select(F.lit(0).alias("graph"), *columns).unionByName(b.select(F.lit(1).alias("graph"), *columns))
+        return checkpoint(graph.components(two(self.nodes, self.found_nodes, "node_id"), two(self.edges, self.found_edges, "src", "dst"), ["graph"]))
+
     @cached_property
     def parts(self) -> DataFrame:
-        return checkpoint(graph.components(self.nodes, self.edges))
+        return self._both_parts.where("graph = 0").drop("graph")
 
     @cached_property
     def found_parts(self) -> DataFrame:
-        return checkpoint(graph.components(self.found_nodes, self.found_edges))
+        return self._both_parts.where("graph = 1").drop("graph")
 
     @cached_property
     def held(self) -> tuple[Held | None, Held | None]:
@@ -125,19 +131,24 @@ def _by_levels(sides: list[tuple[DataFrame, DataFrame, DataFrame]], held: tuple[
     none = np.zeros(0, np.int64)
     asked, matches = [none, none], [(none, none), (none, none)]
     for k, (nodes, edges, match) in enumerate(sides):
-        sources = checkpoint(graph.degrees(nodes, edges).where("degree > 0").select(F.col("node_id").cast("long").alias("node_id")))
-        known = match.join(sources, "node_id").select("node_id", F.col("match").cast("long")).toArrow()
-        asked[k], matches[k] = sources.toArrow().column(0).to_numpy(), (known.column(0).to_numpy(), known.column(1).to_numpy())
+        ends = graph.symmetric(edges).select(F.col("u").alias("node_id"))
+        sources = nodes.select("node_id").join(ends, "node_id", "left_semi").join(match.select("node_id", "match"), "node_id", "left")
+        known = sources.select(F.col("node_id").cast("long"), F.col("match").cast("long")).toArrow()
+        some = known.filter(known.column(1).is_valid())
+        asked[k], matches[k] = known.column(0).to_numpy(), (some.column(0).to_numpy(), some.column(1).to_numpy())
     both = Agreement.of(list(held), asked, matches)
     if both is None:
         return None
-    spread, ways = graph.spread_of(sources), len(sides)
+    spark, ways = nodes.sparkSession, len(sides)
+    spread = graph.spread_for(spark, both.levels.n)
 
     def kernel(part: int) -> pd.DataFrame:
         found = both.sums(part, spread, ways)
         return pd.DataFrame({"way": range(ways), "total": found[:, 0], "n": found[:, 1].astype(np.int64)})
 
-    sums = checkpoint(graph.by_parts(sources.sparkSession, kernel, "way long, total double, n long", spread))
+    schema = "way long, total double, n long"
+    # Graphs that are alike have nothing to sweep, for which no task need start.
+    sums = checkpoint(graph.by_parts(spark, kernel, schema, spread)) if both.levels.n else spark.createDataFrame([*kernel(0).itertuples(index=False, name=None)], schema)
     return [_score(sums.where(F.col("way") == k)) for k in range(ways)]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cluster import checkpoint, largest_group, rank_within
-from .elimination import Network, Ways
+from .elimination import Network, Ways, least_labels
 
 #: Edges of the largest graph that one task takes whole.
 TASK_EDGES = 300_000
@@ -105,19 +105,6 @@ def grouped(rows: DataFrame, keys: list[str]):
 # Components.
 
 
-def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Of nodes 0..n-1 the least node of each one's component."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[u], root[v])
-        for end in (u, v):
-            np.minimum.at(root, root[end], low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(keys, node_id, component): the least node that each node can reach."""
     keys = keys or []
@@ -189,7 +176,11 @@ def _reach(near: dict[int, list[tuple[int, float]]], source: int) -> dict[int, t
 
 def spread_of(asked: DataFrame, least: int = 8) -> int:
     """Tasks that sources are dealt to, each with a copy of the graph: as many as the cluster works on at a time, for some sources each."""
-    return max(least, min(2 * asked.sparkSession.sparkContext.defaultParallelism, asked.count() // 16))
+    return spread_for(asked.sparkSession, asked.count(), least)
+
+
+def spread_for(spark: SparkSession, n: int, least: int = 8) -> int:
+    return max(least, min(2 * spark.sparkContext.defaultParallelism, n // 16))
 
 
 def distances(edges: DataFrame, sources: DataFrame, keys: list[str] | None = None, task_edges: int = TASK_EDGES, spread: int | None = None) -> DataFrame:
